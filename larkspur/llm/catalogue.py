@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from larkspur.llm.bpe import p6_ids
+from larkspur.llm.langid import p1_found
 from larkspur.llm.near_duplicates import p2_found
 
-QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_ids": p6_ids}
 ORACLE: dict[str, str] = {}

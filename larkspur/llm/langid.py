@@ -249,8 +249,11 @@ def _agreeing(texts: dict[str, list[str]]) -> dict[str, list[str]]:
     return kept
 
 
-def language_segments(df: DataFrame, key: str, text: str, models: Models) -> DataFrame:
-    """One row per longest run of whole sentences in one language: key, seg (from 0), lang, confidence, n_sentences, text.
+def language_segments(df: DataFrame, key: str, text: str, models: Models, keep: str | None = None) -> DataFrame:
+    """One row per longest run of whole sentences in one language.
+
+    Columns: key, keep if given (a further column of df), seg (from 0), lang,
+    confidence, n_sentences, n_languages (of the whole text), text.
 
     Texts without a whole sentence, null and empty ones among them, give no
     row; rows that repeat stay repeated. Whole texts are read.
@@ -264,30 +267,35 @@ def language_segments(df: DataFrame, key: str, text: str, models: Models) -> Dat
             flat = [s for f in found for s in f]
             bits = models.code_lengths(flat)
             best = bits.argmin(axis=1).tolist()
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             i = 0
             for row, pieces in enumerate(found):
                 end, seg = i + len(pieces), 0
+                several = len(set(best[i:end]))
                 while i < end:
                     j = i
                     while j < end and best[j] == best[i]:
                         j += 1
                     total = bits[i:j].sum(axis=0)
                     share = 1.0 / np.exp2(np.maximum(total.min() - total, -1000.0)).sum()
-                    for column, value in zip(rows, (row, seg, models.languages[best[i]], float(share), j - i, " ".join(flat[i:j]))):
+                    for column, value in zip(rows, (row, seg, models.languages[best[i]], float(share), j - i, several, " ".join(flat[i:j]))):
                         column.append(value)
                     i, seg = j, seg + 1
-            keys = batch.column(0).take(pa.array(rows[0], pa.int32()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.float64()), pa.array(rows[4], pa.int32()), pa.array(rows[5], pa.string())], [key, "seg", "lang", "confidence", "n_sentences", "text"])
+            at = pa.array(rows[0], pa.int32())
+            through = [batch.column(c).take(at) for c in ((0, 2) if keep else (0,))]
+            yield pa.RecordBatch.from_arrays([*through, *[pa.array(r, kind) for r, kind in zip(rows[1:], (pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string()))]], names)
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(work, f"`{key}` {kind}, seg int, lang string, confidence double, n_sentences int, text string")
+    through = [key, keep] if keep else [key]
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in through)
+    names = [*through, "seg", "lang", "confidence", "n_sentences", "n_languages", "text"]
+    return df.select(key, text, *through[1:]).mapInArrow(work, f"{kinds}, seg int, lang string, confidence double, n_sentences int, n_languages int, text string")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     articles = table(spark, folder, "raw_articles")
     names = language_names(table(spark, folder, "lang_codes"))
-    label = label_code(F.col("lang"), names)
-    models = train(articles, "id", "lede", label, sorted(set(names.values())))
-    found = language_segments(articles.select("id", F.struct(F.col("lede"), label.alias("named")).alias("_both")).select("id", "_both.lede", "_both.named"), "id", "lede", models)
-    return found
+    articles = articles.select("id", "lede", label_code(F.col("lang"), names).alias("named"))
+    models = train(articles, "id", "lede", F.col("named"), sorted(set(names.values())))
+    found = language_segments(articles, "id", "lede", models, "named")
+    other = (F.col("n_languages") > 1) | F.col("named").isNull() | (F.col("named") != F.col("lang"))
+    return found.where(other).select("id", "seg", "lang").distinct()
