@@ -94,7 +94,7 @@ def _batches(batches: Iterator[pa.RecordBatch], key: str | None, texts: list[str
             yield out
 
 
-def frequent_words(df: DataFrame, texts: list[str], share: float = FREQUENT) -> np.ndarray:
+def frequent_words(df: DataFrame, texts: list[str], share: float = FREQUENT, flatten: Callable = _flat) -> np.ndarray:
     """Hashes of the frequent words, rarest first.
 
     Every partition counts all its words and passes on those in at least half
@@ -108,10 +108,12 @@ def frequent_words(df: DataFrame, texts: list[str], share: float = FREQUENT) ->
         total: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for batch in batches:
             table = batch.to_pydict()
-            flat, sizes = _flat([table[t] for t in texts], cache)
+            flat, sizes = flatten([table[t] for t in texts], cache)
             records += int((sizes > 0).sum())
             words, counts = np.unique(flat, return_counts=True)
             parts.append((words, counts))
+            if len(cache) > _CACHE_LIMIT:
+                cache.clear()
             if len(parts) >= 8:
                 total, parts = _sum([total, *parts]), []
         words, counts = _sum([total, *parts])
