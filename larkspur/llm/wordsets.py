@@ -245,10 +245,9 @@ def class_pairs(df: DataFrame, texts: list[str], share: float = FREQUENT) -> Dat
     a, b = entries.alias("a"), entries.alias("b")
     size_a, size_b = F.expr("a.m >> 2"), F.expr("b.m >> 2")
     both = size_a + size_b
-    near = (
-        ((F.expr("a.m & 3") == EVEN) & (F.expr("b.m & 3") == EVEN) & (F.col("a.h") < F.col("b.h")))
-        | ((F.expr("a.m & 3") == SMALL) & (F.expr("b.m & 3") == LARGE) & (F.col("a.h") != F.col("b.h")) & (size_a <= size_b))
-    )
+    # Roles of both sides as one number: a test of either side alone would be pushed below the exchange, which could then not be used twice.
+    roles = F.expr("(a.m & 3) + 4 * (b.m & 3)")
+    near = ((roles == EVEN + 4 * EVEN) & (F.col("a.h") < F.col("b.h"))) | ((roles == SMALL + 4 * LARGE) & (F.col("a.h") != F.col("b.h")) & (size_a <= size_b))
     shared = F.floor((NUMERATOR * both + NUMERATOR + DENOMINATOR - 1) / (NUMERATOR + DENOMINATOR)).cast("int")
     fits = (DENOMINATOR * F.least(size_a, size_b) >= NUMERATOR * F.greatest(size_a, size_b)) & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= both - 2 * shared)
     found = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & near & fits)
