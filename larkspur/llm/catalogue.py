@@ -6,7 +6,8 @@ from larkspur.llm.bpe import p6_ids
 from larkspur.llm.history import p4_found
 from larkspur.llm.langid import p1_found
 from larkspur.llm.near_duplicates import p2_found
+from larkspur.llm.personal import p8_found, p8_redacted
 from larkspur.llm.survivorship import p5_found, p5_survivors
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
 ORACLE: dict[str, str] = {}
