@@ -94,13 +94,14 @@ def _batches(batches: Iterator[pa.RecordBatch], key: str | None, texts: list[str
             yield out
 
 
-def frequent_words(df: DataFrame, texts: list[str], share: float = FREQUENT, flatten: Callable = _flat) -> np.ndarray:
+def frequent_words(df: DataFrame, texts: list[str], share: float = FREQUENT, flatten: Callable = _flat, floor: int = 2) -> np.ndarray:
     """Hashes of the frequent words, rarest first.
 
     Every partition counts all its words and passes on those in at least half
     the share of its records; a word in the share of all records is in at
     least one of these partitions' lists. Counts are summed over partitions. The result has
-    at most 4 (words a record) / share entries.
+    at most 4 (words a record) / share entries. A count below the floor is never
+    frequent, so small tables have no frequent words by chance.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +125,7 @@ def frequent_words(df: DataFrame, texts: list[str], share: float = FREQUENT, fla
     found = found.persist()
     try:
         records = found.where("total").select("n").first()
-        least = max(2.0, (records[0] if records else 0) * share / 2)
+        least = max(float(floor), (records[0] if records else 0) * share / 2)
         rows = found.where(~F.col("total") & (F.col("n") >= least)).orderBy("n", "word").select("word").toPandas()
     finally:
         found.unpersist()
