@@ -5,5 +5,10 @@ from __future__ import annotations
 from larkspur.operators.timestamps import p3_found
 from larkspur.plans import search_queries
 
-QUERIES = {"p3_found": p3_found} | search_queries.QUERIES
-ORACLE = dict(search_queries.ORACLE)
+MODULES = [search_queries]
+QUERIES = {"p3_found": p3_found}
+for _m in MODULES:
+    QUERIES |= _m.R.queries
+ORACLE: dict[str, str] = {}
+for _m in MODULES:
+    ORACLE |= _m.R.oracle
