@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm.hashtable import find
+from larkspur.llm.hashtable import table as table_of
 from larkspur.sources.tables import table
 
 ORDER = 4
@@ -99,8 +101,8 @@ class Models:
                 escape[seen, g] = -np.log2(kinds[seen] / (total[seen] + kinds[seen]))
                 cost[:, g] += escape[of, g]
                 cost[at, g] = -np.log2(n / (total[ctx] + kinds[ctx]))
-            self.grams.append(_table(keys, cost))
-            self.escapes.append(_table(contexts, escape))
+            self.grams.append(table_of(keys, cost))
+            self.escapes.append(table_of(contexts, escape))
             lower_keys, lower = keys, cost
         self.unseen = np.full(width, 8.0, np.float32)
 
@@ -127,13 +129,13 @@ class Models:
         todo = np.flatnonzero(~padded)
         for order in range(ORDER, -1, -1):
             gram = code[todo] & np.uint64((1 << (8 * (order + 1))) - 1)
-            at = _find(self.grams[order][0], gram)
+            at = find(self.grams[order][0], gram)
             hit = at >= 0
             cost[todo[hit]] += self.grams[order][1][at[hit]]
             todo, gram = todo[~hit], gram[~hit]
             if not len(todo):
                 break
-            at = _find(self.escapes[order][0], gram >> np.uint64(8))
+            at = find(self.escapes[order][0], gram >> np.uint64(8))
             known = at >= 0
             cost[todo[known]] += self.escapes[order][1][at[known]]
         if len(todo):
@@ -161,46 +163,6 @@ def _grams(data: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(code, return_counts=True)
 
 
-_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (((keys + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _table(keys: np.ndarray, values: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, int], np.ndarray]:
-    """An open hash table of the keys: slots of keys, slots of places in values, probes at most."""
-    bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
-    slots, places = np.full(1 << bits, _EMPTY), np.full(1 << bits, -1, np.int32)
-    todo, at, probes = np.arange(len(keys)), _slot(keys, bits), 0
-    while len(todo):
-        probes += 1
-        free = slots[at] == _EMPTY
-        # Of the keys that want one free slot, the last written has it.
-        slots[at[free]], places[at[free]] = keys[todo[free]], todo[free]
-        placed = places[at] == todo
-        todo, at = todo[~placed], (at[~placed] + 1) & ((1 << bits) - 1)
-    return (slots, places, probes), values
-
-
-def _find(index: tuple[np.ndarray, np.ndarray, int], keys: np.ndarray) -> np.ndarray:
-    slots, places, probes = index
-    bits = len(slots).bit_length() - 1
-    at = _slot(keys, bits)
-    there = slots[at]
-    out = np.where(there == keys, places[at], -1)
-    todo = np.flatnonzero((there != keys) & (there != _EMPTY))
-    for _ in range(1, probes):
-        if not len(todo):
-            break
-        at[todo] = (at[todo] + 1) & (len(slots) - 1)
-        there = slots[at[todo]]
-        hit = there == keys[todo]
-        out[todo[hit]] = places[at[todo[hit]]]
-        todo = todo[~hit & (there != _EMPTY)]
-    return out
-
-
 def label_code(label: Column, names: dict[str, str]) -> Column:
     """The language code that a label names, ignoring case, outer white space and a region after - or _; else null."""
     plain = F.lower(F.trim(F.regexp_replace(label, r"^\s+|\s+$", "")))
