@@ -112,7 +112,7 @@ def stem(token: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed, non-empty stretches between full stops, exclamation and question marks."""
-    return F.filter(F.transform(F.split(text_of(text), "[.!?]+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text_of(text), "[.!?]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
 def squeezed(text: Column) -> Column:
