@@ -63,7 +63,7 @@ def index_terms(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
 
 def quoted_phrases(text: Column) -> Column:
     """Trimmed, non-empty phrases between straight quotation marks on one line."""
-    return F.filter(F.transform(F.regexp_extract_all(text_of(text), F.lit('"([^"\\n]+)"'), 1), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.regexp_extract_all(text_of(text), F.lit('"([^"\\n]+)"'), 1), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def capitalised_spans(text: Column) -> Column:
@@ -139,7 +139,7 @@ def capitalised(sentence: Column) -> Column:
 
 def list_items(value: Column) -> Column:
     """Distinct, trimmed, non-empty items between commas and line ends."""
-    return F.array_distinct(F.filter(F.transform(F.split(text_of(value), r"[\n,]+"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text_of(value), r"[\n,]+"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def bigrams(tokens: Column) -> Column:

@@ -93,7 +93,7 @@ e AS (SELECT doc_id, 206.835 - 1.015 * asl - 84.6 * asw AS ease, 0.39 * asl + 11
 """
 
 
-@R.add(READ + """SELECT doc_id, round(ease, 3) AS ease, round(grade, 3) AS grade, round(least(1.0, greatest(0.0, (ease + 20) / 140)), 4) AS score,
+@R.add(READ + """SELECT doc_id, round(ease, 3) AS ease, round(grade, 3) AS grade, round(least(1.0, greatest(0.0, (ease + 20) / 140)), 6) AS score,
 CASE WHEN ease >= 70 THEN 'clear' WHEN ease >= 60 THEN 'accessible' WHEN ease >= 50 THEN 'moderate' WHEN ease < 40 THEN 'dense' ELSE 'challenging' END AS label FROM e""")
 def readability(spark: SparkSession, folder: str) -> DataFrame:
     """Reading ease and grade from words a sentence and syllables a word."""
@@ -102,7 +102,7 @@ def readability(spark: SparkSession, folder: str) -> DataFrame:
     asl, asw = F.greatest(F.lit(1), F.col("w")) / F.greatest(F.lit(1), F.col("s")), F.greatest(F.lit(1), F.col("y")) / F.greatest(F.lit(1), F.col("w"))
     ease, grade = 206.835 - 1.015 * asl - 84.6 * asw, 0.39 * asl + 11.8 * asw - 15.59
     label = F.when(ease >= 70, "clear").when(ease >= 60, "accessible").when(ease >= 50, "moderate").when(ease < 40, "dense").otherwise("challenging")
-    return counted.select("doc_id", F.round(ease, 3).alias("ease"), F.round(grade, 3).alias("grade"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (ease + 20) / 140)), 4).alias("score"), label.alias("label"))
+    return counted.select("doc_id", F.round(ease, 3).alias("ease"), F.round(grade, 3).alias("grade"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (ease + 20) / 140)), 6).alias("score"), label.alias("label"))
 
 
 @R.add(TOK + """, c AS (SELECT doc_id, term, count(*) AS n FROM tok WHERE length(term) >= 3 AND NOT regexp_full_match(term, '[0-9]+') GROUP BY doc_id, term),
