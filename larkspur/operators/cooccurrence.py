@@ -49,9 +49,13 @@ def cosine_pairs(vectors: DataFrame, row: str, column: str, value: str, least: f
     """Columns left < right, score: cosine of sparse rows that share a column, of at least the score.
 
     Products are summed by pair over the columns they share; rows without a
-    shared column are no pair.
+    shared column are no pair. Rows and columns are joined by 64-bit hashes, so
+    that names are neither compared nor shuffled before the pairs are few.
     """
     norms = vectors.groupBy(F.col(row).alias("_n")).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm"))
-    scaled = vectors.join(norms, F.col(row) == F.col("_n")).where("_norm > 0").select(F.col(row).alias("_r"), F.col(column).alias("_k"), (F.col(value) / F.col("_norm")).alias("_v"))
-    a, b = scaled.select(F.col("_r").alias("left"), "_k", F.col("_v").alias("_x")), scaled.select(F.col("_r").alias("right"), "_k", F.col("_v").alias("_y"))
-    return a.join(b, "_k").where("left < right").groupBy("left", "right").agg(F.sum(F.col("_x") * F.col("_y")).alias("score")).where(F.col("score") >= least)
+    scaled = vectors.join(norms, F.col(row) == F.col("_n")).where("_norm > 0").select(F.xxhash64(F.col(row)).alias("_r"), F.xxhash64(F.col(column)).alias("_k"), (F.col(value) / F.col("_norm")).alias("_v"))
+    a, b = scaled.select(F.col("_r").alias("_x"), "_k", F.col("_v").alias("_a")), scaled.select(F.col("_r").alias("_y"), "_k", F.col("_v").alias("_b"))
+    summed = a.join(b, "_k").where("_x < _y").groupBy("_x", "_y").agg(F.sum(F.col("_a") * F.col("_b")).alias("score")).where(F.col("score") >= least)
+    names = norms.select(F.xxhash64("_n").alias("_h"), F.col("_n").alias("_name"))
+    named = summed.join(names.select(F.col("_h").alias("_x"), F.col("_name").alias("_p")), "_x").join(names.select(F.col("_h").alias("_y"), F.col("_name").alias("_q")), "_y")
+    return named.select(F.least("_p", "_q").alias("left"), F.greatest("_p", "_q").alias("right"), "score")
