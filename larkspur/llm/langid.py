@@ -253,6 +253,14 @@ def language_segments(df: DataFrame, key: str, text: str, models: Models, keep:
     return df.select(key, text, *through[1:]).mapInArrow(work, f"{kinds}, seg int, lang string, confidence double, n_sentences int, n_languages int, text string")
 
 
+def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every single-language stretch of every lede with its confidence."""
+    articles = table(spark, folder, "raw_articles")
+    names = language_names(table(spark, folder, "lang_codes"))
+    models = train(articles, "id", "lede", label_code(F.col("lang"), names), sorted(set(names.values())))
+    return language_segments(articles, "id", "lede", models)
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     articles = table(spark, folder, "raw_articles")
     names = language_names(table(spark, folder, "lang_codes"))

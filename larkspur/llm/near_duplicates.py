@@ -39,3 +39,19 @@ def expanded(classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(table(spark, folder, "raw_articles"), "id", TEXTS)
+
+
+def duplicate_classes(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
+    """One row per record with words: id, class_id (the smallest id with its word set), size (records of the class), links (other classes similar to it).
+
+    Copies are not expanded: the rows and the links together hold every pair.
+    """
+    classes = written(wordsets.members(df, key, texts), "members")
+    pairs = wordsets.class_pairs(df, texts)
+    links = pairs.select(F.col("h_a").alias("h")).unionAll(pairs.select(F.col("h_b").alias("h"))).groupBy("h").agg(F.count("*").alias("links"))
+    named = classes.groupBy("h").agg(F.min("id").alias("class_id"), F.count("*").alias("size"))
+    return classes.join(named.join(links, "h", "left"), "h").select("id", "class_id", "size", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return duplicate_classes(table(spark, folder, "raw_articles"), "id", TEXTS)

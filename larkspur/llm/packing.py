@@ -38,7 +38,8 @@ class _PieceCounts(dict):
         self.encode = sentencepiece.SentencePieceProcessor(model_file=path).encode
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = len(self.encode(word[1:]))
+        # A blank at the end of a text is a piece of its own.
+        n = self[word] = len(self.encode(word[1:])) if len(word) > 1 else 1
         return n
 
     def count(self, text: str) -> int:
