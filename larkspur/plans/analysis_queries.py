@@ -206,14 +206,6 @@ def dataset_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return sets.select(F.when(F.col("g") == 1, "doc_type").when(F.col("g") == 2, "lang").otherwise("all").alias("dimension"), F.coalesce("doc_type", "lang").alias("value"), "n", "mean_chars")
 
 
-@R.add()
-def near_duplicate_titles(spark: SparkSession, folder: str) -> DataFrame:
-    """News of one source and day whose titles are near-duplicates by containment, likeness or shared words; tested on small texts."""
-    news = table(spark, folder, "market_news").where(F.trim("title") != "").select("news_id", F.lower(F.trim("source")).alias("s"), F.to_date("received_at").alias("day"), "title").distinct()
-    a, b = news.select(F.col("news_id").alias("a"), "s", "day", F.col("title").alias("x")), news.select(F.col("news_id").alias("b"), "s", "day", F.col("title").alias("y"))
-    return a.join(b, ["s", "day"]).where("a < b").where(analysis.near_duplicate(F.col("x"), F.col("y"))).select("a", "b")
-
-
 def expression_columns() -> dict[str, Column]:
     """The text expressions on a document's text, by name."""
     text = F.col("text")

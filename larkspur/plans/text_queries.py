@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from larkspur.functions import text as tx
 from larkspur.operators import cooccurrence as co
+from larkspur.operators import vectors
 from larkspur.plans.registry import Registry
 from larkspur.sources.tables import table
 
@@ -213,18 +214,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) A
 SELECT q, rank::INT AS rank, vec_id, round(score, 5) AS score FROM r WHERE rank <= 5""")
 def embedding_cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest vectors of every vector whose id is divisible by 50, against all."""
-    every = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-
-    def norm(e: str) -> Column:
-        return F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x))
-
-    unit = every.withColumn("n", norm("e")).where("n > 0").select("vec_id", F.transform("e", lambda x: x / F.col("n")).alias("u"))
-    asked = unit.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("u").alias("v"))
-    score = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    # A stated query set against all rows: every row meets each query once, and keeps nothing.
-    met = unit.join(asked, F.col("vec_id") != F.col("q")).select("q", "vec_id", score.alias("score"))
-    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where("rank <= 5")
-    return best.select("q", "rank", "vec_id", F.round("score", 5).alias("score"))
+    best = vectors.nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
+    return best.select(F.col("query").alias("q"), "rank", "vec_id", F.round("score", 5).alias("score"))
 
 
 @R.add("""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\?'))::INT AS questions, len(regexp_extract_all(coalesce(text, ''), '"[^"\\n]+"'))::INT AS quotes, coalesce(regexp_matches(lower(text), '(said|told|wrote|says)'), false) AS dialogue FROM documents""")

@@ -133,3 +133,20 @@ def test_merge(spark) -> None:
     assert {(r.k, r.o) for r in merge.first_wins(df, ["k"], [F.col("o")]).collect()} == {("k", 1), (None, 1)}
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "i int, v string"), spark.createDataFrame([(2, "c"), (3, "d"), (3, "d")], "i int, v string")
     assert sorted(tuple(r) for r in merge.upsert(old, new, ["i"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch) -> None:
+    from larkspur.operators import vectors
+
+    monkeypatch.setattr(vectors, "ROWS", 30)
+    monkeypatch.setattr(vectors, "QUERIES", 4)
+    random.seed(5)
+    rows = [(i, [random.choice([-1.0, 0.0, 1.0]) for _ in range(5)]) for i in range(100)] + [(200, None), (201, []), (None, [1.0] * 5), (202, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got = sorted((r.query, r.rank, r.id) for r in vectors.nearest(df, "id", "v", F.col("id") % 10 == 0, 3).collect())
+    unit = {i: [x / math.sqrt(sum(y * y for y in v)) for x in v] for i, v in rows if i is not None and v and any(v)}
+    expected = []
+    for q in (i for i in unit if i % 10 == 0):
+        near = sorted(((-round(sum(a * b for a, b in zip(unit[q], unit[i])), 12), i) for i in unit if i != q))[:3]
+        expected += [(q, n + 1, i) for n, (_, i) in enumerate(near)]
+    assert got == sorted(expected)
