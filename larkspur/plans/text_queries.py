@@ -154,7 +154,7 @@ def latest_years(spark: SparkSession, folder: str) -> DataFrame:
 @R.add("""SELECT acronym, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(?:^|[^A-Za-z0-9_\\pL])([A-Z]{2,5})(?:[ ,.;:)])', 1)) AS acronym FROM documents WHERE regexp_full_match(coalesce(text, ''), '[ -~\\n]*')) GROUP BY acronym""")
 def acronym_counts(spark: SparkSession, folder: str) -> DataFrame:
     text = tx.text_of(F.col("text"))
-    found = table(spark, folder, "documents").where(text.rlike("^[ -~\\n]*$")).select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(r"(?:^|[^A-Za-z0-9_\p{L}])([A-Z]{2,5})(?:[ ,.;:)])"), 1)).alias("acronym"))
+    found = table(spark, folder, "documents").where(text.rlike("^[ -~\\n]*\\z")).select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(r"(?:^|[^A-Za-z0-9_\p{L}])([A-Z]{2,5})(?:[ ,.;:)])"), 1)).alias("acronym"))
     return found.groupBy("acronym").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
