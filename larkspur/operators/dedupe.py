@@ -9,34 +9,48 @@ from larkspur.functions.sketch import hamming
 from larkspur.sources.tables import written
 
 
-def close_pairs(df: DataFrame, key: str, simhash: str, block: str, distance: int = 4) -> DataFrame:
-    """Columns a < b and distance: rows of one block whose fingerprints differ in at most so many bits.
+def classes(df: DataFrame, key: str, simhash: str, block: str) -> DataFrame:
+    """Columns block, simhash, first (the smallest key), size of each fingerprint within its block; null fingerprints are left out."""
+    return df.where(F.col(simhash).isNotNull()).groupBy(F.col(block).alias("block"), F.col(simhash).alias("simhash")).agg(F.min(key).alias("first"), F.count("*").alias("size"))
 
-    The 16 hex digits are cut into distance + 1 bands; by the pigeonhole
-    principle close fingerprints agree in one, so bands are joined by equality
-    and no block is multiplied out. Rows whose fingerprint is null are left
-    out; copies of a fingerprint are one node until the last join.
+
+def close_pairs(nodes: DataFrame, distance: int = 4) -> DataFrame:
+    """Columns a < b and distance: classes of one block, named by their first keys, whose fingerprints differ in at most so many bits.
+
+    nodes are classes(): copies of a fingerprint are one node, so a hot one is
+    joined once. The 16 hex digits are cut into distance + 1 bands; by the
+    pigeonhole principle close fingerprints agree in one, so bands are joined
+    by equality and no block is multiplied out.
     """
     bands = distance + 1
     cuts = [round(16 * i / bands) for i in range(bands + 1)]
-    nodes = df.where(F.col(simhash).isNotNull()).select(F.col(block).alias("_blk"), F.col(simhash).alias("_s")).distinct()
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("_s", lo + 1, hi - lo).alias("v")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
-    each = nodes.select("_blk", "_s", F.explode(parts).alias("_band"))
-    left, right = each.select("_blk", "_band", F.col("_s").alias("_sa")), each.select("_blk", "_band", F.col("_s").alias("_sb"))
-    near = left.join(right, ["_blk", "_band"]).where(F.col("_sa") < F.col("_sb")).select("_blk", "_sa", "_sb").distinct()
-    near = near.withColumn("distance", hamming(F.col("_sa"), F.col("_sb"))).where(F.col("distance") <= distance)
-    both = near.unionAll(near.select("_blk", F.col("_sb"), F.col("_sa"), "distance")).unionAll(nodes.select("_blk", F.col("_s").alias("_sa"), F.col("_s").alias("_sb"), F.lit(0).alias("distance")))
-    rows = df.where(F.col(simhash).isNotNull()).select(F.col(block).alias("_blk"), F.col(simhash).alias("_s"), F.col(key).alias("_k"))
-    a, b = rows.select("_blk", F.col("_s").alias("_sa"), F.col("_k").alias("a")), rows.select("_blk", F.col("_s").alias("_sb"), F.col("_k").alias("b"))
-    return both.join(a, ["_blk", "_sa"]).join(b, ["_blk", "_sb"]).where("a < b").select("a", "b", "distance").distinct()
+    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("simhash", lo + 1, hi - lo).alias("v")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
+    each = nodes.select("block", "first", "simhash", F.explode(parts).alias("_band"))
+    left = each.select("block", "_band", F.col("first").alias("a"), F.col("simhash").alias("_x"))
+    right = each.select("block", "_band", F.col("first").alias("b"), F.col("simhash").alias("_y"))
+    near = left.join(right, ["block", "_band"]).where("a < b").withColumn("distance", hamming(F.col("_x"), F.col("_y")))
+    return near.where(F.col("distance") <= distance).select("a", "b", "distance").distinct()
+
+
+def suppressed(df: DataFrame, key: str, simhash: str, block: str, distance: int = 4) -> DataFrame:
+    """Column key: rows with a close row of their block before them, whatever became of that one."""
+    nodes = classes(df, key, simhash, block)
+    before = close_pairs(nodes, distance)
+    least = before.groupBy(F.col("b").alias("first")).agg(F.min("a").alias("_least"))
+    # A class that is later by its first row may still come before another's later copies.
+    after = before.groupBy(F.col("a").alias("first")).agg(F.min("b").alias("_other"))
+    known = nodes.join(least, "first", "left").join(after, "first", "left").select("block", F.col("simhash").alias("_s"), F.least("first", "_least", "_other").alias("_least"))
+    rows = df.where(F.col(simhash).isNotNull()).select(F.col(block).alias("block"), F.col(simhash).alias("_s"), key)
+    return rows.join(known, ["block", "_s"]).where(F.col("_least") < F.col(key)).select(key)
 
 
 def first_wins(pairs: DataFrame) -> DataFrame:
-    """Column dropped: the greedy, order-dependent resolution of pairs a < b.
+    """Column dropped: the greedy, order-dependent resolution of pairs a < b of classes.
 
     In order of the key a row is dropped if a row before it is close and was
     not dropped itself. Rounds decide all rows at once whose earlier
-    neighbours are decided; as many as the longest chain of close rows.
+    neighbours are decided; as many as the longest chain of close rows. Copies
+    of a class after its first row are always dropped, so the first stand for all.
     """
     edges = written(pairs.select("a", "b"), "close")
     dropped = edges.select(F.col("b").alias("n")).limit(0)

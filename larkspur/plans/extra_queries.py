@@ -66,17 +66,15 @@ VALID = "v AS (SELECT id, lower(trim(simhash)) AS s, received_at::DATE AS day FR
 
 
 @R.add(TOKENS + BM25 + f""", {VALID}, p AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.day = b.day AND a.id < b.id AND bit_count(xor(('0x' || a.s)::UBIGINT::HUGEINT, ('0x' || b.s)::UBIGINT::HUGEINT)) <= 4),
-x AS (SELECT DISTINCT y.id FROM p JOIN bm x ON x.id = a JOIN bm y ON y.id = b), z AS (SELECT a AS id, count(*) AS collapsed FROM p JOIN bm x ON x.id = a JOIN bm y ON y.id = b GROUP BY a)
-SELECT id, round(bm25, 6) AS score, coalesce(collapsed, 0) AS collapsed FROM bm LEFT JOIN z USING (id) WHERE id NOT IN (SELECT id FROM x) ORDER BY score DESC, id LIMIT 50""")
+x AS (SELECT DISTINCT y.id FROM p JOIN bm x ON x.id = a JOIN bm y ON y.id = b)
+SELECT id, round(bm25, 6) AS score FROM bm WHERE id NOT IN (SELECT id FROM x) ORDER BY score DESC, id LIMIT 50""")
 def collapsed_results(spark: SparkSession, folder: str) -> DataFrame:
-    """Ranked results without those that an earlier one of the day is close to, with the number it stands for."""
+    """Ranked results without those that an earlier one of the day is close to."""
     articles = table(spark, folder, "raw_articles")
     scores = index.weighted_bm25(articles, "id", "title", "lede", QUERY_TERMS)
     found = articles.join(scores, "id").select("id", "bm25", valid_hex16(F.col("simhash")).alias("s"), F.to_date("received_at").alias("day"))
-    close = dedupe.close_pairs(found, "id", "s", "day", 4)
-    stands = close.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("collapsed"))
-    kept = found.join(close.select(F.col("b").alias("id")).distinct(), "id", "left_anti").join(stands, "id", "left")
-    return kept.select("id", F.round("bm25", 6).alias("score"), F.coalesce("collapsed", F.lit(0)).alias("collapsed")).orderBy(F.desc("score"), "id").limit(50)
+    kept = found.join(dedupe.suppressed(found, "id", "s", "day"), "id", "left_anti")
+    return kept.select("id", F.round("bm25", 6).alias("score")).orderBy(F.desc("score"), "id").limit(50)
 
 
 def coverage(text: Column, tokens: list[str]) -> Column:

@@ -167,30 +167,35 @@ def simhash_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 VALID = "WITH v AS (SELECT id, lower(trim(simhash)) AS s, received_at::DATE AS day, lang FROM raw_articles WHERE regexp_full_match(lower(trim(simhash)), '[0-9a-f]{16}') AND lower(trim(simhash)) <> repeat(substr(trim(lower(simhash)), 1, 1), 16))"
-CLOSE = ", p AS (SELECT a.id AS a, b.id AS b, bit_count(('0x' || a.s)::UBIGINT ^ ('0x' || b.s)::UBIGINT)::INT AS distance FROM v a JOIN v b ON a.day = b.day AND a.id < b.id)".replace("bit_count(('0x' || a.s)::UBIGINT ^ ('0x' || b.s)::UBIGINT)", "bit_count(xor(('0x' || a.s)::UBIGINT::HUGEINT, ('0x' || b.s)::UBIGINT::HUGEINT))")
+BITS = "bit_count(xor(('0x' || a.s)::UBIGINT::HUGEINT, ('0x' || b.s)::UBIGINT::HUGEINT))::INT"
 
 
-def _close(spark: SparkSession, folder: str) -> DataFrame:
-    articles = table(spark, folder, "raw_articles").select("id", valid_hex16(F.col("simhash")).alias("s"), F.to_date("received_at").alias("day"))
-    return dedupe.close_pairs(articles, "id", "s", "day", 4)
+def _hashed(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "raw_articles").select("id", valid_hex16(F.col("simhash")).alias("s"), F.to_date("received_at").alias("day"))
 
 
-@R.add(VALID + CLOSE + " SELECT * FROM p WHERE distance <= 4")
+@R.add(VALID + f", c AS (SELECT day, s, min(id) AS id FROM v GROUP BY day, s) SELECT a.id AS a, b.id AS b, {BITS} AS distance FROM c a JOIN c b ON a.day = b.day AND a.id < b.id AND {BITS} <= 4")
 def simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of one day whose fingerprints differ in at most four bits."""
-    return _close(spark, folder)
+    """Fingerprints of one day that differ in at most four bits, each named by its first article."""
+    return dedupe.close_pairs(dedupe.classes(_hashed(spark, folder), "id", "s", "day"))
 
 
-@R.add(VALID + CLOSE + " SELECT DISTINCT b AS id FROM p WHERE distance <= 4")
+@R.add(VALID + " SELECT day::VARCHAR AS day, s AS simhash, min(id) AS first, count(*) AS size FROM v GROUP BY day, s")
+def simhash_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The articles of each fingerprint and day: first and number."""
+    return dedupe.classes(_hashed(spark, folder), "id", "s", "day").select(F.col("block").cast("string").alias("day"), "simhash", "first", "size")
+
+
+@R.add(VALID + f" SELECT DISTINCT b.id FROM v a JOIN v b ON a.day = b.day AND a.id < b.id AND {BITS} <= 4")
 def simhash_suppressed(spark: SparkSession, folder: str) -> DataFrame:
     """Rows with a close row of the day before them, whatever became of that one."""
-    return _close(spark, folder).select(F.col("b").alias("id")).distinct()
+    return dedupe.suppressed(_hashed(spark, folder), "id", "s", "day")
 
 
 @R.add()
 def simhash_first_wins(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows that greedy, first-wins suppression drops; order-dependent, so tested against brute force."""
-    return dedupe.first_wins(_close(spark, folder)).select(F.col("dropped").alias("id"))
+    """First rows of fingerprints that greedy, first-wins suppression drops; order-dependent, so tested against brute force."""
+    return dedupe.first_wins(dedupe.close_pairs(dedupe.classes(_hashed(spark, folder), "id", "s", "day"))).select(F.col("dropped").alias("id"))
 
 
 @R.add("SELECT doc_id, CASE WHEN trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) = '' THEN '' ELSE sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) END AS digest FROM documents WHERE regexp_full_match(coalesce(text, ''), '[ -~\\n]*')")
