@@ -165,6 +165,8 @@ def _grams(data: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 def label_code(label: Column, names: dict[str, str]) -> Column:
     """The language code that a label names, ignoring case, outer white space and a region after - or _; else null."""
+    if not names:
+        return F.lit(None).cast("string")
     plain = F.lower(F.trim(F.regexp_replace(label, r"^\s+|\s+$", "")))
     known = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
     return F.coalesce(known[plain], known[F.trim(F.regexp_extract(plain, r"^([^-_]*)", 1))])
@@ -182,6 +184,8 @@ def train(df: DataFrame, key: str, text: str, label: Column, languages: list[str
     assign the other half anew, three times over, and the final models are
     trained on the sentences whose assignments agree with their labels.
     """
+    if not languages:
+        return Models({})
     labelled = df.select(F.col(text).alias("_text"), label.alias("_code"), F.xxhash64(F.col(key)).alias("_hash")).where(F.col("_code").isin(languages) & F.col("_text").isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy("_code").count().collect()}
     # A threshold on the hash keeps about 1.5 samples a language; the rest is cut exactly.
@@ -225,10 +229,11 @@ def language_segments(df: DataFrame, key: str, text: str, models: Models, keep:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = sent.value
         for batch in batches:
-            found = [sentences(t.as_py()) for t in batch.column(1)]
+            # Without a labelled text there is no language to assign.
+            found = [sentences(t.as_py()) if models.languages else [] for t in batch.column(1)]
             flat = [s for f in found for s in f]
             bits = models.code_lengths(flat)
-            best = bits.argmin(axis=1).tolist()
+            best = bits.argmin(axis=1).tolist() if len(flat) else []
             rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             i = 0
             for row, pieces in enumerate(found):
