@@ -128,3 +128,20 @@ def test_survivors(spark) -> None:
 def test_mixing_is_a_bijection_on_samples() -> None:
     x = np.arange(10000, dtype=np.uint64)
     assert len(np.unique(wordsets._mix(x))) == len(x)
+
+
+def test_persistent_history_takes_batches_one_by_one(spark) -> None:
+    from larkspur.sources.tables import scratch
+
+    base = corpus(8, shuffled=False)
+    rng = random.Random(9)
+    batch = {r[0]: i * 4 // len(base) for i, r in enumerate(base)}
+    rows = [(i, t, x, f"https://a.example/{rng.randint(0, 900)}", None) for i, t, x in base]
+    url = {r[0]: r[3] for r in rows}
+    expected = {max(p, key=batch.get) for p in brute(base) if batch[p[0]] != batch[p[1]]} | {i for i in url if any(url[j] == url[i] and batch[j] < batch[i] for j in url)}
+    store, found = history.History(spark, scratch(spark, "history"), ["title", "lede"]), set()
+    for n in range(4):
+        df = spark.createDataFrame([r for r in rows if batch[r[0]] == n], "id bigint, title string, lede string, url string, simhash string")
+        found |= {r.id for r in store.seen(df, "id", "url", "simhash").collect()}
+        store.accept(df, "url", "simhash")
+    assert found <= expected and len(found) >= 0.95 * len(expected)
