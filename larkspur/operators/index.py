@@ -41,12 +41,14 @@ def weighted_bm25(docs: DataFrame, key: str, title: str, lede: str, terms: list[
     other terms are neither built nor shuffled; the statistics are one row.
     """
 
-    def count(text: str, term: str) -> Column:
-        return F.size(F.filter(index_terms(F.col(text)), lambda w: w == F.lit(term)))
-
-    each = docs.select(
-        key, F.greatest(F.lit(1), F.size(index_terms(F.col(title))) + F.size(index_terms(F.col(lede)))).alias("_n"),
-        *[(TITLE_WEIGHT * count(title, t) + LEDE_WEIGHT * count(lede, t)).alias(f"_f{i}") for i, t in enumerate(terms)],
+    def count(terms_of: str, term: str) -> Column:
+        return F.size(F.filter(terms_of, lambda w: w == F.lit(term)))
+
+    # The terms are made once; a projection that is used several times is not merged into the next.
+    made = docs.select(key, index_terms(F.col(title)).alias("_t"), index_terms(F.col(lede)).alias("_l"))
+    each = made.select(
+        key, F.greatest(F.lit(1), F.size("_t") + F.size("_l")).alias("_n"),
+        *[(TITLE_WEIGHT * count("_t", t) + LEDE_WEIGHT * count("_l", t)).alias(f"_f{i}") for i, t in enumerate(terms)],
     )
     stats = each.agg(F.count("*").alias("_docs"), F.greatest(F.lit(1.0), F.avg("_n")).alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))])
     norm = (1 - b) + b * F.col("_n") / F.col("_avg")

@@ -18,6 +18,7 @@ from larkspur.sources.tables import table
 
 R = Registry()
 TOPICS = [("Energy", ["energy", "energía", "energie", "énergie"]), ("Finance", ["dividend", "bonds", "merger", "fusion", "shares"]), ("Labour", ["union", "workers", "beschäftigte", "trabajadores"]), ("Courts", ["dispute", "appealed", "inquiry"])]
+# Intents with the points and the phrases that show them.
 INTENTS = [
     ("informative", 0.6, ["according to", "analysis", "data shows", "evidence", "findings", "reported", "research", "study"]), ("persuasive", 0.8, ["should ", "must ", "we urge", "we recommend", "need to", "call to action", "imperative", "critical that"]),
     ("instructional", 0.8, ["how to", "step ", "first,", "next,", "finally,", "guide", "instructions", "procedure"]), ("narrative", 0.7, ["i remember", "i was", "we were", "story", "journey", "experience", "chapter", "narrative"]),
