@@ -1,18 +1,14 @@
 """Deduplication of new batches against all that came before.
 
-Method: content-defined chunking. A text's words are cut into chunks behind
-every word whose hash has a low bit of zero, so a cut depends on the word alone
-and an edit moves only the chunks it touches. The chunk table holds (chunk,
-class, bytes) and is appended to; a batch is joined with it by chunk, pairs
-whose sizes or parity bitmaps rule them out are dropped at once, the bytes of
-the shared chunks are summed, and pairs that share enough of the smaller text's
-bytes are verified exactly on their word sets. Page address and fingerprint are
-looked up by equality in the same way.
+Method: the exact index of wordsets over classes of equal word sets. A class is
+settled by one similar class of an earlier batch; pairs under one key whose
+sizes or parity bitmaps rule them out are dropped at once, and the rest is
+verified exactly on the word sets. No key is left out, however many texts have
+it. Page address and fingerprint are looked up by equality.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from larkspur.llm import wordsets
 from larkspur.llm.near_duplicates import TEXTS
 from larkspur.sources.tables import table, written
 
-#: A chunk of at least this share of all records, and of FLOOR records, says nothing about a pair; at most (chunks a record) / COMMON of them exist.
-COMMON = 1 / 5000
-FLOOR = 64
-#: The least share of the smaller text's telling bytes that a pair must have in common to be verified.
-COVERAGE = 0.15
+#: Under a key of at least BUSY entries, all are first held against its PILOTS earliest classes of each role.
+BUSY = 1000
+PILOTS = 4
 # Parameters of an address that do not make it another page.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "mc_cid", "mc_eid", "mkt_tok", "icid", "ref", "ref_", "cmpid", "clid"]
 
@@ -58,126 +53,80 @@ def fingerprint(simhash: Column) -> Column:
     return F.when((plain != "") & ~plain.rlike(r"^(.)\1*$"), plain)
 
 
-_CHUNK = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "h", "bits")] + [T.StructField(c, T.IntegerType()) for c in ("size", "bytes", "total", "batch")])
-
-
-def _chunked(texts: list[list[str | None]], cache: dict) -> tuple[np.ndarray, ...]:
-    """Of all records: chunk hashes, their bytes and records; words' hashes of the word sets and their sizes."""
-    flat: list[int] = []
-    length: list[int] = []
-    sizes = []
-    find, normal = wordsets._WORD.findall, unicodedata.normalize
-    for record in zip(*texts):
-        words = find(normal("NFC", " ".join([t or "" for t in record])).lower())
-        sizes.append(len(words))
-        flat.extend([cache[w] for w in words])
-        length.extend(map(len, words))
-    hashes, sizes = np.array(flat, np.uint64), np.array(sizes, np.int64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    if not len(hashes):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), hashes, sizes, row
-    first = np.concatenate([[True], row[1:] != row[:-1]])
-    # A chunk begins with a text and behind each cut; a word is weighted by its place in the chunk.
-    begins = first.copy()
-    begins[1:] |= (wordsets._mix(hashes[:-1]) & np.uint64(1)) == 0
-    start = np.flatnonzero(begins)
-    place = np.arange(len(hashes)) - np.repeat(start, np.diff(np.append(start, len(hashes))))
-    chunk = wordsets._mix(np.add.reduceat(wordsets._mix(hashes + (place.astype(np.uint64) << np.uint64(40))), start))
-    return chunk, np.add.reduceat(np.array(length, np.int64) + 1, start), row[start], hashes, sizes, row
-
-
-def _set_classes(hashes: np.ndarray, row: np.ndarray, records: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, parity bitmap and size of each record's word set; zeros for records without words."""
-    h, bits, size = np.zeros(records, np.uint64), np.zeros(records, np.uint64), np.zeros(records, np.int64)
-    if len(hashes):
-        order = np.lexsort((hashes, row))
-        r, w = row[order], hashes[order]
-        new = np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])
-        r, w = r[new], w[new]
-        size = np.bincount(r, minlength=records).astype(np.int64)
-        h[size > 0], bits[size > 0] = wordsets._classes(w, size)
-    return h, bits, size
-
-
-def chunk_table(df: DataFrame, texts: list[str], batch: str, common: np.ndarray) -> DataFrame:
-    """The entries of the chunk table: key (chunk), h (class), bits and size of its word set, bytes of the chunk, total telling bytes of the text, batch.
-
-    Chunks among the common ones are left out of the entries and of the total.
-    """
-    sent = df.sparkSession.sparkContext.broadcast(np.sort(common))
+ENTRY = T.StructType([*wordsets.SIGNATURE.fields, T.StructField("first", T.LongType())])
+_CLASS = "h bigint, words array<bigint>, first bigint"
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, common = wordsets._Hashes(), sent.value
-        for b in batches:
-            if len(cache) > wordsets._CACHE_LIMIT:
-                cache.clear()
-            columns = b.to_pydict()
-            chunk, size, of, hashes, sizes, row = _chunked([columns[t] for t in texts], cache)
-            h, bits, words = _set_classes(hashes, row, len(sizes))
-            if len(common):
-                at = np.searchsorted(common, chunk)
-                at[at == len(common)] = 0
-                keep = common[at] != chunk
-                chunk, size, of = chunk[keep], size[keep], of[keep]
-            order = np.lexsort((chunk, of))
-            chunk, size, of = chunk[order], size[order], of[order]
-            new = np.ones(len(chunk), bool)
-            new[1:] = (chunk[1:] != chunk[:-1]) | (of[1:] != of[:-1])
-            chunk, size, of = chunk[new], size[new], of[new]
-            total = np.bincount(of, weights=size, minlength=len(sizes)).astype(np.int32)
-            when = np.array(columns[batch], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk.view(np.int64)), pa.array(h[of].view(np.int64)), pa.array(bits[of].view(np.int64)), pa.array(words[of].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(total[of]), pa.array(when[of])], _CHUNK.names)
-
-    return df.select(*texts, batch).mapInArrow(work, _CHUNK)
-
-
-def common_chunks(df: DataFrame, texts: list[str], share: float = COMMON) -> np.ndarray:
-    """Hashes of the chunks in at least the share of all records, counted over all of them (see wordsets.frequent_words)."""
-
-    def flat(columns: list, cache: dict) -> tuple[np.ndarray, np.ndarray]:
-        chunk, _, of, _, sizes, _ = _chunked(columns, cache)
-        order = np.lexsort((chunk, of))
-        chunk, of = chunk[order], of[order]
-        new = np.ones(len(chunk), bool)
-        new[1:] = (chunk[1:] != chunk[:-1]) | (of[1:] != of[:-1])
-        return chunk[new], np.bincount(of[new], minlength=len(sizes)).astype(np.int64)
-
-    return wordsets.frequent_words(df, texts, share, flat, FLOOR)
-
-
-def candidates(entries: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """Columns h_a < h_b: classes that share enough bytes, of which one has a record in a later batch than the other's first.
-
-    entries is a chunk table of history and new batches; entries of one class
-    and chunk count once, with their first and last batch. A pair is dropped
-    before its bytes are summed if its word sets' sizes or bitmaps rule a
-    similarity of 0.65 out. Both sides read the same columns, so that one
-    exchange by chunk serves both.
-    """
-    each = entries.repartition("key").groupBy("key", "h").agg(F.first("bits").alias("bits"), F.first("size").alias("size"), F.first("bytes").alias("bytes"), F.max("total").alias("total"), F.min("batch").alias("first"), F.max("batch").alias("last"))
-    met = each.alias("a").join(each.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h")) & (F.least("a.first", "b.first") < F.greatest("a.last", "b.last")) & _fits())
-    return _covered(met, coverage)
 
+def classes_of_batches(df: DataFrame, texts: list[str], batch: str) -> DataFrame:
+    """Columns h (class), words (hashes of its word set) and first (smallest batch), one row a class."""
 
-def _fits() -> Column:
-    """Whether the sizes and bitmaps of a and b leave a similarity of 0.65 possible."""
-    n, d = wordsets.NUMERATOR, wordsets.DENOMINATOR
-    both = F.col("a.size") + F.col("b.size")
-    shared = F.floor((n * both + n + d - 1) / (n + d)).cast("int")
-    return (d * F.least("a.size", "b.size") >= n * F.greatest("a.size", "b.size")) & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= both - 2 * shared)
+    def emit(when: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        h, _ = wordsets._classes(flat, sizes)
+        offsets = np.concatenate([[0], np.cumsum(sizes[sizes > 0])]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))), pa.array(when[sizes > 0])], ["h", "words", "first"])
+
+    rows = df.select(*texts, F.col(batch).cast("bigint").alias("_batch")).mapInArrow(lambda b: wordsets._batches(b, "_batch", texts, emit), _CLASS)
+    return rows.groupBy("h").agg(F.first("words").alias("words"), F.min("first").alias("first"))
+
+
+def index_entries(classes: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """The entries of the classes (h, words, first) in the index: wordsets.SIGNATURE and the class's first batch."""
+    order = np.argsort(frequent)
+    sent = classes.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))
+
+    def emit(when: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch | None:
+        if not len(flat):
+            return None
+        keys, h, bits, m = wordsets._signatures(flat, sizes, *sent.value)
+        own, _ = wordsets._classes(flat, sizes)
+        by = np.argsort(own)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h.view(np.int64)), pa.array(bits.view(np.int64)), pa.array(m.astype(np.int32)), pa.array(when[by][np.searchsorted(own[by], h)])], ENTRY.names)
 
+    return classes.select("words", "first").mapInArrow(lambda b: wordsets._batches(b, "first", ["words"], emit, wordsets.listed), ENTRY)
 
-def _covered(met: DataFrame, coverage: float) -> DataFrame:
-    """Columns h_a and h_b of the pairs whose shared chunks hold enough of the smaller text's telling bytes."""
-    summed = met.groupBy(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b")).agg(F.sum(F.least("a.bytes", "b.bytes")).alias("_s"), F.min(F.least("a.total", "b.total")).alias("_t"))
-    return summed.where(F.col("_s") >= coverage * F.col("_t")).select("h_a", "h_b")
 
+def _met(late: DataFrame, early: DataFrame) -> DataFrame:
+    """Columns h_a and h_b: candidates of which the first class is later than the second."""
+    size_a, size_b = F.expr("a.m >> 2"), F.expr("b.m >> 2")
+    # Roles of both sides as one number: see wordsets.class_pairs.
+    roles = F.expr("(a.m & 3) + 4 * (b.m & 3)")
+    small, large = wordsets.SMALL + 4 * wordsets.LARGE, wordsets.LARGE + 4 * wordsets.SMALL
+    meet = (roles == wordsets.EVEN) | ((roles == small) & (size_a <= size_b)) | ((roles == large) & (size_a >= size_b))
+    found = late.alias("a").join(early.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.first") > F.col("b.first")) & meet & _fits(size_a, size_b))
+    return found.select(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b")).distinct()
 
-def similar_classes(df: DataFrame, texts: list[str], batch: str) -> DataFrame:
-    """Columns h and h_b, both ways: similar classes whose records are not all of one batch."""
-    pairs = candidates(chunk_table(df, texts, batch, common_chunks(df, texts)))
-    similar = written(wordsets.verified(pairs, wordsets.class_words(df, texts)), "similar-pairs")
-    return similar.select(F.col("h_a").alias("h"), "h_b").union(similar.select(F.col("h_b").alias("h"), F.col("h_a").alias("h_b")))
+
+def witnesses(new: DataFrame, new_words: DataFrame, old: DataFrame, old_words: DataFrame, busy: int = BUSY) -> DataFrame:
+    """Column h: the classes of new that have a similar class of a smaller first batch in old. Exact.
+
+    new and old are index entries, made with the same frequent words. One
+    witness settles a class, so the classes under busy keys are first held
+    against a few early classes of each such key, and only the rest against
+    every earlier one: a large family of edited copies is not listed pair by
+    pair.
+    """
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        a = pairs.join(new_words.select(F.col("h").alias("h_a"), F.col("words").alias("_a")), "h_a")
+        both = a.join(old_words.select(F.col("h").alias("h_b"), F.col("words").alias("_b")), "h_b")
+        shared = F.size(F.array_intersect("_a", "_b"))
+        return both.where(wordsets.DENOMINATOR * shared >= wordsets.NUMERATOR * (F.size("_a") + F.size("_b") - shared)).select(F.col("h_a").alias("h")).distinct()
+
+    keys = written(old.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") >= busy).select("key"), "busy-keys")
+    if keys.isEmpty():
+        return similar(_met(new, old))
+    role = Window.partitionBy("key", F.expr("m & 3")).orderBy("first", "h")
+    pilots = old.join(keys, "key", "left_semi").withColumn("_r", F.row_number().over(role)).where(F.col("_r") <= PILOTS).drop("_r")
+    settled = written(similar(_met(new.join(keys, "key", "left_semi"), pilots)), "settled")
+    return settled.union(similar(_met(new.join(settled, "h", "left_anti"), old)))
+
+
+def _fits(size_a: Column, size_b: Column) -> Column:
+    """Whether the sizes and bitmaps of a and b leave a similarity of 0.65 possible."""
+    n, d = wordsets.NUMERATOR, wordsets.DENOMINATOR
+    both = size_a + size_b
+    shared = F.floor((n * both + n + d - 1) / (n + d)).cast("int")
+    return (d * F.least(size_a, size_b) >= n * F.greatest(size_a, size_b)) & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= both - 2 * shared)
 
 
 def members_of_batches(df: DataFrame, key: str, texts: list[str], batch: str) -> DataFrame:
@@ -204,11 +153,12 @@ def seen_before(df: DataFrame, key: str, texts: list[str], url: str, simhash: st
     """
     df = df.where(F.col(batch).isNotNull() & F.col(key).isNotNull())
     member = written(members_of_batches(df, key, texts, batch), "members")
-    own = member.groupBy("h").agg(F.min("batch").alias("_own"))
-    linked = similar_classes(df.withColumn(batch, F.col(batch).cast("int")), texts, batch)
-    near = linked.join(own.select(F.col("h").alias("h_b"), F.col("_own").alias("_near")), "h_b").groupBy("h").agg(F.min("_near").alias("_near"))
-    known = own.join(near, "h", "left").select("h", F.least("_own", "_near").alias("_first"))
-    found = member.where("batch >= 1").join(known, "h").where("_first < batch").select("id")
+    classes = written(classes_of_batches(df, texts, batch), "classes")
+    entries = index_entries(classes, wordsets.frequent_words(classes, ["words"], flatten=wordsets.listed)).repartition("key")
+    near = witnesses(entries, classes, entries, classes).withColumn("_near", F.lit(True))
+    # All records of a class with a witness have a smaller batch before them; of the others those behind the class's first batch.
+    known = classes.select("h", "first").join(near, "h", "left")
+    found = member.where("batch >= 1").join(known, "h").where("_near OR first < batch").select("id")
     for value in (page_address(F.col(url)), fingerprint(F.col(simhash))):
         keyed = df.select(F.col(key).alias("id"), F.col(batch).alias("batch"), value.alias("_v")).where("_v IS NOT NULL")
         first = keyed.groupBy("_v").agg(F.min("batch").alias("_first"), F.max("batch").alias("_last")).where("_first < _last").select("_v", "_first")
@@ -221,17 +171,17 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 class History:
-    """A persistent history: chunk table, words, addresses and fingerprints of all accepted records, in a shared folder.
+    """A persistent history: index, words, addresses and fingerprints of all accepted records, in a shared folder.
 
     seen() holds a batch against the history alone and reads it once by key;
-    accept() appends a batch. Chunks that are common are those of the first
+    accept() appends a batch. Words that are frequent are those of the first
     batch accepted, so that entries of all batches agree.
     """
 
     def __init__(self, spark: SparkSession, path: str, texts: list[str]):
         self.spark, self.path, self.texts = spark, path.rstrip("/"), texts
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _read(self, name: str, schema: str | T.StructType) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         except Exception as e:
@@ -239,39 +189,33 @@ class History:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _common(self, df: DataFrame, first: bool) -> np.ndarray:
-        held = self._read("common", "word bigint")
+    def _frequent(self, classes: DataFrame, first: bool) -> np.ndarray:
+        held = self._read("frequent", "word bigint, place int")
         if first and held.isEmpty():
-            words = common_chunks(df, self.texts).view(np.int64).tolist()
-            self.spark.createDataFrame([(w,) for w in words] or [(0,)], "word bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/common")
-            held = self._read("common", "word bigint")
-        return np.array([r.word for r in held.collect()], np.int64).view(np.uint64)
+            words = wordsets.frequent_words(classes, ["words"], flatten=wordsets.listed).view(np.int64).tolist()
+            self.spark.createDataFrame([*zip(words, range(len(words)))] or [(0, 0)], "word bigint, place int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/frequent")
+            held = self._read("frequent", "word bigint, place int")
+        return np.array([r.word for r in held.orderBy("place").collect()], np.int64).view(np.uint64)
 
-    def _entries(self, df: DataFrame, first: bool = False) -> DataFrame:
-        return chunk_table(df.withColumn("_batch", F.lit(0)), self.texts, "_batch", self._common(df, first))
+    def _classes(self, df: DataFrame, first: int) -> DataFrame:
+        return written(classes_of_batches(df.withColumn("_first", F.lit(first)), self.texts, "_first"), "classes")
 
     def accept(self, df: DataFrame, url: str, simhash: str) -> None:
         """Appends the records of a batch."""
-        self._entries(df, True).dropDuplicates(["key", "h"]).write.mode("append").parquet(f"{self.path}/chunks")
-        wordsets.class_words(df, self.texts).write.mode("append").parquet(f"{self.path}/words")
+        classes = self._classes(df, 0)
+        index_entries(classes, self._frequent(classes, True)).write.mode("append").parquet(f"{self.path}/index")
+        classes.write.mode("append").parquet(f"{self.path}/words")
         keys = df.select(F.explode(F.array_compact(F.array(F.concat(F.lit("page "), page_address(F.col(url))), F.concat(F.lit("print "), fingerprint(F.col(simhash)))))).alias("k"))
         keys.distinct().write.mode("append").parquet(f"{self.path}/keys")
 
     def seen(self, df: DataFrame, key: str, url: str, simhash: str) -> DataFrame:
         """Column id: records of df whose text, page or fingerprint the history holds; nothing of df itself counts."""
-        words = self._read("words", "h bigint, words array<bigint>").dropDuplicates(["h"])
-        member = wordsets.members(df, key, self.texts)
-        new = self._entries(df).dropDuplicates(["key", "h"]).alias("a")
-        old = self._read("chunks", _CHUNK.simpleString()[7:-1].replace(":", " ").replace(",", ", ")).dropDuplicates(["key", "h"]).alias("b")
-        met = new.join(old, (F.col("a.key") == F.col("b.key")) & (F.col("a.h") != F.col("b.h")) & _fits())
-        # The new side of a pair takes its words from the batch, the old one from the history.
-        pairs = _covered(met, COVERAGE)
-        own = wordsets.class_words(df, self.texts)
-        joined = pairs.join(own.select(F.col("h").alias("h_a"), F.col("words").alias("_a")), "h_a").join(words.select(F.col("h").alias("h_b"), F.col("words").alias("_b")), "h_b")
-        shared = F.size(F.array_intersect("_a", "_b"))
-        near = joined.where(wordsets.DENOMINATOR * shared >= wordsets.NUMERATOR * (F.size("_a") + F.size("_b") - shared)).select(F.col("h_a").alias("h"))
+        words = self._read("words", _CLASS).dropDuplicates(["h"])
+        old = self._read("index", ENTRY).dropDuplicates(["key", "h", "m"])
+        classes = self._classes(df, 1)
+        near = witnesses(index_entries(classes, self._frequent(classes, False)), classes, old, words)
         known = near.union(words.select("h")).distinct()
-        found = member.join(known, "h", "left_semi").select("id")
+        found = wordsets.members(df, key, self.texts).join(known, "h", "left_semi").select("id")
         keys = self._read("keys", "k string").distinct()
         kept = df.select(F.col(key).cast("bigint").alias("id"), F.explode(F.array_compact(F.array(F.concat(F.lit("page "), page_address(F.col(url))), F.concat(F.lit("print "), fingerprint(F.col(simhash)))))).alias("k"))
         return found.union(kept.join(keys, "k", "left_semi").select("id")).distinct()

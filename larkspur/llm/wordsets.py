@@ -74,6 +74,15 @@ def _flat(columns: list[list[str | None]], cache: _Hashes) -> tuple[np.ndarray,
     return np.array(flat, dtype=np.uint64), np.array(sizes, dtype=np.int64)
 
 
+def _tokens(columns: list[pa.Array], cache: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    return _flat([c.to_pylist() for c in columns], cache)
+
+
+def listed(columns: list[pa.Array], _: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """As _tokens, of one column that holds the hashes of word sets already."""
+    return columns[0].flatten().to_numpy(zero_copy_only=False).view(np.uint64), columns[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _classes(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class hash and parity bitmap of each record with at least one word."""
     starts = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]]).astype(np.int64)
@@ -84,17 +93,16 @@ def _classes(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _mix(sums + sizes[sizes > 0].astype(np.uint64)), bits
 
 
-def _batches(batches: Iterator[pa.RecordBatch], key: str | None, texts: list[str], work: Callable) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], key: str | None, texts: list[str], work: Callable, flatten: Callable = _tokens) -> Iterator[pa.RecordBatch]:
     cache = _Hashes()
     for batch in batches:
-        table = batch.to_pydict()
-        flat, sizes = _flat([table[t] for t in texts], cache)
-        out = work(np.array(table[key], dtype=np.int64) if key else None, flat, sizes)
+        flat, sizes = flatten([batch.column(t) for t in texts], cache)
+        out = work(batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64) if key else None, flat, sizes)
         if out is not None:
             yield out
 
 
-def frequent_words(df: DataFrame, texts: list[str], share: float = FREQUENT, flatten: Callable = _flat, floor: int = 2) -> np.ndarray:
+def frequent_words(df: DataFrame, texts: list[str], share: float = FREQUENT, flatten: Callable = _tokens, floor: int = 2) -> np.ndarray:
     """Hashes of the frequent words, rarest first.
 
     Every partition counts all its words and passes on those in at least half
@@ -108,8 +116,7 @@ def frequent_words(df: DataFrame, texts: list[str], share: float = FREQUENT, fla
         cache, parts, records = _Hashes(), [], 0
         total: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for batch in batches:
-            table = batch.to_pydict()
-            flat, sizes = flatten([table[t] for t in texts], cache)
+            flat, sizes = flatten([batch.column(t) for t in texts], cache)
             records += int((sizes > 0).sum())
             words, counts = np.unique(flat, return_counts=True)
             parts.append((words, counts))

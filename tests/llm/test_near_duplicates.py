@@ -145,3 +145,45 @@ def test_persistent_history_takes_batches_one_by_one(spark) -> None:
         found |= {r.id for r in store.seen(df, "id", "url", "simhash").collect()}
         store.accept(df, "url", "simhash")
     assert found <= expected and len(found) >= 0.95 * len(expected)
+
+
+def family(members: int) -> list[tuple[int, str, str]]:
+    """Edited copies of one text, every chunk of which is common, among other texts."""
+    rng = random.Random(11)
+    base, rows = [f"base{k}" for k in range(60)], []
+    for i in range(members):
+        words = [f"own{i}x{k}" if k in edited else w for edited in [set(rng.sample(range(60), rng.randint(3, 9)))] for k, w in enumerate(base)]
+        rows.append((i, " ".join(words[:5]), " ".join(words[5:])))
+    return rows + [(members + i, f"other{i}", " ".join(rng.choice(WORDS) for _ in range(30))) for i in range(100)]
+
+
+def test_history_finds_a_large_family_of_edited_copies(spark) -> None:
+    rows = family(400)
+    # One member comes first, so that most need a witness that is not among the earliest.
+    batch = {i: 0 if i == 0 else 1 + i % 3 for i, _, _ in rows}
+    df = spark.createDataFrame([(*r, None, None, batch[r[0]]) for r in rows], "id bigint, title string, lede string, url string, simhash string, batch int")
+    expected = {max(p, key=batch.get) for p in brute(rows) if batch[p[0]] != batch[p[1]]}
+    assert len(expected) > 250
+    assert {r.id for r in history.seen_before(df, "id", ["title", "lede"], "url", "simhash", "batch").collect()} == expected
+
+
+def test_busy_keys_are_settled_by_pilots_and_the_rest(spark) -> None:
+    rows = family(200)
+    df = spark.createDataFrame([(*r, r[0] % 4) for r in rows], "id bigint, title string, lede string, batch int")
+    expected = {max(p, key=lambda i: i % 4) for p in brute(rows) if p[0] % 4 != p[1] % 4}
+    classes = history.classes_of_batches(df, ["title", "lede"], "batch")
+    entries = history.index_entries(classes, wordsets.frequent_words(classes, ["words"], flatten=wordsets.listed))
+    near = history.witnesses(entries, classes, entries, classes, busy=20)
+    assert {r.id for r in wordsets.members(df, "id", ["title", "lede"]).join(near, "h").collect()} == expected
+
+
+def test_persistent_history_finds_a_large_family(spark) -> None:
+    from larkspur.sources.tables import scratch
+
+    rows = family(400)
+    old = {i for i, _, _ in rows if i % 2 == 0}
+    expected = {max(p, key=lambda i: i not in old) for p in brute(rows) if (p[0] in old) != (p[1] in old)}
+    store, schema = history.History(spark, scratch(spark, "history"), ["title", "lede"]), "id bigint, title string, lede string, url string, simhash string"
+    store.accept(spark.createDataFrame([(*r, None, None) for r in rows if r[0] in old], schema), "url", "simhash")
+    found = store.seen(spark.createDataFrame([(*r, None, None) for r in rows if r[0] not in old], schema), "id", "url", "simhash")
+    assert len(expected) > 150 and {r.id for r in found.collect()} == expected
