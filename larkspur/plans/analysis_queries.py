@@ -212,9 +212,9 @@ def expression_columns() -> dict[str, Column]:
     text = F.col("text")
     first = F.try_element_at(tx.words(text), F.lit(1))
     return {
-        "fold": tx.fold(F.substring(text, 1, 60)), "entity": tx.entity_key(F.substring(text, 1, 40)), "name": tx.name_key(F.substring(text, 1, 40)), "spans": F.array_join(tx.capitalised_spans(F.substring(text, 1, 80)), "|"),
-        "preview": tx.preview(text, 40), "punctuated": tx.punctuated(F.substring(text, 1, 30)), "capitalised": tx.capitalised(F.substring(text, 1, 30)), "items": F.array_join(tx.list_items(F.substring(text, 1, 60)), "|"),
-        "stem": tx.stem(first), "syllables": tx.syllables(first), "highlight": tx.highlighted(F.substring(text, 1, 60), ["the", "of"]), "age": tx.elapsed_label(F.coalesce("n_chars", F.lit(0)) * 60),
+        "fold": tx.fold(text), "entity": tx.entity_key(text), "name": tx.name_key(text), "spans": F.array_join(tx.capitalised_spans(text), "|"),
+        "preview": tx.preview(text, 40), "punctuated": tx.punctuated(text), "capitalised": tx.capitalised(text), "items": F.array_join(tx.list_items(text), "|"),
+        "stem": tx.stem(first), "syllables": tx.syllables(first), "highlight": tx.highlighted(text, ["the", "of"]), "age": tx.elapsed_label(F.coalesce("n_chars", F.lit(0)) * 60),
     }
 
 

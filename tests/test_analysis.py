@@ -67,3 +67,15 @@ def test_streams_in_one_file_and_in_folders(spark, tmp_path) -> None:
     assert {(r.k, r.d) for r in snap.collect()} == {(1, "a"), (2, "a")}
     first = jobs.to_table(jobs.first_of_digest(jobs.stream_of(spark, str(tmp_path), "t"), "at", F.col("d")), "f")
     assert sorted(r.d for r in first.collect()) == ["a", "b"]
+
+
+def test_text_expressions_read_the_whole_text(spark) -> None:
+    from pyspark.sql import functions as F
+
+    from larkspur.plans.analysis_queries import expression_columns
+
+    text = "x" * 90 + ", Caf\u00e9 Noir, the end"
+    row = spark.createDataFrame([(text, 5)], "text string, n_chars int").select(*[c.alias(n) for n, c in expression_columns().items()]).first()
+    assert row.fold == text.replace("\u00e9", "e") and row.entity == text.lower() and row.name.endswith("noir the end")
+    assert row.spans == "Caf\u00e9 Noir" and row["items"] == "x" * 90 + "|Caf\u00e9 Noir|the end" and row.highlight.endswith("<mark>the</mark> end")
+    assert row.punctuated == text + "." and row.capitalised == "X" + text[1:]
