@@ -49,6 +49,19 @@ def key_phrases(df: DataFrame, key: str, text: str, boundaries: list[str], limit
     return ranked.where(F.col("rank") <= limit).select(key, "rank", "phrase", "score")
 
 
+def remainders(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Columns name (the word) and _k: what is left of each word after at most two deletions. Words within two edits have one in common."""
+
+    def shorter(step: DataFrame) -> DataFrame:
+        k = F.col("_k")
+        cut = F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: F.concat(F.substring(F.col("_k"), 1, i - 1), F.substring(F.col("_k"), i + 1, F.length(F.col("_k")))))
+        return step.where(F.length("_k") > 0).select(name, F.explode(cut).alias("_k")).distinct()
+
+    whole = df.select(F.col(column).alias(name), F.col(column).alias("_k"))
+    one = shorter(whole)
+    return whole.unionAll(one).unionAll(shorter(one)).distinct()
+
+
 def spelling(words: DataFrame, word: str, lexicon: DataFrame, known: str, limit: int = 3) -> DataFrame:
     """Columns word, rank, suggestion, distance: known words at most two edits from each word that is not known.
 
@@ -58,17 +71,6 @@ def spelling(words: DataFrame, word: str, lexicon: DataFrame, known: str, limit:
     letters differ + .05 if the first two do + .01 for each letter of
     difference in length, then the suggestion.
     """
-
-    def remainders(df: DataFrame, column: str, name: str) -> DataFrame:
-        def shorter(step: DataFrame) -> DataFrame:
-            k = F.col("_k")
-            cut = F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: F.concat(F.substring(F.col("_k"), 1, i - 1), F.substring(F.col("_k"), i + 1, F.length(F.col("_k")))))
-            return step.where(F.length("_k") > 0).select(name, F.explode(cut).alias("_k")).distinct()
-
-        whole = df.select(F.col(column).alias(name), F.col(column).alias("_k"))
-        one = shorter(whole)
-        return whole.unionAll(one).unionAll(shorter(one)).distinct()
-
     unknown = words.select(F.col(word).alias("word")).where(F.length("word") > 2).distinct().join(lexicon.select(F.col(known).alias("word")), "word", "left_anti")
     near = remainders(unknown, "word", "word").join(remainders(lexicon.select(known).where(F.length(known) > 2).distinct(), known, "suggestion"), "_k").select("word", "suggestion").distinct()
     scored = near.withColumn("distance", F.levenshtein("word", "suggestion", 2)).where("distance BETWEEN 1 AND 2")

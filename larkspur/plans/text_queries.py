@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from larkspur.functions import text as tx
 from larkspur.operators import cooccurrence as co
 from larkspur.operators import vectors
+from larkspur.operators.analysis import remainders
 from larkspur.plans.registry import Registry
 from larkspur.sources.tables import table
 
@@ -234,6 +235,16 @@ def levenshtein_fuzzy_join(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(b, "k").where(F.abs(F.length("term") - F.length("known")) <= 2).withColumn("distance", F.levenshtein("term", "known", 2)).where("distance BETWEEN 1 AND 2").select("term", "known", "distance")
 
 
+@R.add("""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(name), '[^a-z0-9]+')) AS known FROM companies), t AS (SELECT DISTINCT * FROM (SELECT unnest(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z0-9]+')) AS term FROM market_news) WHERE length(term) >= 4)
+SELECT term, known, levenshtein(term, known)::INT AS distance FROM t JOIN w ON length(known) >= 4 AND levenshtein(term, known) BETWEEN 1 AND 2""")
+def levenshtein_fuzzy_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of titles one or two edits from a word of a company's name, from four letters on, wherever the edits are."""
+    known = table(spark, folder, "companies").select(F.explode(tx.ascii_words(F.col("name"))).alias("known")).where(F.length("known") >= 4).distinct()
+    terms = table(spark, folder, "market_news").select(F.explode(tx.ascii_words(F.col("title"))).alias("term")).where(F.length("term") >= 4).distinct()
+    near = remainders(terms, "term", "term").join(remainders(known, "known", "known"), "_k").select("term", "known").distinct()
+    return near.withColumn("distance", F.levenshtein("term", "known", 2)).where("distance BETWEEN 1 AND 2")
+
+
 @R.add("""WITH s AS (SELECT * FROM (VALUES ('the'), ('and'), ('of'), ('to'), ('in'), ('a')) v(w)), t AS (SELECT * FROM (SELECT unnest(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z0-9]+')) AS term FROM market_news) WHERE term <> '')
 SELECT term, count(*) AS n FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.w = t.term) GROUP BY term""")
 def stopword_anti_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -79,3 +79,12 @@ def test_text_expressions_read_the_whole_text(spark) -> None:
     assert row.fold == text.replace("\u00e9", "e") and row.entity == text.lower() and row.name.endswith("noir the end")
     assert row.spans == "Caf\u00e9 Noir" and row["items"] == "x" * 90 + "|Caf\u00e9 Noir|the end" and row.highlight.endswith("<mark>the</mark> end")
     assert row.punctuated == text + "." and row.capitalised == "X" + text[1:]
+
+
+def test_fuzzy_pairs_wherever_the_edits_are(spark, tmp_path) -> None:
+    from larkspur.plans.text_queries import levenshtein_fuzzy_pairs
+
+    spark.createDataFrame([("Alpine Gold",)], "name string").write.parquet(f"{tmp_path}/companies.parquet")
+    spark.createDataFrame([("elpine olpine lpine apline alpine fold bold silver gol",)], "title string").write.parquet(f"{tmp_path}/market_news.parquet")
+    rows = {(r.term, r.known, r.distance) for r in levenshtein_fuzzy_pairs(spark, str(tmp_path)).collect()}
+    assert rows == {("elpine", "alpine", 1), ("olpine", "alpine", 1), ("lpine", "alpine", 1), ("apline", "alpine", 2), ("fold", "gold", 1), ("bold", "gold", 1)}
