@@ -258,6 +258,44 @@ def language_segments(df: DataFrame, key: str, text: str, models: Models, keep:
     return df.select(key, text, *through[1:]).mapInArrow(work, f"{kinds}, seg int, lang string, confidence double, n_sentences int, n_languages int, text string")
 
 
+def article_languages(df: DataFrame, key: str, title: str, text: str, models: Models) -> DataFrame:
+    """One row per record: key, lang and confidence, over the title and the whole sentences of the text together.
+
+    A text without a whole sentence is read as it is. Both are null where
+    there are no letters; rows that repeat stay repeated.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(models)
+
+    def parts(models: Models, title: str | None, text: str | None) -> list[str]:
+        pieces = [title or "", *(sentences(text) or [text or ""])]
+        return [p for p in pieces if any(map(str.isalpha, p))] if models.languages else []
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = sent.value
+        for batch in batches:
+            found = [parts(models, t.as_py(), x.as_py()) for t, x in zip(batch.column(1), batch.column(2))]
+            bits = models.code_lengths([p for f in found for p in f])
+            langs: list[str | None] = []
+            shares: list[float | None] = []
+            i = 0
+            for pieces in found:
+                total = bits[i : i + len(pieces)].sum(axis=0)
+                i += len(pieces)
+                langs.append(models.languages[int(total.argmin())] if pieces else None)
+                shares.append(float(1.0 / np.exp2(np.maximum(total.min() - total, -1000.0)).sum()) if pieces else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(shares, pa.float64())], [key, "lang", "confidence"])
+
+    return df.select(key, title, text).mapInArrow(work, f"`{key}` {df.schema[key].dataType.simpleString()}, lang string, confidence double")
+
+
+def p1_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """Every article's language with its confidence."""
+    articles = table(spark, folder, "raw_articles")
+    names = language_names(table(spark, folder, "lang_codes"))
+    models = train(articles, "id", "lede", label_code(F.col("lang"), names), sorted(set(names.values())))
+    return article_languages(articles, "id", "title", "lede", models)
+
+
 def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Every single-language stretch of every lede with its confidence."""
     articles = table(spark, folder, "raw_articles")

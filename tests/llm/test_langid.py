@@ -90,3 +90,12 @@ def test_segments_and_labels(spark) -> None:
     names = {"en": "en", "eng": "en", "english": "en", "pt": "pt", "português": "pt"}
     labels = spark.createDataFrame([(" EN-gb ",), ("pt_BR",), ("Português",), ("xx",), (None,), ("",)], "l string")
     assert [r.c for r in labels.select(langid.label_code(F.col("l"), names).alias("c")).collect()] == ["en", "pt", "pt", None, None, None]
+
+
+def test_every_article_has_a_language(spark) -> None:
+    models = langid.Models({g: [s + "." for s in t] * 3 for g, t in SAMPLES.items()})
+    rows = [(1, SAMPLES["de"][0], None), (2, SAMPLES["en"][0], " "), (3, None, ". ".join((SAMPLES["de"][1], SAMPLES["de"][2])) + "."), (4, None, SAMPLES["en"][1]), (5, None, None), (6, "12", "42.0 %")]
+    df = spark.createDataFrame(rows, "id bigint, title string, lede string")
+    found = {r.id: (r.lang, r.confidence) for r in langid.article_languages(df, "id", "title", "lede", models).collect()}
+    assert {i: g for i, (g, _) in found.items()} == {1: "de", 2: "en", 3: "de", 4: "en", 5: None, 6: None}
+    assert all((c is None) == (g is None) and (c is None or 0.3 < c <= 1.0) for g, c in found.values())
