@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from larkspur.sources.tables import written
+from larkspur.sources.tables import Rounds
 
 _EDGE = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
@@ -17,20 +16,23 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Loops make a component of one node, repeated edges count once, edges with a
     null end are left out, and no edges give no rows. Each round is written to
-    the shared folder; rounds end when the edges are stars already. No node's
-    neighbours are ever collected: minima are taken over sorted partitions.
+    the shared folder and replaces the one before; rounds end when the edges
+    are stars already. The least neighbour of a node is an aggregation that
+    combines before its exchange, and goes back to the edges by a join that
+    adaptive execution can split, so a hub is never one task's work.
     """
+    rounds = Rounds(edges.sparkSession, "edges")
     pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    now = written(pairs.select(F.greatest(a, b).cast("bigint").alias("u"), F.least(a, b).cast("bigint").alias("v")).distinct(), "edges")
+    now = rounds.next(pairs.select(F.greatest(a, b).cast("bigint").alias("u"), F.least(a, b).cast("bigint").alias("v")).distinct())
     before = _mark(now)
-    while True:
+    while before[0]:
         both = now.union(now.select("v", "u"))
         large = _towards_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         ordered = large.union(now.where("u = v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         small = _towards_least(ordered)
         after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
         # An edge from a node to itself says nothing, unless the node is a root.
-        now = written(after, "edges")
+        now = rounds.next(after)
         mark = _mark(now)
         if mark == before:
             break
@@ -40,7 +42,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def _towards_least(edges: DataFrame) -> DataFrame:
     """u, v and m: the least of u and all its neighbours."""
-    return edges.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+    least = edges.groupBy("u").agg(F.min("v").alias("_least"))
+    return edges.join(least, "u").select("u", "v", F.least("u", "_least").alias("m"))
 
 
 def _mark(edges: DataFrame) -> tuple:

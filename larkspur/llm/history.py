@@ -1,30 +1,41 @@
 """Deduplication of new batches against all that came before.
 
-Method: the exact index of wordsets over classes of equal word sets. A class is
-settled by one similar class of an earlier batch; pairs under one key whose
-sizes or parity bitmaps rule them out are dropped at once, and the rest is
-verified exactly on the word sets. No key is left out, however many texts have
-it. Page address and fingerprint are looked up by equality.
+Method: content-defined chunking. A rolling hash over the last WINDOW bytes of
+a text in normal form (its words, lower-cased, one blank between) sets the
+chunks' boundaries. A persistent table holds each chunk once, with the first
+class of texts that had it, so looking up a text gives at most one row a chunk,
+however many texts share it. Shared bytes are summed by pair of new and old
+class; where they cover COVERAGE of the new text the old class is its witness,
+if the word sets confirm it. Chunks that are new are appended.
+
+A text may be similar to an old one without sharing a chunk with the first
+owner of it: classes that chunks do not settle are looked up in the exact index
+of wordsets, which the history holds as well. Exact copies, page addresses and
+fingerprints are looked up by equality.
+
+All tables of a history are bucketed by the key they are looked up by: a batch
+is exchanged, the history never is. Every table holds a key once.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from larkspur.llm import wordsets
 from larkspur.llm.near_duplicates import TEXTS
-from larkspur.sources.tables import table, written
+from larkspur.sources.tables import empty, exists, remove, scratch, spread, table, written
 
-#: Under a key of at least BUSY entries, all are first held against its PILOTS earliest classes of each role.
-BUSY = 1000
-PILOTS = 4
+#: Bytes the rolling hash looks at, and the mean length of a chunk in bytes (a power of two).
+WINDOW, MEAN = 8, 32
+#: Share of a text's bytes that an old text's chunks must cover for it to be compared as a witness.
+COVERAGE = 0.15
 # Parameters of an address that do not make it another page.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "mc_cid", "mc_eid", "mkt_tok", "icid", "ref", "ref_", "cmpid", "clid"]
 
@@ -53,169 +64,246 @@ def fingerprint(simhash: Column) -> Column:
     return F.when((plain != "") & ~plain.rlike(r"^(.)\1*$"), plain)
 
 
-ENTRY = T.StructType([*wordsets.SIGNATURE.fields, T.StructField("first", T.LongType())])
-_CLASS = "h bigint, words array<bigint>, first bigint"
+def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and bytes of every chunk of the texts in their order, and the number of chunks of each text.
 
-
-def classes_of_batches(df: DataFrame, texts: list[str], batch: str) -> DataFrame:
-    """Columns h (class), words (hashes of its word set) and first (smallest batch), one row a class."""
-
-    def emit(when: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-        h, _ = wordsets._classes(flat, sizes)
-        offsets = np.concatenate([[0], np.cumsum(sizes[sizes > 0])]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))), pa.array(when[sizes > 0])], ["h", "words", "first"])
-
-    rows = df.select(*texts, F.col(batch).cast("bigint").alias("_batch")).mapInArrow(lambda b: wordsets._batches(b, "_batch", texts, emit), _CLASS)
-    return rows.groupBy("h").agg(F.first("words").alias("words"), F.min("first").alias("first"))
-
-
-def index_entries(classes: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """The entries of the classes (h, words, first) in the index: wordsets.SIGNATURE and the class's first batch."""
-    order = np.argsort(frequent)
-    sent = classes.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))
-
-    def emit(when: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch | None:
-        if not len(flat):
-            return None
-        keys, h, bits, m = wordsets._signatures(flat, sizes, *sent.value)
-        own, _ = wordsets._classes(flat, sizes)
-        by = np.argsort(own)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h.view(np.int64)), pa.array(bits.view(np.int64)), pa.array(m.astype(np.int32)), pa.array(when[by][np.searchsorted(own[by], h)])], ENTRY.names)
-
-    return classes.select("words", "first").mapInArrow(lambda b: wordsets._batches(b, "first", ["words"], emit, wordsets.listed), ENTRY)
-
-
-def _met(late: DataFrame, early: DataFrame) -> DataFrame:
-    """Columns h_a and h_b: candidates of which the first class is later than the second."""
-    size_a, size_b = F.expr("a.m >> 2"), F.expr("b.m >> 2")
-    # Roles of both sides as one number: see wordsets.class_pairs.
-    roles = F.expr("(a.m & 3) + 4 * (b.m & 3)")
-    small, large = wordsets.SMALL + 4 * wordsets.LARGE, wordsets.LARGE + 4 * wordsets.SMALL
-    meet = (roles == wordsets.EVEN) | ((roles == small) & (size_a <= size_b)) | ((roles == large) & (size_a >= size_b))
-    found = late.alias("a").join(early.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.first") > F.col("b.first")) & meet & _fits(size_a, size_b))
-    return found.select(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b")).distinct()
-
-
-def witnesses(new: DataFrame, new_words: DataFrame, old: DataFrame, old_words: DataFrame, busy: int = BUSY) -> DataFrame:
-    """Column h: the classes of new that have a similar class of a smaller first batch in old. Exact.
-
-    new and old are index entries, made with the same frequent words. One
-    witness settles a class, so the classes under busy keys are first held
-    against a few early classes of each such key, and only the rest against
-    every earlier one: a large family of edited copies is not listed pair by
-    pair.
+    A chunk ends behind a byte at which the rolling hash of the WINDOW bytes up
+    to it has log2(MEAN) zero bits; the window never reaches into another text.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    ends = np.cumsum(sizes)
+    place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
+    rolling = np.zeros(len(data), np.uint64)
+    for back in range(WINDOW):
+        # Each byte is weighted by its distance from the window's end.
+        rolling[back:] += data[: len(data) - back] * (np.uint64(0x9E3779B97F4A7C15) ** np.uint64(back + 1))
+    cut = (place >= WINDOW - 1) & ((wordsets._mix(rolling) >> np.uint64(17)) & np.uint64(MEAN - 1) == 0)
+    cut[ends[sizes > 0] - 1] = True
+    stops = np.flatnonzero(cut)
+    starts = np.concatenate([[0], stops[:-1] + 1])
+    lengths = stops - starts + 1
+    within = (np.arange(len(data)) - np.repeat(starts, lengths)).astype(np.uint64)
+    hashes = wordsets._mix(np.add.reduceat(wordsets._mix(data + np.uint64(257) * (within + np.uint64(1))), starts))
+    counts = np.diff(np.concatenate([[0], np.searchsorted(stops, ends - 1, side="right")]))
+    return hashes, lengths, counts
+
+
+_RECORD = "id bigint, h bigint, words array<bigint>, chunks array<bigint>, bytes array<int>, page string, print string, batch bigint"
+#: Bytes of a record with its words and chunks, about.
+RECORD_BYTES = 800
+
+
+def prepared(df: DataFrame, key: str, texts: list[str], url: str, simhash: str, batch: str) -> DataFrame:
+    """What the history needs of each record: its class, words, chunks, page address and fingerprint.
+
+    Records with a null key or batch are left out. h is null without words.
     """
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        a = pairs.join(new_words.select(F.col("h").alias("h_a"), F.col("words").alias("_a")), "h_a")
-        both = a.join(old_words.select(F.col("h").alias("h_b"), F.col("words").alias("_b")), "h_b")
-        shared = F.size(F.array_intersect("_a", "_b"))
-        return both.where(wordsets.DENOMINATOR * shared >= wordsets.NUMERATOR * (F.size("_a") + F.size("_b") - shared)).select(F.col("h_a").alias("h")).distinct()
-
-    keys = written(old.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") >= busy).select("key"), "busy-keys")
-    if keys.isEmpty():
-        return similar(_met(new, old))
-    role = Window.partitionBy("key", F.expr("m & 3")).orderBy("first", "h")
-    pilots = old.join(keys, "key", "left_semi").withColumn("_r", F.row_number().over(role)).where(F.col("_r") <= PILOTS).drop("_r")
-    settled = written(similar(_met(new.join(keys, "key", "left_semi"), pilots)), "settled")
-    return settled.union(similar(_met(new.join(settled, "h", "left_anti"), old)))
-
-
-def _fits(size_a: Column, size_b: Column) -> Column:
-    """Whether the sizes and bitmaps of a and b leave a similarity of 0.65 possible."""
-    n, d = wordsets.NUMERATOR, wordsets.DENOMINATOR
-    both = size_a + size_b
-    shared = F.floor((n * both + n + d - 1) / (n + d)).cast("int")
-    return (d * F.least(size_a, size_b) >= n * F.greatest(size_a, size_b)) & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= both - 2 * shared)
-
-
-def members_of_batches(df: DataFrame, key: str, texts: list[str], batch: str) -> DataFrame:
-    """Columns id, h and batch of each record with at least one word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = wordsets._Hashes()
         for b in batches:
-            columns = b.to_pydict()
-            flat, sizes = wordsets._flat([columns[t] for t in texts], cache)
-            h, _ = wordsets._classes(flat, sizes)
-            keep = pa.array(sizes > 0)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), pa.array(h.view(np.int64)), b.column(len(texts) + 1).filter(keep)], ["id", "h", "batch"])
+            flat: list[int] = []
+            sizes, normal = [], []
+            if len(cache) > wordsets._CACHE_LIMIT:
+                cache.clear()
+            for values in zip(*[b.column(1 + i).to_pylist() for i in range(len(texts))]):
+                words = wordsets.word_list(*values)
+                once = set(words)
+                sizes.append(len(once))
+                flat.extend([cache[w] for w in once])
+                normal.append(" ".join(words).encode())
+            values, size = np.array(flat, np.uint64), np.array(sizes, np.int64)
+            h, _ = wordsets._classes(values, size)
+            full = np.zeros(len(size), np.int64)
+            full[size > 0] = h.view(np.int64)
+            hashes, lengths, counts = chunks(normal)
+            offsets, at = (np.concatenate([[0], np.cumsum(n)]).astype(np.int32) for n in (size, counts))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(full, mask=size == 0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64))), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64))),
+                 pa.ListArray.from_arrays(pa.array(at), pa.array(lengths.astype(np.int32))), b.column(1 + len(texts)), b.column(2 + len(texts)), b.column(3 + len(texts))],
+                ["id", "h", "words", "chunks", "bytes", "page", "print", "batch"])
+
+    rows = df.where(F.col(key).isNotNull() & F.col(batch).isNotNull())
+    return rows.select(F.col(key).cast("bigint"), *texts, page_address(F.col(url)).alias("_page"), fingerprint(F.col(simhash)).alias("_print"), F.col(batch).cast("bigint").alias("_batch")).mapInArrow(work, _RECORD)
 
-    return df.select(F.col(key).cast("bigint"), *texts, F.col(batch).cast("int").alias("batch")).mapInArrow(work, "id bigint, h bigint, batch int")
 
+class History:
+    """A persistent history of accepted records in a shared folder, one bucketed table for each way of looking up.
+
+    classes (h, words, batch) by h: word sets and the first batch that had
+    them; chunks (chunk, h, batch) by chunk: the first class of each chunk;
+    entries by key: the exact index of wordsets; names (k, batch) by k: page
+    addresses and fingerprints. Opening the folder again, also in another
+    application, gives the same history. The costs of words are those at the
+    last building of the index, which is built anew whenever the history has
+    doubled since, so no list of the index outgrows its limit by more than the
+    classes accepted since then.
+
+    take() accepts one batch or several at once, in the order of their
+    numbers; batches must not be smaller than those accepted before.
+    """
 
-def seen_before(df: DataFrame, key: str, texts: list[str], url: str, simhash: str, batch: str) -> DataFrame:
+    _TABLES = {"classes": ("h bigint, words array<bigint>, batch bigint", "h"), "chunks": ("chunk bigint, h bigint, batch bigint", "chunk"), "entries": ("key bigint, h bigint, bits bigint, size int, batch bigint", "key"), "names": ("k string, batch bigint", "k")}
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, longest: int = wordsets.LONGEST):
+        self.spark, self.path, self.longest = spark, path.rstrip("/"), longest
+        self.id = uuid.uuid4().hex[:12]
+        held = spark.read.text(f"{self.path}/about").first() if exists(spark, f"{self.path}/about") else None
+        about = json.loads(held[0]) if held else {}
+        self.buckets = about.get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.count, self.built, self.poor = about.get("count", 0), about.get("built", -1), np.array(about.get("poor", [1 << 40] * wordsets.BANDS))
+        self.costs = None
+        if held:
+            parts = spark.read.parquet(f"{self.path}/costs").orderBy("part").collect()
+            self.costs = wordsets.Costs(np.frombuffer(b"".join(r["levels"] for r in parts), np.uint8), self.built, longest)
+        for name, (schema, by) in self._TABLES.items():
+            spark.sql(f"CREATE TABLE {self._name(name)} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+
+    def _name(self, name: str) -> str:
+        return f"larkspur_{self.id}_{name}"
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.table(self._name(name))
+
+    def _append(self, df: DataFrame, name: str, mode: str = "append") -> None:
+        _, by = self._TABLES[name]
+        df.repartition(self.buckets, by).write.mode(mode).format("parquet").bucketBy(self.buckets, by).sortBy(by).option("path", f"{self.path}/{name}").saveAsTable(self._name(name))
+
+    def _held(self, name: str, by: str, wanted: DataFrame) -> DataFrame:
+        """The rows of a table whose key is among the wanted distinct ones; the table is streamed, not exchanged."""
+        return self._table(name).join(wanted.hint("shuffle_hash"), by)
+
+    def take(self, records: DataFrame, ask: bool = True) -> DataFrame:
+        """Accepts prepared records and gives column id: those whose text, page or fingerprint a smaller batch has. Written.
+
+        With ask false nothing is looked up, and the result is empty.
+        """
+        fresh = self._accept(records)
+        return self._seen(records, fresh) if ask else empty(self.spark, "id bigint")
+
+    def _accept(self, records: DataFrame) -> DataFrame:
+        """Appends the records and gives one row per class that the history lacked: h, words, chunks, bytes, batch. Written."""
+        texts = records.where("h IS NOT NULL")
+        own = texts.select("h", "words", "chunks", "bytes", "batch").repartition(self.buckets, "h").groupBy("h").agg(*[F.min_by(c, "batch").alias(c) for c in ("words", "chunks", "bytes")], F.min("batch").alias("batch"))
+        first = self.built < 0
+        # Nothing is known to an empty history.
+        known = None if first else self._held("classes", "h", texts.select("h").distinct()).select("h")
+        fresh = written(own if first else own.join(known, "h", "left_anti"), "fresh")
+        named = self._names(records).groupBy("k").agg(F.min("batch").alias("batch"))
+        owned = fresh.select("h", "batch", F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.min(F.struct("batch", "h")).alias("_o")).select("chunk", "_o.h", "_o.batch")
+        if not first:
+            named = named.join(self._held("names", "k", named.select("k")).select("k"), "k", "left_anti")
+            owned = owned.join(self._held("chunks", "chunk", owned.select("chunk")).select("chunk"), "chunk", "left_anti")
+        self._append(named.select("k", "batch"), "names")
+        self._append(owned.select("chunk", "h", "batch"), "chunks")
+        self._append(fresh.select("h", "words", "batch"), "classes")
+        self.count += fresh.count()
+        if self.count >= 2 * max(0, self.built):
+            self._build()
+        else:
+            self._append(wordsets.cheap_entries(fresh, self.costs, ["batch"]), "entries")
+            self.poor = np.minimum(self.poor, wordsets.poorest(fresh, self.costs))
+        text = json.dumps({"buckets": self.buckets, "count": self.count, "built": self.built, "poor": self.poor.tolist()})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/about")
+        return fresh
+
+    def _build(self) -> None:
+        """The index of all accepted classes anew, in the order of their words' costs."""
+        classes = self._table("classes")
+        self.costs, self.built = wordsets.costs(classes, self.longest), self.count
+        size = 1 << 20
+        parts = [(i, self.costs.levels[i * size : (i + 1) * size].tobytes()) for i in range(-(-len(self.costs.levels) // size))]
+        self.spark.createDataFrame(parts, "part int, levels binary").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/costs")
+        self.poor = wordsets.poorest(classes, self.costs)
+        self._append(wordsets.cheap_entries(classes, self.costs, ["batch"]), "entries", "overwrite")
+
+    def _seen(self, records: DataFrame, fresh: DataFrame) -> DataFrame:
+        """Column id: the records that a smaller batch has, once all of them are accepted."""
+        near = written(self.by_chunks(fresh), "settled")
+        near = near.union(self.by_index(fresh.join(near, "h", "left_anti")))
+        # A record whose class is open is the first of its text: classes that are not fresh, and later batches of fresh ones, are copies.
+        open_ = fresh.select("h", "batch").join(near, "h", "left_anti")
+        found = records.where("h IS NOT NULL").select("id", "h", "batch").join(open_, ["h", "batch"], "left_anti").select("id")
+        named = self._names(records)
+        hits = self._held("names", "k", named.select("k").distinct()).select("k", F.col("batch").alias("_first"))
+        return written(found.union(named.join(hits, "k").where("_first < batch").select("id")).distinct(), "seen")
+
+    @staticmethod
+    def _names(records: DataFrame) -> DataFrame:
+        return records.select("id", "batch", F.explode(F.array_compact(F.array(F.concat(F.lit("page "), "page"), F.concat(F.lit("print "), "print")))).alias("k"))
+
+    def by_chunks(self, fresh: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+        """Column h: the classes of fresh that one class of a smaller batch covers by its chunks, confirmed on the word sets."""
+        own = fresh.select("h", "batch", F.aggregate("bytes", F.lit(0), lambda a, x: a + x).alias("_all"), F.explode(F.arrays_zip("chunks", "bytes")).alias("_c"))
+        each = own.groupBy(F.col("h").alias("h_a"), F.col("batch").alias("_batch"), "_all", F.col("_c.chunks").alias("chunk")).agg(F.sum("_c.bytes").alias("_n"))
+        shared = self._table("chunks").join(each.hint("shuffle_hash"), "chunk").where("batch < _batch")
+        covered = shared.groupBy("h_a", F.col("h").alias("h_b")).agg(F.sum("_n").alias("_s"), F.first("_all").alias("_all")).where(F.col("_s") >= coverage * F.col("_all"))
+        return self._confirmed(covered.select("h_a", "h_b"), fresh)
+
+    def by_index(self, fresh: DataFrame) -> DataFrame:
+        """Column h: the classes of fresh that the exact index finds similar to a class of a smaller batch."""
+        a, b = self._table("entries").alias("a"), wordsets.cheap_entries(fresh, self.costs, ["batch"]).hint("shuffle_hash").alias("b")
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.batch") < F.col("b.batch")) & wordsets.fits(F.col("a.size"), F.col("b.size"), F.col("a.bits"), F.col("b.bits")))
+        candidates = met.select(F.col("b.h").alias("h_a"), F.col("a.h").alias("h_b"))
+        poor = wordsets.poorest(fresh, self.costs)
+        if wordsets.can_be_dear(poor, self.poor):
+            old = self._table("classes")
+            larger = wordsets.dear_candidates(fresh, old, self.costs, poor, self.poor)
+            smaller = wordsets.dear_candidates(old, fresh, self.costs, self.poor, poor).select(F.col("h_b").alias("h_a"), F.col("h_a").alias("h_b"))
+            candidates = candidates.union(larger).union(smaller)
+        return self._confirmed(candidates.distinct(), fresh)
+
+    def _confirmed(self, candidates: DataFrame, fresh: DataFrame) -> DataFrame:
+        """Column h: the new classes of the candidates (new h_a, old h_b) of which the old is of a smaller batch and the word sets reach the similarity."""
+        new = candidates.join(fresh.select(F.col("h").alias("h_a"), F.col("words").alias("_a"), F.col("batch").alias("_batch")), "h_a")
+        both = self._table("classes").join(new.withColumnRenamed("h_b", "h").hint("shuffle_hash"), "h")
+        shared = F.size(F.array_intersect("_a", "words"))
+        reached = wordsets.DENOMINATOR * shared >= wordsets.NUMERATOR * (F.size("_a") + F.size("words") - shared)
+        return both.where((F.col("batch") < F.col("_batch")) & reached).select(F.col("h_a").alias("h")).distinct()
+
+    def close(self) -> None:
+        """Takes the tables' names out of the session's catalogue; the files stay."""
+        for name in self._TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(name)}")
+
+
+def seen_before(df: DataFrame, key: str, texts: list[str], url: str, simhash: str, batch: str, buckets: int | None = None, longest: int = wordsets.LONGEST) -> DataFrame:
     """Column id: records of a batch from 1 on whose text, page or fingerprint a smaller batch has already.
 
-    Texts are the same if their word sets have a similarity of 0.65 or more. A
-    null batch takes no part. Null and blank addresses, placeholders of
-    fingerprints and records without words match nothing in that respect.
+    The batches are fed in their order to a history that starts empty: the
+    first alone, then as many at once as do not outnumber what was accepted,
+    so that the rounds are few. Texts are the same if their word sets have a
+    similarity of 0.65 or more. Records with a null key or batch take no part.
+    Null and blank addresses, placeholders of fingerprints and records without
+    words match nothing in that respect. No rows give no rows.
     """
-    df = df.where(F.col(batch).isNotNull() & F.col(key).isNotNull())
-    member = written(members_of_batches(df, key, texts, batch), "members")
-    classes = written(classes_of_batches(df, texts, batch), "classes")
-    entries = index_entries(classes, wordsets.frequent_words(classes, ["words"], flatten=wordsets.listed)).repartition("key")
-    near = witnesses(entries, classes, entries, classes).withColumn("_near", F.lit(True))
-    # All records of a class with a witness have a smaller batch before them; of the others those behind the class's first batch.
-    known = classes.select("h", "first").join(near, "h", "left")
-    found = member.where("batch >= 1").join(known, "h").where("_near OR first < batch").select("id")
-    for value in (page_address(F.col(url)), fingerprint(F.col(simhash))):
-        keyed = df.select(F.col(key).alias("id"), F.col(batch).alias("batch"), value.alias("_v")).where("_v IS NOT NULL")
-        first = keyed.groupBy("_v").agg(F.min("batch").alias("_first"), F.max("batch").alias("_last")).where("_first < _last").select("_v", "_first")
-        found = found.union(keyed.where("batch >= 1").join(first, "_v").where("_first < batch").select("id"))
-    return found.distinct()
+    spark = df.sparkSession
+    where = scratch(spark, "records")
+    prepared(df, key, texts, url, simhash, batch).write.partitionBy("batch").parquet(where)
+    records = spark.read.schema(_RECORD).parquet(where)
+    counts = records.groupBy("batch").count().orderBy("batch").collect()
+    store = History(spark, scratch(spark, "history"), buckets or spread(spark, sum(r["count"] for r in counts), RECORD_BYTES), longest)
+    found, accepted, early = empty(spark, "id bigint"), 0, sum(r["batch"] < 1 for r in counts) > 1
+    while counts:
+        take = 1
+        while accepted and take < len(counts) and sum(r["count"] for r in counts[: take + 1]) <= accepted:
+            take += 1
+        group, counts = counts[:take], counts[take:]
+        rows = records.where(F.col("batch").between(group[0]["batch"], group[-1]["batch"]))
+        if accepted or counts:
+            found = found.union(store.take(rows, ask=accepted > 0))
+        accepted += sum(r["count"] for r in group)
+    if early:
+        found = found.join(records.where("batch >= 1").select("id"), "id", "left_semi")
+    found = written(found.distinct(), "found")
+    store.close()
+    for path in (store.path, where):
+        remove(spark, path)
+    return found
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return seen_before(table(spark, folder, "raw_articles"), "id", TEXTS, "url", "simhash", "batch_no")
-
-
-class History:
-    """A persistent history: index, words, addresses and fingerprints of all accepted records, in a shared folder.
-
-    seen() holds a batch against the history alone and reads it once by key;
-    accept() appends a batch. Words that are frequent are those of the first
-    batch accepted, so that entries of all batches agree.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, texts: list[str]):
-        self.spark, self.path, self.texts = spark, path.rstrip("/"), texts
-
-    def _read(self, name: str, schema: str | T.StructType) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
-
-    def _frequent(self, classes: DataFrame, first: bool) -> np.ndarray:
-        held = self._read("frequent", "word bigint, place int")
-        if first and held.isEmpty():
-            words = wordsets.frequent_words(classes, ["words"], flatten=wordsets.listed).view(np.int64).tolist()
-            self.spark.createDataFrame([*zip(words, range(len(words)))] or [(0, 0)], "word bigint, place int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/frequent")
-            held = self._read("frequent", "word bigint, place int")
-        return np.array([r.word for r in held.orderBy("place").collect()], np.int64).view(np.uint64)
-
-    def _classes(self, df: DataFrame, first: int) -> DataFrame:
-        return written(classes_of_batches(df.withColumn("_first", F.lit(first)), self.texts, "_first"), "classes")
-
-    def accept(self, df: DataFrame, url: str, simhash: str) -> None:
-        """Appends the records of a batch."""
-        classes = self._classes(df, 0)
-        index_entries(classes, self._frequent(classes, True)).write.mode("append").parquet(f"{self.path}/index")
-        classes.write.mode("append").parquet(f"{self.path}/words")
-        keys = df.select(F.explode(F.array_compact(F.array(F.concat(F.lit("page "), page_address(F.col(url))), F.concat(F.lit("print "), fingerprint(F.col(simhash)))))).alias("k"))
-        keys.distinct().write.mode("append").parquet(f"{self.path}/keys")
-
-    def seen(self, df: DataFrame, key: str, url: str, simhash: str) -> DataFrame:
-        """Column id: records of df whose text, page or fingerprint the history holds; nothing of df itself counts."""
-        words = self._read("words", _CLASS).dropDuplicates(["h"])
-        old = self._read("index", ENTRY).dropDuplicates(["key", "h", "m"])
-        classes = self._classes(df, 1)
-        near = witnesses(index_entries(classes, self._frequent(classes, False)), classes, old, words)
-        known = near.union(words.select("h")).distinct()
-        found = wordsets.members(df, key, self.texts).join(known, "h", "left_semi").select("id")
-        keys = self._read("keys", "k string").distinct()
-        kept = df.select(F.col(key).cast("bigint").alias("id"), F.explode(F.array_compact(F.array(F.concat(F.lit("page "), page_address(F.col(url))), F.concat(F.lit("print "), fingerprint(F.col(simhash)))))).alias("k"))
-        return found.union(kept.join(keys, "k", "left_semi").select("id")).distinct()
