@@ -115,9 +115,13 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text_of(text), "[.!?]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
+#: White space of all expressions: blank, tab, line and page ends.
+SPACE = r"[ \t\n\x0B\f\r]+"
+
+
 def squeezed(text: Column) -> Column:
     """Without outer white space, and with single blanks for inner runs of it."""
-    return F.trim(F.regexp_replace(text_of(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(text_of(text), SPACE, " "))
 
 
 def preview(text: Column, length: int = 320) -> Column:
@@ -155,7 +159,8 @@ def syllables(word: Column) -> Column:
 
 def latest_year(text: Column) -> Column:
     """The latest year from 1900 to 2099 in the text; null if there is none."""
-    return F.array_max(F.transform(F.regexp_extract_all(text_of(text), F.lit(r"\b((?:19|20)\d{2})\b"), 1), lambda y: y.cast("int")))
+    runs = F.filter(F.split(text_of(text), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^(?:19|20)[0-9]{2}$"))
+    return F.array_max(F.transform(runs, lambda y: y.cast("int")))
 
 
 def type_token_ratio(tokens: Column) -> Column:

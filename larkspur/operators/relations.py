@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as tx
 
 # Patterns of two groups and the confidence of what they say.
-ALIAS = r"([A-Za-z0-9][^()]+?)\s*\(([^()]*[A-Za-z][^()]*)\)"
-IS_A = (r"(?i)^(.+?)\s+is\s+(?:an?\s+)?([\w\s\-]+)$", "isa", 0.83)
-ALSO = (r"(?i)^(.+?)\s+(?:aka|also known as|known as|nicknamed|alias(?:\s+of)?|goes by|synonym of)\s+(.+)$", "synonym", 0.85)
-LABEL = (r"^(.*?[A-Za-z].*?)(?:\s*:\s*|\s+[\-–—]\s+)(.*[A-Za-z].*)$", "tagline", 0.62)
+ALIAS = r"([\p{L}0-9][^()]+?)[ \t\n\x0B\f\r]*\(([^()]*[A-Za-z][^()]*)\)"
+IS_A = (r"(?is)^(.+?)[ \t\x0B\f]+is[ \t\x0B\f]+(?:an?[ \t\x0B\f]+)?([\p{L}\p{N}_ \t\x0B\f\-]+)$", "isa", 0.83)
+ALSO = (r"(?is)^(.+?)[ \t\x0B\f]+(?:aka|also known as|known as|nicknamed|alias(?:[ \t\x0B\f]+of)?|goes by|synonym of)[ \t\x0B\f]+(.+)$", "synonym", 0.85)
+LABEL = (r"(?s)^(.*?[\p{L}].*?)(?:[ \t\x0B\f]*:[ \t\x0B\f]*|[ \t\x0B\f]+[\-–—][ \t\x0B\f]+)(.*[\p{L}].*)$", "tagline", 0.62)
 #: Words and bytes that a subject and an object may have.
 SUBJECT, OBJECT = (8, 80), (12, 120)
 
@@ -21,8 +21,8 @@ SUBJECT, OBJECT = (8, 80), (12, 120)
 def verb_template(relation: str, verbs: list[str], connectors: list[str] | None = None, confidence: float = 0.65) -> tuple[str, str, float]:
     """A pattern for subject, verb, connector, object, as a rule."""
     verb = "|".join(sorted(verbs, key=lambda v: (-len(v), v)))
-    link = r"\s+(?:" + "|".join(connectors) + ")" if connectors else ""
-    return (rf"(?i)^(.+?)\s+(?:{verb}){link}\s+(.+)$", relation, confidence)
+    link = r"[ \t\x0B\f]+(?:" + "|".join(connectors) + ")" if connectors else ""
+    return (rf"(?is)^(.+?)[ \t\x0B\f]+(?:{verb}){link}[ \t\x0B\f]+(.+)$", relation, confidence)
 
 
 def _reasonable(span: Column, limits: tuple[int, int]) -> Column:

@@ -35,12 +35,12 @@ def semantic_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return best.groupBy("doc_id").agg(F.substring(F.sha2(joined, 256), 1, 48).alias("fingerprint"))
 
 
-@R.add("""WITH l AS (SELECT doc_id, regexp_replace(lower(line), '[^a-z0-9]+', '', 'g') AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_full_match(line, '[ -~]*'))
+@R.add("""WITH l AS (SELECT doc_id, regexp_replace(lower(line), '[^\\p{L}\\p{N}]+', '', 'g') AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
 SELECT s AS signature, count(*) AS n, count(DISTINCT doc_id) AS docs FROM l WHERE s <> '' AND length(s) <= 48 GROUP BY s HAVING count(*) >= 5""")
 def line_signatures(spark: SparkSession, folder: str) -> DataFrame:
     """Short lines that come at least five times, by their letters and digits."""
-    lines = table(spark, folder, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike("^[ -~]*\\z"))
-    signed = lines.select("doc_id", F.regexp_replace(F.lower("line"), "[^a-z0-9]+", "").alias("signature")).where((F.col("signature") != "") & (F.length("signature") <= 48))
+    lines = table(spark, folder, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    signed = lines.select("doc_id", F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", "").alias("signature")).where((F.col("signature") != "") & (F.length("signature") <= 48))
     return signed.groupBy("signature").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).where("n >= 5")
 
 
@@ -143,12 +143,11 @@ def topic_highlights(spark: SparkSession, folder: str) -> DataFrame:
     return each.where(F.size(hits) > 0).select("doc_id", "keyword", F.element_at(hits, 1).alias("highlight"))
 
 
-@R.add("SELECT doc_id, length(regexp_replace(trim(coalesce(text, '') || ' ' || coalesce(source, '') || ' ' || coalesce(lang, '') || ' ' || coalesce(doc_type, '')), '\\s+', ' ', 'g')) AS length FROM documents WHERE regexp_full_match(coalesce(text, ''), '[ -~\\n]*')")
+@R.add("SELECT doc_id, length(regexp_replace(trim(coalesce(text, '') || ' ' || coalesce(source, '') || ' ' || coalesce(lang, '') || ' ' || coalesce(doc_type, '')), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS length FROM documents")
 def composite_text_length(spark: SparkSession, folder: str) -> DataFrame:
     """The length of a document's fields put together."""
     parts = [tx.text_of(F.col(c)) for c in ("text", "source", "lang", "doc_type")]
-    plain = table(spark, folder, "documents").where(tx.text_of(F.col("text")).rlike("^[ -~\\n]*\\z"))
-    return plain.select("doc_id", F.length(F.regexp_replace(F.trim(F.concat_ws(" ", *parts)), r"\s+", " ")).cast("bigint").alias("length"))
+    return table(spark, folder, "documents").select("doc_id", F.length(F.regexp_replace(F.trim(F.concat_ws(" ", *parts)), tx.SPACE, " ")).cast("bigint").alias("length"))
 
 
 @R.add("""SELECT c.symbol, coalesce(avg_score, 0.0) AS score, coalesce(n, 0) AS articles, avg_score IS NULL AS fallback FROM companies c LEFT JOIN (SELECT upper(trim(symbol)) AS symbol, round(avg(sentiment_score), 6) AS avg_score, count(*) AS n FROM (SELECT DISTINCT article_id, symbol, sentiment_score FROM sentiment_articles) WHERE sentiment_score IS NOT NULL GROUP BY 1) s ON s.symbol = c.symbol""")

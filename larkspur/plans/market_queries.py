@@ -219,13 +219,13 @@ def source_set_operations(spark: SparkSession, folder: str) -> DataFrame:
     return a.intersect(b).subtract(table(spark, folder, "news_sources").select(F.lower(F.trim("name")).alias("source")))
 
 
-@R.add("""WITH u AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_custkey, upper(c_name) AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 3 = 0)
+@R.add("""WITH u AS (SELECT c_custkey, c_name, c_acctbal FROM customer), n AS (SELECT c_custkey, upper(c_name) AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))
 SELECT * FROM n UNION ALL SELECT * FROM u WHERE c_custkey NOT IN (SELECT c_custkey FROM n)""")
 def record_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    """Records with new versions put in place of the old."""
+    """Records with new versions, those of customers with orders, put in place of the old."""
     every = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
-    new = every.where("c_custkey % 3 = 0").select("c_custkey", F.upper("c_name").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
-    return merge.upsert(every.where("c_custkey % 2 = 0"), new, ["c_custkey"])
+    new = every.join(table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_semi").select("c_custkey", F.upper("c_name").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return merge.upsert(every, new, ["c_custkey"])
 
 
 FEATURES = """f AS (SELECT doc_id, least(1.0, coalesce(n_chars, 0) / 2000.0) AS volume, CASE WHEN lang IS NULL THEN 0.0 ELSE 1.0 END AS labelled, CASE WHEN article_id IS NULL THEN 0.0 ELSE 1.0 END AS linked, exp(-coalesce(date_diff('hour', published_at, TIMESTAMP '2025-04-09 00:00:00'), 10000) / 4800.0) AS freshness FROM documents)"""

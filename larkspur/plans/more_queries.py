@@ -122,12 +122,12 @@ LINE = "lower(trim(line))"
 
 
 @R.add(f"""WITH l AS (SELECT doc_id, {LINE} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''),
-b AS (SELECT doc_id, line, list_contains({NAVIGATION!r}, line) OR contains(line, ' | ') OR NOT regexp_matches(line, '[a-z]') AS flag FROM l)
-SELECT doc_id, count(*) AS lines, count(*) FILTER (flag) AS boilerplate, round(count(*) FILTER (flag) / count(*)::DOUBLE, 6) AS density FROM b WHERE regexp_full_match(line, '[ -~]*') GROUP BY doc_id""")
+b AS (SELECT doc_id, line, list_contains({NAVIGATION!r}, line) OR contains(line, ' | ') OR NOT regexp_matches(line, '\\p{{L}}') AS flag FROM l)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (flag) AS boilerplate, round(count(*) FILTER (flag) / count(*)::DOUBLE, 6) AS density FROM b GROUP BY doc_id""")
 def boilerplate_density(spark: SparkSession, folder: str) -> DataFrame:
-    """The share of a document's plain lines that are navigation, bars of links, or without letters."""
-    lines = table(spark, folder, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.lower(F.trim("line")).alias("line")).where((F.col("line") != "") & F.col("line").rlike("^[ -~]*\\z"))
-    flag = F.col("line").isin(NAVIGATION) | F.col("line").contains(" | ") | ~F.col("line").rlike("[a-z]")
+    """The share of a document's lines that are navigation, bars of links, or without letters."""
+    lines = table(spark, folder, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.lower(F.trim("line")).alias("line")).where(F.col("line") != "")
+    flag = F.col("line").isin(NAVIGATION) | F.col("line").contains(" | ") | ~F.col("line").rlike(r"\p{L}")
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(flag).alias("boilerplate"), F.round(F.count_if(flag) / F.count("*"), 6).alias("density"))
 
 

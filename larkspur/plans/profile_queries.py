@@ -21,23 +21,22 @@ R = Registry()
 
 
 def navigation(line: Column) -> Column:
-    return line.isin(NAVIGATION) | line.contains(" | ") | ~line.rlike("[a-z]")
+    return line.isin(NAVIGATION) | line.contains(" | ") | ~line.rlike(r"\p{L}")
 
 
-@R.add(f"""WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, x FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE regexp_full_match(coalesce(text, ''), '[ -~\\n]*'))),
-k AS (SELECT doc_id, i, trim(x[i]) AS line FROM l), c AS (SELECT * FROM k WHERE line <> '' AND NOT (list_contains({NAVIGATION!r}, lower(line)) OR contains(lower(line), ' | ') OR NOT regexp_matches(lower(line), '[a-z]')))
+@R.add(f"""WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, x FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+k AS (SELECT doc_id, i, trim(x[i]) AS line FROM l), c AS (SELECT * FROM k WHERE line <> '' AND NOT (list_contains({NAVIGATION!r}, lower(line)) OR contains(lower(line), ' | ') OR NOT regexp_matches(lower(line), '\\p{{L}}')))
 SELECT doc_id, count(*) AS lines, md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM c GROUP BY doc_id""")
 def cleaned_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Plain documents without navigation lines, by a digest of what stays."""
+    """Documents without navigation lines, by a digest of what stays."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~navigation(F.lower(x)))
-    plain = table(spark, folder, "documents").where(tx.text_of(F.col("text")).rlike("^[ -~\\n]*\\z"))
-    return plain.select("doc_id", lines.alias("l")).where(F.size("l") > 0).select("doc_id", F.size("l").cast("bigint").alias("lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
+    return table(spark, folder, "documents").select("doc_id", lines.alias("l")).where(F.size("l") > 0).select("doc_id", F.size("l").cast("bigint").alias("lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
 
 
 WORD = "list_filter(regexp_split_to_array(coalesce(text, ''), '[^A-Za-z]+'), lambda x: x <> '')"
 
 
-@R.add(f"""WITH w AS (SELECT doc_id, {WORD} AS w FROM documents WHERE regexp_full_match(coalesce(text, ''), '[ -~\\n]*'))
+@R.add(f"""WITH w AS (SELECT doc_id, {WORD} AS w FROM documents)
 SELECT doc_id, len(w) AS words, len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z][a-z]+$'))) AS names, len(list_filter(w, lambda x: regexp_matches(x, '^[a-z]{{3,}}(?:ed|ing)$'))) AS verbs, len(list_filter(w, lambda x: regexp_matches(x, '^[a-z]{{2,}}ly$'))) AS adverbs,
 len(list_filter(w, lambda x: regexp_matches(x, '^[a-z]{{2,}}(?:ous|ful|ive|able|al)$'))) AS adjectives FROM w""")
 def word_classes(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,8 +46,7 @@ def word_classes(spark: SparkSession, folder: str) -> DataFrame:
     def count(pattern: str) -> Column:
         return F.size(F.filter("w", lambda x: x.rlike(pattern))).cast("bigint")
 
-    plain = table(spark, folder, "documents").where(tx.text_of(F.col("text")).rlike("^[ -~\\n]*\\z")).select("doc_id", w.alias("w"))
-    return plain.select("doc_id", F.size("w").cast("bigint").alias("words"), count("^[A-Z][a-z]+$").alias("names"), count("^[a-z]{3,}(?:ed|ing)$").alias("verbs"), count("^[a-z]{2,}ly$").alias("adverbs"), count("^[a-z]{2,}(?:ous|ful|ive|able|al)$").alias("adjectives"))
+    return table(spark, folder, "documents").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("bigint").alias("words"), count("^[A-Z][a-z]+$").alias("names"), count("^[a-z]{3,}(?:ed|ing)$").alias("verbs"), count("^[a-z]{2,}ly$").alias("adverbs"), count("^[a-z]{2,}(?:ous|ful|ive|able|al)$").alias("adjectives"))
 
 
 @R.add(LINKS + """, c AS (SELECT src, dst, last_seen, row_number() OVER (PARTITION BY src ORDER BY last_seen DESC, dst) AS rank FROM g), s AS (SELECT src FROM (SELECT src, max(last_seen) AS l FROM g GROUP BY src) ORDER BY l DESC, src LIMIT 6)

@@ -198,10 +198,9 @@ def simhash_first_wins(spark: SparkSession, folder: str) -> DataFrame:
     return dedupe.first_wins(dedupe.close_pairs(dedupe.classes(_hashed(spark, folder), "id", "s", "day"))).select(F.col("dropped").alias("id"))
 
 
-@R.add("SELECT doc_id, CASE WHEN trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) = '' THEN '' ELSE sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) END AS digest FROM documents WHERE regexp_full_match(coalesce(text, ''), '[ -~\\n]*')")
+@R.add("SELECT doc_id, CASE WHEN trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') = '' THEN '' ELSE sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '))) END AS digest FROM documents")
 def content_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """Digests of the texts in plain ASCII; engines differ in what else is white space."""
-    return table(spark, folder, "documents").where(tx.text_of(F.col("text")).rlike("^[ -~\\n]*\\z")).select("doc_id", content_digest(F.col("text")).alias("digest"))
+    return table(spark, folder, "documents").select("doc_id", content_digest(F.col("text")).alias("digest"))
 
 
 @R.add("""

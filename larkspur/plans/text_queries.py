@@ -144,18 +144,16 @@ def type_token_ratios(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where(F.size(tokens) > 0).select("doc_id", F.size(tokens).cast("bigint").alias("words"), F.size(F.array_distinct(tokens)).cast("bigint").alias("kinds"), F.round(tx.type_token_ratio(tokens), 6).alias("ratio"))
 
 
-@R.add("""SELECT doc_id, list_max(list_transform(regexp_extract_all(text, '(?:19|20)[0-9][0-9]'), lambda y: y::INT)) AS year FROM documents WHERE regexp_matches(text, '(?:19|20)[0-9][0-9]') AND len(regexp_extract_all(text, '[0-9]+')) = len(regexp_extract_all(text, '[0-9]+')) AND regexp_full_match(text, '(?s:[^0-9]*(?:(?:19|20)[0-9][0-9][^0-9]+)*(?:19|20)?[0-9]{0,2})') AND NOT regexp_matches(text, '[\\pL_](?:19|20)[0-9][0-9]|(?:19|20)[0-9][0-9][\\pL_]')""")
+@R.add("""SELECT doc_id, list_max(list_transform(y, lambda x: x::INT)) AS year FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[^\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '(?:19|20)[0-9][0-9]')) AS y FROM documents) WHERE len(y) > 0""")
 def latest_years(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest year in texts whose only numbers are years."""
-    text = F.col("text")
-    only = text.rlike(r"(?s)^[^0-9]*(?:(?:19|20)[0-9][0-9][^0-9]+)*(?:19|20)?[0-9]{0,2}$") & text.rlike("(?:19|20)[0-9][0-9]") & ~text.rlike(r"[\p{L}_](?:19|20)[0-9][0-9]|(?:19|20)[0-9][0-9][\p{L}_]")
-    return table(spark, folder, "documents").where(only).select("doc_id", F.array_max(F.transform(F.regexp_extract_all(text, F.lit("(?:19|20)[0-9][0-9]"), 0), lambda y: y.cast("int"))).alias("year"))
+    """The latest year of each text that names one."""
+    return table(spark, folder, "documents").select("doc_id", tx.latest_year(F.col("text")).alias("year")).where("year IS NOT NULL")
 
 
-@R.add("""SELECT acronym, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(?:^|[^A-Za-z0-9_\\pL])([A-Z]{2,5})(?:[ ,.;:)])', 1)) AS acronym FROM documents WHERE regexp_full_match(coalesce(text, ''), '[ -~\\n]*')) GROUP BY acronym""")
+@R.add("""SELECT acronym, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(?:^|[^A-Za-z0-9_\\pL])([A-Z]{2,5})(?:[ ,.;:)])', 1)) AS acronym FROM documents) GROUP BY acronym""")
 def acronym_counts(spark: SparkSession, folder: str) -> DataFrame:
     text = tx.text_of(F.col("text"))
-    found = table(spark, folder, "documents").where(text.rlike("^[ -~\\n]*\\z")).select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(r"(?:^|[^A-Za-z0-9_\p{L}])([A-Z]{2,5})(?:[ ,.;:)])"), 1)).alias("acronym"))
+    found = table(spark, folder, "documents").select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(r"(?:^|[^A-Za-z0-9_\p{L}])([A-Z]{2,5})(?:[ ,.;:)])"), 1)).alias("acronym"))
     return found.groupBy("acronym").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
@@ -225,19 +223,9 @@ def conversation_signals(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.regexp_count(text, F.lit(r"\?")).alias("questions"), F.regexp_count(text, F.lit('"[^"\\n]+"')).alias("quotes"), F.lower(text).rlike("(said|told|wrote|says)").alias("dialogue"))
 
 
-@R.add("""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(name), '[^a-z0-9]+')) AS known FROM companies), t AS (SELECT DISTINCT * FROM (SELECT unnest(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z0-9]+')) AS term FROM market_news) WHERE length(term) >= 6)
-SELECT term, known, levenshtein(term, known)::INT AS distance FROM t JOIN w ON length(known) >= 6 AND abs(length(term) - length(known)) <= 2 AND substr(term, 1, 2) = substr(known, 1, 2) AND levenshtein(term, known) BETWEEN 1 AND 2""")
-def levenshtein_fuzzy_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of titles one or two edits from a word of a company's name that begins alike."""
-    known = table(spark, folder, "companies").select(F.explode(tx.ascii_words(F.col("name"))).alias("known")).where(F.length("known") >= 6).distinct()
-    terms = table(spark, folder, "market_news").select(F.explode(tx.ascii_words(F.col("title"))).alias("term")).where(F.length("term") >= 6).distinct()
-    a, b = terms.withColumn("k", F.substring("term", 1, 2)), known.withColumn("k", F.substring("known", 1, 2))
-    return a.join(b, "k").where(F.abs(F.length("term") - F.length("known")) <= 2).withColumn("distance", F.levenshtein("term", "known", 2)).where("distance BETWEEN 1 AND 2").select("term", "known", "distance")
-
-
 @R.add("""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(name), '[^a-z0-9]+')) AS known FROM companies), t AS (SELECT DISTINCT * FROM (SELECT unnest(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z0-9]+')) AS term FROM market_news) WHERE length(term) >= 4)
 SELECT term, known, levenshtein(term, known)::INT AS distance FROM t JOIN w ON length(known) >= 4 AND levenshtein(term, known) BETWEEN 1 AND 2""")
-def levenshtein_fuzzy_pairs(spark: SparkSession, folder: str) -> DataFrame:
+def levenshtein_fuzzy_join(spark: SparkSession, folder: str) -> DataFrame:
     """Words of titles one or two edits from a word of a company's name, from four letters on, wherever the edits are."""
     known = table(spark, folder, "companies").select(F.explode(tx.ascii_words(F.col("name"))).alias("known")).where(F.length("known") >= 4).distinct()
     terms = table(spark, folder, "market_news").select(F.explode(tx.ascii_words(F.col("title"))).alias("term")).where(F.length("term") >= 4).distinct()

@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Bytes that one task of a sized exchange reads, about.
-TASK_BYTES = 16 << 20
+#: Bytes that one task of a sized exchange reads, about; and, where that would make more than MANY tasks, at most.
+TASK_BYTES, MOST_BYTES, MANY = 6 << 20, 256 << 20, 10_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -88,8 +88,9 @@ class Rounds:
 
 
 def spread(spark: SparkSession, rows: int, row_bytes: int) -> int:
-    """Partitions for an exchange of so many rows: the session's number, or more where tasks would read over TASK_BYTES."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * row_bytes / TASK_BYTES))
+    """Partitions for an exchange of so many rows: the session's number, or more where tasks would read too much."""
+    size = rows * row_bytes
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(math.ceil(size / TASK_BYTES), MANY), math.ceil(size / MOST_BYTES))
 
 
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
