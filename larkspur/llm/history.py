@@ -91,13 +91,24 @@ def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, lengths, counts
 
 
-_RECORD = "id bigint, h bigint, words array<bigint>, chunks array<bigint>, bytes array<int>, page string, print string, batch bigint"
-#: Bytes of a record with its words and chunks, about.
-RECORD_BYTES = 800
+def distinct_chunks(hashes: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each chunk once a text, with the bytes of all its places."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, row))
+    row, hashes, lengths = row[order], hashes[order], lengths[order]
+    if not len(row):
+        return hashes, lengths, counts
+    begins = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])]))
+    return hashes[begins], np.add.reduceat(lengths, begins), np.bincount(row[begins], minlength=len(counts))
+
+
+_RECORD = "id bigint, h bigint, words array<bigint>, chunks array<bigint>, bytes array<int>, names array<binary>, batch bigint"
+#: Bytes of a record's rows in the largest table of a history, about.
+RECORD_BYTES = 480
 
 
 def prepared(df: DataFrame, key: str, texts: list[str], url: str, simhash: str, batch: str) -> DataFrame:
-    """What the history needs of each record: its class, words, chunks, page address and fingerprint.
+    """What the history needs of each record: its class, words, distinct chunks with their bytes, and digests of its page address and fingerprint.
 
     Records with a null key or batch are left out. h is null without words.
     """
@@ -119,15 +130,16 @@ def prepared(df: DataFrame, key: str, texts: list[str], url: str, simhash: str,
             h, _ = wordsets._classes(values, size)
             full = np.zeros(len(size), np.int64)
             full[size > 0] = h.view(np.int64)
-            hashes, lengths, counts = chunks(normal)
+            hashes, lengths, counts = distinct_chunks(*chunks(normal))
             offsets, at = (np.concatenate([[0], np.cumsum(n)]).astype(np.int32) for n in (size, counts))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(full, mask=size == 0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64))), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64))),
-                 pa.ListArray.from_arrays(pa.array(at), pa.array(lengths.astype(np.int32))), b.column(1 + len(texts)), b.column(2 + len(texts)), b.column(3 + len(texts))],
-                ["id", "h", "words", "chunks", "bytes", "page", "print", "batch"])
+                 pa.ListArray.from_arrays(pa.array(at), pa.array(lengths.astype(np.int32))), b.column(1 + len(texts)), b.column(2 + len(texts))],
+                ["id", "h", "words", "chunks", "bytes", "names", "batch"])
 
     rows = df.where(F.col(key).isNotNull() & F.col(batch).isNotNull())
-    return rows.select(F.col(key).cast("bigint"), *texts, page_address(F.col(url)).alias("_page"), fingerprint(F.col(simhash)).alias("_print"), F.col(batch).cast("bigint").alias("_batch")).mapInArrow(work, _RECORD)
+    named = F.array_compact(F.array(*[F.unhex(F.md5(F.concat(F.lit(kind), v))) for kind, v in (("page ", page_address(F.col(url))), ("print ", fingerprint(F.col(simhash))))]))
+    return rows.select(F.col(key).cast("bigint"), *texts, named.alias("_names"), F.col(batch).cast("bigint").alias("_batch")).mapInArrow(work, _RECORD)
 
 
 class History:
@@ -135,8 +147,8 @@ class History:
 
     classes (h, words, batch) by h: word sets and the first batch that had
     them; chunks (chunk, h, batch) by chunk: the first class of each chunk;
-    entries by key: the exact index of wordsets; names (k, batch) by k: page
-    addresses and fingerprints. Opening the folder again, also in another
+    entries by key: the exact index of wordsets; names (k, batch) by k: digests
+    of page addresses and fingerprints. Opening the folder again, also in another
     application, gives the same history. The costs of words are those at the
     last building of the index, which is built anew whenever the history has
     doubled since, so no list of the index outgrows its limit by more than the
@@ -146,11 +158,11 @@ class History:
     numbers; batches must not be smaller than those accepted before.
     """
 
-    _TABLES = {"classes": ("h bigint, words array<bigint>, batch bigint", "h"), "chunks": ("chunk bigint, h bigint, batch bigint", "chunk"), "entries": ("key bigint, h bigint, bits bigint, size int, batch bigint", "key"), "names": ("k string, batch bigint", "k")}
+    _TABLES = {"classes": ("h bigint, words array<bigint>, batch bigint", "h"), "chunks": ("chunk bigint, h bigint, batch bigint", "chunk"), "entries": ("key bigint, h bigint, bits bigint, size int, batch bigint", "key"), "names": ("k binary, batch bigint", "k")}
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, longest: int = wordsets.LONGEST):
         self.spark, self.path, self.longest = spark, path.rstrip("/"), longest
-        self.id = uuid.uuid4().hex[:12]
+        self.id, self.fresh_tables = uuid.uuid4().hex[:12], 0
         held = spark.read.text(f"{self.path}/about").first() if exists(spark, f"{self.path}/about") else None
         about = json.loads(held[0]) if held else {}
         self.buckets = about.get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -168,9 +180,14 @@ class History:
     def _table(self, name: str) -> DataFrame:
         return self.spark.table(self._name(name))
 
-    def _append(self, df: DataFrame, name: str, mode: str = "append") -> None:
-        _, by = self._TABLES[name]
-        df.repartition(self.buckets, by).write.mode(mode).format("parquet").bucketBy(self.buckets, by).sortBy(by).option("path", f"{self.path}/{name}").saveAsTable(self._name(name))
+    def _append(self, df: DataFrame, name: str, mode: str = "append", path: str | None = None, by: str | None = None) -> DataFrame:
+        """Writes df, which is partitioned by the key into the table's buckets already, to the table."""
+        by = by or self._TABLES[name][1]
+        df.write.mode(mode).format("parquet").bucketBy(self.buckets, by).sortBy(by).option("path", path or f"{self.path}/{name}").saveAsTable(self._name(name))
+        return self._table(name)
+
+    def _bucketed(self, df: DataFrame, by: str) -> DataFrame:
+        return df.repartition(self.buckets, by)
 
     def _held(self, name: str, by: str, wanted: DataFrame) -> DataFrame:
         """The rows of a table whose key is among the wanted distinct ones; the table is streamed, not exchanged."""
@@ -186,25 +203,26 @@ class History:
 
     def _accept(self, records: DataFrame) -> DataFrame:
         """Appends the records and gives one row per class that the history lacked: h, words, chunks, bytes, batch. Written."""
-        texts = records.where("h IS NOT NULL")
-        own = texts.select("h", "words", "chunks", "bytes", "batch").repartition(self.buckets, "h").groupBy("h").agg(*[F.min_by(c, "batch").alias(c) for c in ("words", "chunks", "bytes")], F.min("batch").alias("batch"))
-        first = self.built < 0
-        # Nothing is known to an empty history.
-        known = None if first else self._held("classes", "h", texts.select("h").distinct()).select("h")
-        fresh = written(own if first else own.join(known, "h", "left_anti"), "fresh")
-        named = self._names(records).groupBy("k").agg(F.min("batch").alias("batch"))
-        owned = fresh.select("h", "batch", F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.min(F.struct("batch", "h")).alias("_o")).select("chunk", "_o.h", "_o.batch")
-        if not first:
-            named = named.join(self._held("names", "k", named.select("k")).select("k"), "k", "left_anti")
-            owned = owned.join(self._held("chunks", "chunk", owned.select("chunk")).select("chunk"), "chunk", "left_anti")
+        texts = self._bucketed(records.where("h IS NOT NULL").select("h", "words", "chunks", "bytes", "batch"), "h")
+        own = texts.groupBy("h").agg(F.min_by(F.struct("words", "chunks", "bytes"), "batch").alias("_r"), F.min("batch").alias("batch")).select("h", "_r.*", "batch")
+        named = self._bucketed(self._names(records).groupBy("k").agg(F.min("batch").alias("batch")), "k")
+        if self.built >= 0:
+            own = own.join(self._table("classes").select("h").hint("merge"), "h", "left_anti")
+            named = named.join(self._table("names").select("k").hint("merge"), "k", "left_anti")
+        # The new classes are bucketed as the table they go to, so that neither this nor later joins exchange their words again.
+        self.fresh_tables += 1
+        fresh = self._append(own, f"fresh{self.fresh_tables}", "overwrite", scratch(self.spark, "fresh"), "h")
         self._append(named.select("k", "batch"), "names")
+        owned = self._bucketed(fresh.select("h", "batch", F.explode("chunks").alias("chunk")), "chunk").groupBy("chunk").agg(F.min(F.struct("batch", "h")).alias("_o")).select("chunk", "_o.h", "_o.batch")
+        if self.built >= 0:
+            owned = owned.join(self._table("chunks").select("chunk").hint("merge"), "chunk", "left_anti")
         self._append(owned.select("chunk", "h", "batch"), "chunks")
         self._append(fresh.select("h", "words", "batch"), "classes")
         self.count += fresh.count()
         if self.count >= 2 * max(0, self.built):
             self._build()
         else:
-            self._append(wordsets.cheap_entries(fresh, self.costs, ["batch"]), "entries")
+            self._append(self._bucketed(wordsets.cheap_entries(fresh, self.costs, ["batch"]), "key"), "entries")
             self.poor = np.minimum(self.poor, wordsets.poorest(fresh, self.costs))
         text = json.dumps({"buckets": self.buckets, "count": self.count, "built": self.built, "poor": self.poor.tolist()})
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/about")
@@ -218,12 +236,12 @@ class History:
         parts = [(i, self.costs.levels[i * size : (i + 1) * size].tobytes()) for i in range(-(-len(self.costs.levels) // size))]
         self.spark.createDataFrame(parts, "part int, levels binary").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/costs")
         self.poor = wordsets.poorest(classes, self.costs)
-        self._append(wordsets.cheap_entries(classes, self.costs, ["batch"]), "entries", "overwrite")
+        self._append(self._bucketed(wordsets.cheap_entries(classes, self.costs, ["batch"]), "key"), "entries", "overwrite")
 
     def _seen(self, records: DataFrame, fresh: DataFrame) -> DataFrame:
         """Column id: the records that a smaller batch has, once all of them are accepted."""
         near = written(self.by_chunks(fresh), "settled")
-        near = near.union(self.by_index(fresh.join(near, "h", "left_anti")))
+        near = near.union(self.by_index(fresh, near))
         # A record whose class is open is the first of its text: classes that are not fresh, and later batches of fresh ones, are copies.
         open_ = fresh.select("h", "batch").join(near, "h", "left_anti")
         found = records.where("h IS NOT NULL").select("id", "h", "batch").join(open_, ["h", "batch"], "left_anti").select("id")
@@ -233,19 +251,24 @@ class History:
 
     @staticmethod
     def _names(records: DataFrame) -> DataFrame:
-        return records.select("id", "batch", F.explode(F.array_compact(F.array(F.concat(F.lit("page "), "page"), F.concat(F.lit("print "), "print")))).alias("k"))
+        return records.select("id", "batch", F.explode("names").alias("k"))
 
     def by_chunks(self, fresh: DataFrame, coverage: float = COVERAGE) -> DataFrame:
         """Column h: the classes of fresh that one class of a smaller batch covers by its chunks, confirmed on the word sets."""
         own = fresh.select("h", "batch", F.aggregate("bytes", F.lit(0), lambda a, x: a + x).alias("_all"), F.explode(F.arrays_zip("chunks", "bytes")).alias("_c"))
-        each = own.groupBy(F.col("h").alias("h_a"), F.col("batch").alias("_batch"), "_all", F.col("_c.chunks").alias("chunk")).agg(F.sum("_c.bytes").alias("_n"))
+        each = own.select(F.col("h").alias("h_a"), F.col("batch").alias("_batch"), "_all", F.col("_c.chunks").alias("chunk"), F.col("_c.bytes").alias("_n"))
         shared = self._table("chunks").join(each.hint("shuffle_hash"), "chunk").where("batch < _batch")
         covered = shared.groupBy("h_a", F.col("h").alias("h_b")).agg(F.sum("_n").alias("_s"), F.first("_all").alias("_all")).where(F.col("_s") >= coverage * F.col("_all"))
         return self._confirmed(covered.select("h_a", "h_b"), fresh)
 
-    def by_index(self, fresh: DataFrame) -> DataFrame:
-        """Column h: the classes of fresh that the exact index finds similar to a class of a smaller batch."""
-        a, b = self._table("entries").alias("a"), wordsets.cheap_entries(fresh, self.costs, ["batch"]).hint("shuffle_hash").alias("b")
+    def by_index(self, fresh: DataFrame, settled: DataFrame) -> DataFrame:
+        """Column h: the classes of fresh, but for the settled ones, that the exact index finds similar to a class of a smaller batch."""
+        first = fresh.agg(F.min("batch")).first()[0]
+        if first is None:
+            return empty(self.spark, "h bigint")
+        # Both sides are the bucketed table: nothing is exchanged.
+        entries = self._table("entries")
+        a, b = entries.alias("a"), entries.where(F.col("batch") >= first).hint("shuffle_hash").alias("b")
         met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.batch") < F.col("b.batch")) & wordsets.fits(F.col("a.size"), F.col("b.size"), F.col("a.bits"), F.col("b.bits")))
         candidates = met.select(F.col("b.h").alias("h_a"), F.col("a.h").alias("h_b"))
         poor = wordsets.poorest(fresh, self.costs)
@@ -254,7 +277,8 @@ class History:
             larger = wordsets.dear_candidates(fresh, old, self.costs, poor, self.poor)
             smaller = wordsets.dear_candidates(old, fresh, self.costs, self.poor, poor).select(F.col("h_b").alias("h_a"), F.col("h_a").alias("h_b"))
             candidates = candidates.union(larger).union(smaller)
-        return self._confirmed(candidates.distinct(), fresh)
+        open_ = candidates.distinct().join(settled.withColumnRenamed("h", "h_a"), "h_a", "left_anti")
+        return self._confirmed(open_, fresh)
 
     def _confirmed(self, candidates: DataFrame, fresh: DataFrame) -> DataFrame:
         """Column h: the new classes of the candidates (new h_a, old h_b) of which the old is of a smaller batch and the word sets reach the similarity."""
@@ -266,7 +290,7 @@ class History:
 
     def close(self) -> None:
         """Takes the tables' names out of the session's catalogue; the files stay."""
-        for name in self._TABLES:
+        for name in [*self._TABLES, *[f"fresh{i + 1}" for i in range(self.fresh_tables)]]:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._name(name)}")
 
 
