@@ -83,8 +83,8 @@ def search(idx: Index, query: str, as_of: str, page: int = 1, since: str = "all"
 
     The score is BM25 over weighted terms + .2 e^(-minutes / 4320) + .15 trust
     + .05 for each of up to two entities that the query names + .1 if a quoted
-    phrase stands in the title or text. Near-duplicates of a day are collapsed
-    into their first article before the page is cut. A query without terms, and
+    phrase stands in the title or text. Near-duplicates are collapsed
+    into the best of them before the page is cut. A query without terms, and
     a page beyond the end, give no rows; ties go to the smaller id.
     """
     terms = query_terms(query)
@@ -113,7 +113,6 @@ def search(idx: Index, query: str, as_of: str, page: int = 1, since: str = "all"
     score = F.col("_bm25") + F.coalesce(0.2 * F.exp(-age / 4320.0), F.lit(0.0)) + 0.15 * F.col("trust") + 0.05 * F.least(F.lit(2), shared) + phrase
     found = found.withColumn("score", F.round(score, 6))
     if collapse:
-        day = found.withColumn("_day", F.to_date("at"))
-        found = found.join(dedupe.suppressed(day, "id", "simhash", "_day"), "id", "left_anti")
+        found = found.join(dedupe.collapsed(found, "id", "score", "simhash").select("id"), "id", "left_semi")
     best = found.orderBy(F.desc("score"), "id").offset((max(1, page) - 1) * size).limit(size)
     return best.select("id", "score", "title", "url", "source", "at", tx.highlighted(tx.snippet(F.col("lede"), terms), terms).alias("snippet"))

@@ -43,19 +43,25 @@ def simhash64(df: DataFrame, key: str, terms: Column) -> DataFrame:
     """Columns key and simhash (16 hex digits) of each row's terms, repeats counted.
 
     Bit i is 1 if at least half of the terms' sha256 prefixes have it; a row
-    without terms has sixteen zeros. Terms are counted before they are hashed;
-    64 sums are the state of one aggregation, with partial sums before the
-    shuffle.
+    without terms has sixteen zeros. All is counted inside the row: two bits
+    at a time, in the halves of a 64-bit sum.
     """
-    counted = df.select(key, F.explode(terms).alias("_t")).groupBy(key, "_t").count()
-    digest = F.sha2("_t", 256)
-    high, low = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.conv(F.substring(digest, 9, 8), 16, 10).cast("bigint")
-    each = counted.select(key, "count", high.alias("_h"), low.alias("_l"))
-    sums = [F.sum(F.col("count") * (2 * F.shiftright(half, b).bitwiseAND(1) - 1)).alias(f"_{half}{b}") for half in ("_h", "_l") for b in range(31, -1, -1)]
-    votes = each.groupBy(key).agg(*sums)
-
-    def word(half: str) -> Column:
-        bits = [F.when(F.col(f"_{half}{b}") >= 0, 1 << b).otherwise(0).cast("bigint") for b in range(32)]
+    digests = F.transform(terms, lambda t: F.sha2(t, 256))
+
+    def half(at: int) -> Column:
+        return F.transform("_d", lambda d: F.conv(F.substring(d, at, 8), 16, 10).cast("bigint"))
+
+    hashed = df.select(key, digests.alias("_d")).select(key, F.coalesce(F.size("_d"), F.lit(0)).alias("_n"), half(1).alias("_h"), half(9).alias("_l"))
+
+    def both(of: str, b: int) -> Column:
+        return F.aggregate(of, F.lit(0).cast("bigint"), lambda a, x: a + F.shiftleft(F.shiftright(x, b + 1).bitwiseAND(1), 32) + F.shiftright(x, b).bitwiseAND(1))
+
+    def word(of: str) -> Column:
+        bits = []
+        for b in range(0, 32, 2):
+            sums = both(of, b)
+            for bit, ones in ((b, sums.bitwiseAND((1 << 32) - 1)), (b + 1, F.shiftright(sums, 32))):
+                bits.append(F.when(2 * ones >= F.col("_n"), 1 << bit).otherwise(0).cast("bigint"))
         return F.lpad(F.lower(F.hex(sum(bits[1:], bits[0]))), 8, "0")
 
-    return df.select(key).distinct().join(votes, key, "left").select(key, F.coalesce(F.concat(word("_h"), word("_l")), F.lit("0" * 16)).alias("simhash"))
+    return hashed.select(key, F.when(F.col("_n") > 0, F.concat(word("_h"), word("_l"))).otherwise("0" * 16).alias("simhash"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 # Parameters that do not make another page.
 TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content utm_id gclid fbclid mc_cid mc_eid mkt_tok icid ref ref_ cmpid clid".split()
-# Path parts of pages that hold no article.
-BOILERPLATE = "about account advertise author authors careers category comments contact cookies cookie-policy faq feed help jobs legal login logout newsletter privacy privacy-policy register rss search share signin signup subscribe tag tags terms terms-of-service".split()
+# Path parts, and words of the query part, of pages that hold no article.
+BOILERPLATE = "about account advert advertisement advertising careers company contact cookies copyright faq feedback finance help home investors legal login logout menu newsletter privacy register settings signin signout signup subscribe support terms".split()
+# Parts of the domains of pages anyone can put up.
+LOW_CONFIDENCE = ["blogspot.", "wordpress", "medium.com", "substack.com", "tumblr.com", "reddit.com", "weebly.com", "notion.site", "github.io"]
 
 
 def _rest(url: Column) -> Column:
@@ -29,15 +31,29 @@ def path(url: Column) -> Column:
     return F.regexp_extract(_rest(url), r"^[^/?]*([^?]*)", 1)
 
 
-def canonical(url: Column) -> Column:
-    """Scheme and host lower-cased, port kept, no slash at the end, tracking parameters and fragment dropped, parameters sorted; null for null and blank."""
+def _parameter(pair: Column) -> Column:
+    return F.substring_index(pair, "=", 1)
+
+
+def canonical(url: Column, declared: Column | None = None) -> Column:
+    """The page's own canonical address, or else its address, in one form; null if both are null or blank.
+
+    Scheme and host are lower-cased, the port is kept, the path is at least a
+    slash and otherwise ends in none, the fragment and tracking parameters are
+    dropped, parameters are sorted by name, the last of one name counting. An
+    address without scheme or host is only trimmed.
+    """
     plain = F.trim(F.coalesce(url, F.lit("")))
+    if declared is not None:
+        plain = F.when(F.trim(F.coalesce(declared, F.lit(""))) != "", F.trim(declared)).otherwise(plain)
     scheme = F.lower(F.regexp_extract(plain, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
-    query = F.split(F.regexp_extract(_rest(url), r"^[^?]*\?(.*)$", 1), "&")
-    kept = F.array_sort(F.filter(query, lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING)))
+    query = F.filter(F.split(F.regexp_extract(_rest(plain), r"^[^?]*\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(_parameter(p)).isin(TRACKING))
+    last = F.filter(query, lambda p, i: ~F.exists(F.slice(query, i + 2, F.size(query)), lambda q: _parameter(q) == _parameter(p)))
+    kept = F.transform(F.array_sort(F.transform(last, lambda p: F.struct(_parameter(p).alias("k"), p.alias("p")))), lambda s: s["p"])
     tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    head = F.when(scheme == "", "").otherwise(F.concat(scheme, F.lit("://")))
-    return F.when(plain != "", F.concat(head, host(url), F.regexp_replace(path(url), "/+$", ""), tail))
+    at = F.regexp_replace(path(plain), "/+$", "")
+    whole = F.concat(scheme, F.lit("://"), host(plain), F.when(at == "", "/").otherwise(at), tail)
+    return F.when(plain != "", F.when((scheme == "") | (host(plain) == ""), plain).otherwise(whole))
 
 
 def seed(target: Column) -> Column:
@@ -48,8 +64,19 @@ def seed(target: Column) -> Column:
 
 
 def useful(url: Column) -> Column:
-    """Whether no part of the path is boilerplate."""
-    return ~F.arrays_overlap(F.split(F.lower(path(url)), "/"), F.array(*[F.lit(b) for b in BOILERPLATE]))
+    """Whether no part of the path is boilerplate, and no such word stands in the query part."""
+    parts = F.transform(F.split(F.lower(path(url)), "/"), lambda x: F.trim(x))
+    query = F.lower(F.regexp_extract(_rest(url), r"^[^?]*\?(.*)$", 1))
+    return ~F.arrays_overlap(parts, F.array(*[F.lit(b) for b in BOILERPLATE])) & ~query.rlike("|".join(BOILERPLATE))
+
+
+def low_confidence(name: Column) -> Column:
+    """Whether a domain is one of pages that anyone can put up; false for null and empty."""
+    plain = F.lower(F.coalesce(name, F.lit("")))
+    found = F.lit(False)
+    for part in LOW_CONFIDENCE:
+        found = found | plain.contains(part)
+    return found
 
 
 def readable_domain(name: Column) -> Column:

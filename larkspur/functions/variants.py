@@ -2,36 +2,27 @@
 
 from __future__ import annotations
 
-# Weights of the kinds of variant.
-WEIGHTS = {"plural": 0.9, "es": 0.85, "ies": 0.82, "ing": 0.8, "dropped e": 0.78, "ed": 0.75, "hyphen": 0.88, "joined": 0.8, "er": 0.72, "singular": 0.65}
+# The least length of a term, the ending it loses, what it gets instead, and the weight; the first of the first three that fits counts.
+PLURALS = [(4, "ies", "y", 0.9), (3, "es", "", 0.85), (3, "s", "", 0.82)]
+INFLECTIONS = [(5, "ing", "", 0.8), (4, "ed", "", 0.78), (4, "er", "", 0.75)]
+# Weights of the plural of a word in y, of another plural, and of a hyphen as a blank and as nothing.
+IES, PLURAL, APART, JOINED = 0.88, 0.8, 0.72, 0.65
 
 
 def term_variants(term: str) -> dict[str, float]:
     """Variants of a term with their weights, the term itself with 1."""
     term = term.strip().lower()
     out = {term: 1.0} if term else {}
-
-    def put(variant: str, kind: str) -> None:
-        if len(variant) > 1:
-            out[variant] = max(out.get(variant, 0.0), WEIGHTS[kind])
-
-    if len(term) > 2 and term.isalpha():
-        put(term + "s", "plural")
-        if term.endswith(("s", "x", "z", "ch", "sh")):
-            put(term + "es", "es")
-        if term.endswith("y") and term[-2] not in "aeiou":
-            put(term[:-1] + "ies", "ies")
-        stem = term[:-1] if term.endswith("e") else term
-        put(stem + "ing", "dropped e" if stem != term else "ing")
-        put(stem + "ed", "ed")
-        put(stem + "er", "er")
-        if term.endswith("ies"):
-            put(term[:-3] + "y", "ies")
-        elif term.endswith("s") and not term.endswith("ss"):
-            put(term[:-1], "singular")
+    fits = [next((r for r in PLURALS if len(term) >= r[0] and term.endswith(r[1])), None), *[r for r in INFLECTIONS if len(term) >= r[0] and term.endswith(r[1])]]
+    found = [(term[: -len(ending)] + instead, weight) for _, ending, instead, weight in filter(None, fits)]
+    if len(term) >= 3 and not term.endswith("s"):
+        found += [(term[:-1] + "ies", IES)] if term.endswith("y") else []
+        found.append((term + "s", PLURAL))
     if "-" in term:
-        put(term.replace("-", " "), "hyphen")
-        put(term.replace("-", ""), "joined")
+        found += [(term.replace("-", " "), APART), (term.replace("-", ""), JOINED)]
+    for variant, weight in found:
+        if variant.strip():
+            out[variant.strip()] = max(out.get(variant.strip(), 0.0), weight)
     return out
 
 

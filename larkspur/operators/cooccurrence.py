@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.sources.tables import written
+
 
 def cooccurrence(tokens: DataFrame, doc: str, words: str, radius: int, decay: str = "inverse", strength: float | None = None) -> DataFrame:
     """Columns target, context, weight: summed weights of neighbours at most radius places apart, both ways.
@@ -46,16 +48,27 @@ def ppmi(counts: DataFrame) -> DataFrame:
 
 
 def cosine_pairs(vectors: DataFrame, row: str, column: str, value: str, least: float = 0.0) -> DataFrame:
-    """Columns left < right, score: cosine of sparse rows that share a column, of at least the score.
+    """Columns left < right, score: cosine of sparse rows with values of at least 0 that share a column, of at least the score.
 
-    Products are summed by pair over the columns they share; rows without a
-    shared column are no pair. Rows and columns are joined by 64-bit hashes, so
-    that names are neither compared nor shuffled before the pairs are few.
+    Columns are ordered by the number of rows that have them, and a row is
+    indexed under its rarest ones, until what is left of it is shorter than
+    the least score: rows that share nothing but what is left cannot reach it.
+    Pairs that meet in the index are verified on their whole vectors. With a
+    least score of 0 every column is indexed. Rows and columns are joined by
+    64-bit hashes, so that names are not shuffled before the pairs are few.
     """
-    norms = vectors.groupBy(F.col(row).alias("_n")).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm"))
-    scaled = vectors.join(norms, F.col(row) == F.col("_n")).where("_norm > 0").select(F.xxhash64(F.col(row)).alias("_r"), F.xxhash64(F.col(column)).alias("_k"), (F.col(value) / F.col("_norm")).alias("_v"))
-    a, b = scaled.select(F.col("_r").alias("_x"), "_k", F.col("_v").alias("_a")), scaled.select(F.col("_r").alias("_y"), "_k", F.col("_v").alias("_b"))
-    summed = a.join(b, "_k").where("_x < _y").groupBy("_x", "_y").agg(F.sum(F.col("_a") * F.col("_b")).alias("score")).where(F.col("score") >= least)
-    names = norms.select(F.xxhash64("_n").alias("_h"), F.col("_n").alias("_name"))
-    named = summed.join(names.select(F.col("_h").alias("_x"), F.col("_name").alias("_p")), "_x").join(names.select(F.col("_h").alias("_y"), F.col("_name").alias("_q")), "_y")
-    return named.select(F.least("_p", "_q").alias("left"), F.greatest("_p", "_q").alias("right"), "score")
+    norms = vectors.groupBy(F.col(row).alias("_n")).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm")).where("_norm > 0")
+    counts = vectors.groupBy(F.col(column).alias("_column")).agg(F.count("*").alias("_f"))
+    unit = vectors.join(norms, F.col(row) == F.col("_n")).join(counts, F.col(column) == F.col("_column"))
+    entry = F.struct(F.col("_f"), F.xxhash64(column).alias("_k"), (F.col(value) / F.col("_norm")).alias("_v"))
+    whole = written(unit.groupBy(F.xxhash64(row).alias("_r"), F.col(row).alias("_name")).agg(F.array_sort(F.collect_list(entry)).alias("_e")), "vectors")
+    # What is left from each place on: squares summed from the end.
+    left = F.aggregate(F.reverse("_e"), F.array(F.lit(0.0)), lambda acc, e: F.concat(acc, F.array(F.element_at(acc, -1) + e["_v"] * e["_v"])))
+    kept = F.filter("_e", lambda e, i: F.get("_left", F.size("_e") - i) >= (least - 1e-9) * F.abs(F.lit(least - 1e-9)))
+    index = whole.withColumn("_left", left).select("_r", F.explode(kept).alias("_p")).select("_r", "_p._k")
+    met = index.toDF("_x", "_k").join(index.toDF("_y", "_k"), "_k").where("_x < _y").select("_x", "_y").distinct()
+    a = whole.select(F.col("_r").alias("_x"), F.col("_name").alias("_p"), F.map_from_entries(F.transform("_e", lambda e: F.struct(e["_k"], e["_v"]))).alias("_a"))
+    b = whole.select(F.col("_r").alias("_y"), F.col("_name").alias("_q"), F.col("_e").alias("_b"))
+    dot = F.aggregate("_b", F.lit(0.0), lambda acc, e: acc + F.coalesce(F.col("_a")[e["_k"]], F.lit(0.0)) * e["_v"])
+    scored = met.join(a, "_x").join(b, "_y").select("_p", "_q", dot.alias("score")).where(F.col("score") >= least)
+    return scored.select(F.least("_p", "_q").alias("left"), F.greatest("_p", "_q").alias("right"), "score")

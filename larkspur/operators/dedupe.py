@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.sketch import hamming
-from larkspur.sources.tables import written
+from larkspur.sources.tables import Rounds, written
 
 
 def classes(df: DataFrame, key: str, simhash: str, block: str) -> DataFrame:
@@ -18,13 +18,14 @@ def close_pairs(nodes: DataFrame, distance: int = 4) -> DataFrame:
     """Columns a < b and distance: classes of one block, named by their first keys, whose fingerprints differ in at most so many bits.
 
     nodes are classes(): copies of a fingerprint are one node, so a hot one is
-    joined once. The 16 hex digits are cut into distance + 1 bands; by the
-    pigeonhole principle close fingerprints agree in one, so bands are joined
-    by equality and no block is multiplied out.
+    joined once. The 16 hex digits are cut into distance + 2 bands; by the
+    pigeonhole principle close fingerprints agree in two, so pairs of bands
+    are joined by equality and no block is multiplied out.
     """
-    bands = distance + 1
+    bands = distance + 2
     cuts = [round(16 * i / bands) for i in range(bands + 1)]
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("simhash", lo + 1, hi - lo).alias("v")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
+    one = [F.substring("simhash", lo + 1, hi - lo) for lo, hi in zip(cuts, cuts[1:])]
+    parts = F.array(*[F.struct(F.lit(f"{i}-{j}").alias("i"), F.concat(one[i], one[j]).alias("v")) for i in range(bands) for j in range(i)])
     each = nodes.select("block", "first", "simhash", F.explode(parts).alias("_band"))
     left = each.select("block", "_band", F.col("first").alias("a"), F.col("simhash").alias("_x"))
     right = each.select("block", "_band", F.col("first").alias("b"), F.col("simhash").alias("_y"))
@@ -52,7 +53,9 @@ def first_wins(pairs: DataFrame) -> DataFrame:
     neighbours are decided; as many as the longest chain of close rows. Copies
     of a class after its first row are always dropped, so the first stand for all.
     """
-    edges = written(pairs.select("a", "b"), "close")
+    spark = pairs.sparkSession
+    rounds = Rounds(spark, "close")
+    edges = rounds.next(pairs.select("a", "b"))
     dropped = edges.select(F.col("b").alias("n")).limit(0)
     while True:
         # Kept for certain: rows that no open edge comes into. What they touch is dropped.
@@ -60,6 +63,28 @@ def first_wins(pairs: DataFrame) -> DataFrame:
         new = written(edges.join(kept.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n")).distinct(), "dropped")
         dropped = dropped.union(new)
         open_edges = edges.join(kept.withColumnRenamed("n", "a"), "a", "left_anti").join(new.withColumnRenamed("n", "a"), "a", "left_anti").join(new.withColumnRenamed("n", "b"), "b", "left_anti")
-        edges = written(open_edges.select("a", "b"), "close")
+        edges = rounds.next(open_edges.select("a", "b"))
         if edges.isEmpty():
             return dropped.select(F.col("n").alias("dropped"))
+
+
+def collapsed(df: DataFrame, key: str, score: str, simhash: str, distance: int = 4) -> DataFrame:
+    """Columns key and collapsed: the rows that stay when results are taken from the best score on, and how many each stands for besides itself.
+
+    A row goes if a better row that stays has a fingerprint at most so many
+    bits away; of equal scores the smaller key is better. Rows without a
+    fingerprint stay. A row that goes counts with the best row that keeps it out.
+    """
+    best = F.max(F.struct(F.col(score).alias("_score"), (-F.col(key)).alias("_minus")))
+    nodes = written(df.where(F.col(simhash).isNotNull()).groupBy(F.col(simhash).alias("simhash")).agg(best.alias("_b"), F.count("*").alias("size")).select(F.lit(0).alias("block"), "simhash", (-F.col("_b._minus")).alias("first"), F.col("_b._score").alias("_score"), "size"), "results")
+    near = close_pairs(nodes, distance)
+    order = nodes.select("first", "_score")
+    scored = near.join(order.toDF("a", "_sa"), "a").join(order.toDF("b", "_sb"), "b")
+    ahead = (F.col("_sa") > F.col("_sb")) | ((F.col("_sa") == F.col("_sb")) & (F.col("a") < F.col("b")))
+    edges = written(scored.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("b"), F.greatest("_sa", "_sb").alias("_score")), "ahead")
+    gone = first_wins(edges).select(F.col("dropped").alias("b"))
+    # Each class that goes, with the best staying one before it.
+    to = edges.join(gone, "b", "left_semi").join(gone.select(F.col("b").alias("a")), "a", "left_anti").groupBy("b").agg(F.max(F.struct("_score", (-F.col("a")).alias("_m"))).alias("_k"))
+    others = to.join(nodes.select(F.col("first").alias("b"), "size"), "b").groupBy((-F.col("_k._m")).alias("first")).agg(F.sum("size").alias("_n"))
+    held = nodes.join(gone.withColumnRenamed("b", "first"), "first", "left_anti").join(others, "first", "left").select(F.col("first").alias(key), (F.col("size") - 1 + F.coalesce("_n", F.lit(0))).alias("collapsed"))
+    return held.unionByName(df.where(F.col(simhash).isNull()).select(key, F.lit(0).cast("bigint").alias("collapsed")))

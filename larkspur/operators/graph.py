@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.functions import text as tx
+from larkspur.functions.similarity import metaphone, similar_text
 
 
 def pattern_triples(sentences: DataFrame, sentence: str, patterns: list[tuple[str, str, float]]) -> DataFrame:
@@ -58,13 +59,19 @@ def token_similarity(a: Column, b: Column) -> Column:
 
 
 def match_score(needle: str, candidate: Column) -> Column:
-    """.45 edit similarity + .25 token similarity + .2 equal sound + .1 affinity (prefix 1, contained .6) to a needle, 1 for equality."""
+    """.45 likeness of the strings + .25 token similarity + .2 sound + .1 affinity (prefix 1, contained .6) to a needle, 1 for equality.
+
+    Likeness is the better of shared text and edit similarity; sound is 1 for
+    one metaphone key and .7 for one soundex.
+    """
     name = tx.name_key(candidate)
     key = F.lit(needle)
     longest = F.greatest(F.length(name), F.lit(len(needle)))
-    lexical = F.when(longest > 0, 1 - F.levenshtein(name, key) / longest).otherwise(0.0)
+    edits = F.when(longest > 0, 1 - F.levenshtein(name, key) / longest).otherwise(0.0)
+    lexical = F.greatest(edits, similar_text(key, name) / 100)
     tokens = token_similarity(tx.name_tokens(candidate), F.array(*[F.lit(t) for t in dict.fromkeys(needle.replace("-", " ").split())]))
-    sound = F.when(F.soundex(name) == F.soundex(key), 0.7).otherwise(0.0)
+    sounds = metaphone(name)
+    sound = F.when((sounds != "") & (sounds == metaphone(key)), 1.0).when((F.soundex(name) != "") & (F.soundex(name) == F.soundex(key)), 0.7).otherwise(0.0)
     affinity = F.when(name.startswith(needle), 1.0).when(name.contains(needle), 0.6).otherwise(0.0)
     return F.when(name == key, 1.0).otherwise(0.45 * lexical + 0.25 * tokens + 0.2 * sound + 0.1 * affinity)
 

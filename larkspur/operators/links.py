@@ -32,9 +32,9 @@ def parents(led: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, src: str, dst: str, seeds: DataFrame, depth: int) -> DataFrame:
     """Columns node, depth: nodes at most so many steps from the seeds (one column), with the fewest steps.
 
-    Breadth first, a join a level; each level is written, and only new nodes go on.
+    Breadth first, a join a level; the edges are written once and each level as well, and only new nodes go on.
     """
-    steps = edges.select(F.col(src).alias("_s"), F.col(dst).alias("node")).where("_s IS NOT NULL AND node IS NOT NULL").distinct()
+    steps = written(edges.select(F.col(src).alias("_s"), F.col(dst).alias("node")).where("_s IS NOT NULL AND node IS NOT NULL").distinct(), "steps")
     front = written(seeds.toDF("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)), "front")
     found = front
     for level in range(1, depth + 1):

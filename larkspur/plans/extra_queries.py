@@ -65,16 +65,19 @@ def company_search(spark: SparkSession, folder: str) -> DataFrame:
 VALID = "v AS (SELECT id, lower(trim(simhash)) AS s, received_at::DATE AS day FROM raw_articles WHERE regexp_full_match(lower(trim(simhash)), '[0-9a-f]{16}') AND lower(trim(simhash)) <> repeat(substr(trim(lower(simhash)), 1, 1), 16))"
 
 
-@R.add(TOKENS + BM25 + f""", {VALID}, p AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.day = b.day AND a.id < b.id AND bit_count(xor(('0x' || a.s)::UBIGINT::HUGEINT, ('0x' || b.s)::UBIGINT::HUGEINT)) <= 4),
-x AS (SELECT DISTINCT y.id FROM p JOIN bm x ON x.id = a JOIN bm y ON y.id = b)
-SELECT id, round(bm25, 6) AS score FROM bm WHERE id NOT IN (SELECT id FROM x) ORDER BY score DESC, id LIMIT 50""")
+@R.add((TOKENS + BM25 + f""", {VALID}, o AS (SELECT id, round(bm25, 6) AS score, ('0x' || s)::UBIGINT::HUGEINT AS s, row_number() OVER (ORDER BY round(bm25, 6) DESC, id) AS r FROM bm LEFT JOIN v USING (id)),
+k AS (SELECT 0::BIGINT AS i, []::STRUCT(id BIGINT, s HUGEINT, n BIGINT)[] AS kept UNION ALL
+  SELECT i + 1, CASE WHEN s IS NULL OR len(list_filter(kept, lambda x: x.s IS NOT NULL AND bit_count(xor(x.s, s)) <= 4)) = 0 THEN list_append(kept, {{'id': id, 's': s, 'n': 0::BIGINT}})
+    ELSE list_transform(kept, lambda x: CASE WHEN x.id = list_filter(kept, lambda y: y.s IS NOT NULL AND bit_count(xor(y.s, s)) <= 4)[1].id THEN {{'id': x.id, 's': x.s, 'n': x.n + 1}} ELSE x END) END FROM k JOIN o ON r = i + 1),
+z AS (SELECT unnest(kept) AS x FROM k WHERE i = (SELECT count(*) FROM o))
+SELECT o.id, score, x.n AS collapsed FROM z JOIN o ON o.id = x.id ORDER BY score DESC, o.id LIMIT 50""").replace("WITH tok", "WITH RECURSIVE tok", 1))
 def collapsed_results(spark: SparkSession, folder: str) -> DataFrame:
-    """Ranked results without those that an earlier one of the day is close to."""
+    """Ranked results without those that a better one, which stays, is close to, and the number of those."""
     articles = table(spark, folder, "raw_articles")
     scores = index.weighted_bm25(articles, "id", "title", "lede", QUERY_TERMS)
-    found = articles.join(scores, "id").select("id", "bm25", valid_hex16(F.col("simhash")).alias("s"), F.to_date("received_at").alias("day"))
-    kept = found.join(dedupe.suppressed(found, "id", "s", "day"), "id", "left_anti")
-    return kept.select("id", F.round("bm25", 6).alias("score")).orderBy(F.desc("score"), "id").limit(50)
+    found = articles.join(scores, "id").select("id", F.round("bm25", 6).alias("score"), valid_hex16(F.col("simhash")).alias("s"))
+    kept = dedupe.collapsed(found, "id", "score", "s")
+    return found.join(kept, "id").select("id", "score", "collapsed").orderBy(F.desc("score"), "id").limit(50)
 
 
 def coverage(text: Column, tokens: list[str]) -> Column:

@@ -9,7 +9,7 @@ from larkspur.functions import text as tx
 from larkspur.functions import urls
 from larkspur.operators import graph, links
 from larkspur.plans.registry import Registry
-from larkspur.sources.tables import table
+from larkspur.sources.tables import table, written
 
 R = Registry()
 # Rules of relations as sentences of the tables state them; callers pass their own.
@@ -98,10 +98,12 @@ HOST = "regexp_replace(regexp_replace(lower(regexp_extract(regexp_replace(regexp
 DOM = HOST.format("url")
 
 
-@R.add(f"""
+@R.add("""
 WITH u AS (SELECT id, trim(url) AS u, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://', '') AS rest FROM raw_articles WHERE trim(coalesce(url, '')) <> ''),
-q AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.\\-]*)://', 1)) AS scheme, list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT list_contains({urls.TRACKING!r}, lower(split_part(p, '=', 1))))) AS kept FROM u)
-SELECT id, CASE WHEN scheme = '' THEN '' ELSE scheme || '://' END || lower(regexp_extract(rest, '^([^/?]*)', 1)) || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM q""")
+q AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.\\-]*)://', 1)) AS scheme, lower(regexp_extract(rest, '^([^/?]*)', 1)) AS host, regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+list_filter(string_split(regexp_extract(rest, '^[^?]*\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT list_contains(['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'utm_id', 'gclid', 'fbclid', 'mc_cid', 'mc_eid', 'mkt_tok', 'icid', 'ref', 'ref_', 'cmpid', 'clid'], lower(split_part(p, '=', 1)))) AS kept FROM u),
+l AS (SELECT *, list_sort(list_transform(list_filter(kept, lambda p, i: NOT list_contains(list_transform(kept[i + 1:], lambda x: split_part(x, '=', 1)), split_part(p, '=', 1))), lambda p: {'k': split_part(p, '=', 1), 'p': p})) AS last FROM q)
+SELECT id, CASE WHEN scheme = '' OR host = '' THEN u ELSE scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(last) > 0 THEN '?' || array_to_string(list_transform(last, lambda x: x.p), '&') ELSE '' END END AS url FROM l""")
 def url_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "raw_articles").select("id", urls.canonical(F.col("url")).alias("url")).where("url IS NOT NULL")
 
@@ -157,7 +159,7 @@ SELECT node, min(depth)::INT AS depth FROM b GROUP BY node""")
 def bfs_reachable(spark: SparkSession, folder: str) -> DataFrame:
     """Entities at most three articles away from the first entity by name."""
     each = table(spark, folder, "raw_articles").select("id", F.explode("entities").alias("e")).select("id", F.lower(F.trim("e")).alias("e")).where("e <> ''").distinct()
-    edges = each.join(each.select("id", F.col("e").alias("d")), "id").where("e <> d").select("e", "d").distinct()
+    edges = written(each.join(each.select("id", F.col("e").alias("d")), "id").where("e <> d").select("e", "d").distinct(), "edges")
     return links.reachable(edges, "e", "d", edges.agg(F.min("e")), 3)
 
 
@@ -178,7 +180,8 @@ def revision_diff(spark: SparkSession, folder: str) -> DataFrame:
     return links.revisions(pages, "page", "received_at", "id", F.col("d"), F.col("entities")).where("revision > 1")
 
 
-@R.add(f"SELECT id, domain, NOT list_has_any(string_split(lower(p), '/'), {urls.BOILERPLATE!r}) AS useful FROM (SELECT id, {DOM} AS domain, regexp_extract(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://', ''), '^[^/?]*([^?]*)', 1) AS p FROM raw_articles WHERE trim(coalesce(url, '')) <> '')")
+@R.add(f"""WITH p AS (SELECT id, {DOM} AS domain, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://', '') AS rest FROM raw_articles WHERE trim(coalesce(url, '')) <> '')
+SELECT id, domain, NOT list_has_any(list_transform(string_split(lower(regexp_extract(rest, '^[^/?]*([^?]*)', 1)), '/'), lambda x: trim(x)), string_split('about|account|advert|advertisement|advertising|careers|company|contact|cookies|copyright|faq|feedback|finance|help|home|investors|legal|login|logout|menu|newsletter|privacy|register|settings|signin|signout|signup|subscribe|support|terms', '|')) AND NOT regexp_matches(lower(regexp_extract(rest, '^[^?]*\\?(.*)$', 1)), 'about|account|advert|advertisement|advertising|careers|company|contact|cookies|copyright|faq|feedback|finance|help|home|investors|legal|login|logout|menu|newsletter|privacy|register|settings|signin|signout|signup|subscribe|support|terms') AS useful FROM p""")
 def useful_links(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "raw_articles").where(F.trim(tx.text_of(F.col("url"))) != "")
     return pages.select("id", urls.domain(F.col("url")).alias("domain"), urls.useful(F.col("url")).alias("useful"))

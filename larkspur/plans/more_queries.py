@@ -97,7 +97,7 @@ def synonym_expansion(spark: SparkSession, folder: str) -> DataFrame:
     return asked.join(names, "source_id").where("synonym <> term").select("term", "synonym", F.lit(0.85).alias("weight")).distinct()
 
 
-@R.add(f"""SELECT doc_id, variant, max(weight)::DOUBLE AS weight FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')) AS w FROM documents) t JOIN (VALUES {", ".join(f"('{v}', {w})" for t in ("merger", "delay", "dispute") for v, w in term_variants(t).items())}) v(variant, weight) ON t.w = v.variant GROUP BY 1, 2""")
+@R.add("""SELECT doc_id, variant, max(weight)::DOUBLE AS weight FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')) AS w FROM documents) t JOIN (VALUES ('merger', 1.0), ('merg', 0.75), ('mergers', 0.8), ('delay', 1.0), ('delaies', 0.88), ('delays', 0.8), ('dispute', 1.0), ('disputes', 0.8)) v(variant, weight) ON t.w = v.variant GROUP BY 1, 2""")
 def term_variant_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a variant of a query word, with its weight."""
     weights = {v: w for t in ("merger", "delay", "dispute") for v, w in term_variants(t).items()}

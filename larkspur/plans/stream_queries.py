@@ -16,9 +16,7 @@ R = Registry()
 def stream_event_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Events of each day and type, with a watermark late enough for all of them."""
     counts = jobs.windowed_counts(jobs.stream_of(spark, folder, "events"), "ts", ["event_type"], late="60 days")
-    query = counts.writeStream.format("memory").queryName("stream_event_counts").outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table("stream_event_counts").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    return jobs.to_table(counts, "event-counts", "complete").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @R.add("SELECT count(DISTINCT lower(trim(title))) AS titles FROM market_news WHERE trim(title) <> ''")

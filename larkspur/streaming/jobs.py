@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkspur.operators import merge
-from larkspur.sources.tables import scratch
+from larkspur.sources.tables import empty, exists, scratch
 
 
 def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,14 +39,16 @@ def first_of_digest(rows: DataFrame, moment: str, digest: Column, late: str = "3
 def versions(rows: DataFrame, key: str, moment: str, digest: str) -> DataFrame:
     """A row (key, revision, digest) each time the digest of a key changes; rows of one batch are taken in order of the moment.
 
-    State is the last digest and the number of versions of each key.
+    State is the last digest and the number of versions of each key. A key's
+    rows of one batch come in parts of bounded size; only their moments and
+    digests are held, to be ordered.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, n = state.get if state.exists else ("", 0)
         out = []
-        part = pd.concat(list(batches)).sort_values([moment, digest])
-        for value in part[digest].tolist():
+        held = sorted({(at, value) for part in batches for at, value in zip(part[moment], part[digest])})
+        for _, value in held:
             if n == 0 or value != last:
                 last, n = value, n + 1
                 out.append((k[0], n, value))
@@ -61,8 +63,16 @@ def to_table(stream: DataFrame, what: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now, into a table of the shared folder, and reads that."""
     spark = stream.sparkSession
     path = scratch(spark, what)
-    stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    if mode == "append":
+        stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
+
+    def put(batch: DataFrame, _: int) -> None:
+        # The whole result so far takes the place of the one before.
+        batch.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path) if exists(spark, path) else empty(spark, stream.schema)
 
 
 def to_snapshot(stream: DataFrame, keys: list[str], order: list[Column], what: str) -> DataFrame:
