@@ -61,6 +61,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(at)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage, upon which executors remove the files of exchanges that no plan refers to."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts lineage, and outlives executors.
 
