@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import wordsets
 from larkspur.llm.near_duplicates import TEXTS
-from larkspur.sources.tables import empty, exists, remove, scratch, spread, table, written
+from larkspur.sources.tables import empty, exists, release, remove, scratch, spread, table, written
 
 #: Bytes the rolling hash looks at, and the mean length of a chunk in bytes (a power of two).
 WINDOW, MEAN = 8, 32
@@ -102,67 +102,87 @@ def distinct_chunks(hashes: np.ndarray, lengths: np.ndarray, counts: np.ndarray)
     return hashes[begins], np.add.reduceat(lengths, begins), np.bincount(row[begins], minlength=len(counts))
 
 
-_RECORD = "id bigint, h bigint, words array<bigint>, chunks array<bigint>, bytes array<int>, names array<binary>, batch bigint"
-#: Bytes of a record's rows in the largest table of a history, about.
-RECORD_BYTES = 480
+_MARKS = "id bigint, h bigint, names array<binary>, batch bigint"
+_CONTENTS = "h bigint, words array<bigint>, chunks array<bigint>, bytes array<int>, batch bigint"
+#: Bytes of a record's row in the largest table of a history, about.
+RECORD_BYTES = 600
 
 
-def prepared(df: DataFrame, key: str, texts: list[str], url: str, simhash: str, batch: str) -> DataFrame:
-    """What the history needs of each record: its class, words, distinct chunks with their bytes, and digests of its page address and fingerprint.
+def _valid(df: DataFrame, key: str, batch: str) -> DataFrame:
+    return df.where(F.col(key).isNotNull() & F.col(batch).isNotNull())
 
-    Records with a null key or batch are left out. h is null without words.
-    """
+
+def _sets(columns: list[list[str | None]], cache: wordsets._Hashes, normal: list[bytes] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all records' distinct words in a row, their number by record, and the classes of records with words; the normal forms go to a list if one is given."""
+    flat: list[int] = []
+    sizes = []
+    if len(cache) > wordsets._CACHE_LIMIT:
+        cache.clear()
+    for values in zip(*columns):
+        words = wordsets.word_list(*values)
+        once = set(words)
+        sizes.append(len(once))
+        flat.extend([cache[w] for w in once])
+        if normal is not None:
+            normal.append(" ".join(words).encode())
+    values, size = np.array(flat, np.uint64), np.array(sizes, np.int64)
+    return values, size, wordsets._classes(values, size)[0].view(np.int64)
+
+
+def marks(df: DataFrame, key: str, texts: list[str], url: str, simhash: str, batch: str) -> DataFrame:
+    """Columns id, h (the class; null without words), names (digests of page address and fingerprint) and batch of each record with a key and a batch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = wordsets._Hashes()
         for b in batches:
-            flat: list[int] = []
-            sizes, normal = [], []
-            if len(cache) > wordsets._CACHE_LIMIT:
-                cache.clear()
-            for values in zip(*[b.column(1 + i).to_pylist() for i in range(len(texts))]):
-                words = wordsets.word_list(*values)
-                once = set(words)
-                sizes.append(len(once))
-                flat.extend([cache[w] for w in once])
-                normal.append(" ".join(words).encode())
-            values, size = np.array(flat, np.uint64), np.array(sizes, np.int64)
-            h, _ = wordsets._classes(values, size)
+            _, size, h = _sets([b.column(1 + i).to_pylist() for i in range(len(texts))], cache, None)
             full = np.zeros(len(size), np.int64)
-            full[size > 0] = h.view(np.int64)
-            hashes, lengths, counts = distinct_chunks(*chunks(normal))
-            offsets, at = (np.concatenate([[0], np.cumsum(n)]).astype(np.int32) for n in (size, counts))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(full, mask=size == 0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64))), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64))),
-                 pa.ListArray.from_arrays(pa.array(at), pa.array(lengths.astype(np.int32))), b.column(1 + len(texts)), b.column(2 + len(texts))],
-                ["id", "h", "words", "chunks", "bytes", "names", "batch"])
+            full[size > 0] = h
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(full, mask=size == 0), b.column(1 + len(texts)), b.column(2 + len(texts))], ["id", "h", "names", "batch"])
 
-    rows = df.where(F.col(key).isNotNull() & F.col(batch).isNotNull())
     named = F.array_compact(F.array(*[F.unhex(F.md5(F.concat(F.lit(kind), v))) for kind, v in (("page ", page_address(F.col(url))), ("print ", fingerprint(F.col(simhash))))]))
-    return rows.select(F.col(key).cast("bigint"), *texts, named.alias("_names"), F.col(batch).cast("bigint").alias("_batch")).mapInArrow(work, _RECORD)
+    return _valid(df, key, batch).select(F.col(key).cast("bigint"), *texts, named.alias("_names"), F.col(batch).cast("bigint").alias("_batch")).mapInArrow(work, _MARKS)
+
+
+def contents(df: DataFrame, key: str, texts: list[str], batch: str) -> DataFrame:
+    """Columns h, words, chunks (distinct), bytes of each, and batch of each record with words."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = wordsets._Hashes()
+        for b in batches:
+            normal: list[bytes] = []
+            values, size, h = _sets([b.column(i).to_pylist() for i in range(len(texts))], cache, normal)
+            some = size > 0
+            hashes, lengths, counts = distinct_chunks(*chunks([t for t, x in zip(normal, some) if x]))
+            offsets, at = (np.concatenate([[0], np.cumsum(n)]).astype(np.int32) for n in (size[some], counts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64))), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(pa.array(at), pa.array(lengths.astype(np.int32))), b.column(len(texts)).filter(pa.array(some))],
+                ["h", "words", "chunks", "bytes", "batch"])
+
+    return _valid(df, key, batch).select(*texts, F.col(batch).cast("bigint").alias("_batch")).mapInArrow(work, _CONTENTS)
 
 
 class History:
     """A persistent history of accepted records in a shared folder, one bucketed table for each way of looking up.
 
-    classes (h, words, batch) by h: word sets and the first batch that had
-    them; chunks (chunk, h, batch) by chunk: the first class of each chunk;
-    entries by key: the exact index of wordsets; names (k, batch) by k: digests
+    classes (h, words, chunks, bytes, batch) by h: word sets, chunks of one
+    text and the first batch that had them; chunks (chunk, h, batch) by chunk:
+    the first class of each chunk; entries by key: the exact index of wordsets; names (k, batch) by k: digests
     of page addresses and fingerprints. Opening the folder again, also in another
     application, gives the same history. The costs of words are those at the
     last building of the index, which is built anew whenever the history has
     doubled since, so no list of the index outgrows its limit by more than the
     classes accepted since then.
 
-    take() accepts one batch or several at once, in the order of their
-    numbers; batches must not be smaller than those accepted before.
+    take() accepts one batch or several at once; their numbers must be greater
+    than those of all batches accepted before.
     """
 
-    _TABLES = {"classes": ("h bigint, words array<bigint>, batch bigint", "h"), "chunks": ("chunk bigint, h bigint, batch bigint", "chunk"), "entries": ("key bigint, h bigint, bits bigint, size int, batch bigint", "key"), "names": ("k binary, batch bigint", "k")}
+    _TABLES = {"classes": (_CONTENTS, "h"), "chunks": ("chunk bigint, h bigint, batch bigint", "chunk"), "entries": ("key bigint, h bigint, size int, batch bigint", "key"), "names": ("k binary, batch bigint", "k")}
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, longest: int = wordsets.LONGEST):
         self.spark, self.path, self.longest = spark, path.rstrip("/"), longest
-        self.id, self.fresh_tables = uuid.uuid4().hex[:12], 0
+        self.id = uuid.uuid4().hex[:12]
         held = spark.read.text(f"{self.path}/about").first() if exists(spark, f"{self.path}/about") else None
         about = json.loads(held[0]) if held else {}
         self.buckets = about.get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -180,11 +200,11 @@ class History:
     def _table(self, name: str) -> DataFrame:
         return self.spark.table(self._name(name))
 
-    def _append(self, df: DataFrame, name: str, mode: str = "append", path: str | None = None, by: str | None = None) -> DataFrame:
+    def _append(self, df: DataFrame, name: str, mode: str = "append") -> None:
         """Writes df, which is partitioned by the key into the table's buckets already, to the table."""
-        by = by or self._TABLES[name][1]
-        df.write.mode(mode).format("parquet").bucketBy(self.buckets, by).sortBy(by).option("path", path or f"{self.path}/{name}").saveAsTable(self._name(name))
-        return self._table(name)
+        by = self._TABLES[name][1]
+        df.write.mode(mode).format("parquet").bucketBy(self.buckets, by).sortBy(by).option("path", f"{self.path}/{name}").saveAsTable(self._name(name))
+        release(self.spark)
 
     def _bucketed(self, df: DataFrame, by: str) -> DataFrame:
         return df.repartition(self.buckets, by)
@@ -193,40 +213,45 @@ class History:
         """The rows of a table whose key is among the wanted distinct ones; the table is streamed, not exchanged."""
         return self._table(name).join(wanted.hint("shuffle_hash"), by)
 
-    def take(self, records: DataFrame, ask: bool = True) -> DataFrame:
-        """Accepts prepared records and gives column id: those whose text, page or fingerprint a smaller batch has. Written.
+    def take(self, marked: DataFrame, texts: DataFrame, ask: bool = True) -> DataFrame:
+        """Accepts records by their marks() and contents(), and gives column id: those whose text, page or fingerprint a smaller batch has. Written.
 
         With ask false nothing is looked up, and the result is empty.
         """
-        fresh = self._accept(records)
-        return self._seen(records, fresh) if ask else empty(self.spark, "id bigint")
-
-    def _accept(self, records: DataFrame) -> DataFrame:
-        """Appends the records and gives one row per class that the history lacked: h, words, chunks, bytes, batch. Written."""
-        texts = self._bucketed(records.where("h IS NOT NULL").select("h", "words", "chunks", "bytes", "batch"), "h")
-        own = texts.groupBy("h").agg(F.min_by(F.struct("words", "chunks", "bytes"), "batch").alias("_r"), F.min("batch").alias("batch")).select("h", "_r.*", "batch")
-        named = self._bucketed(self._names(records).groupBy("k").agg(F.min("batch").alias("batch")), "k")
+        least = marked.agg(F.min("batch")).first()[0]
+        if least is None:
+            return empty(self.spark, "id bigint")
+        fresh = self._accept(marked, texts, least)
+        return self._seen(marked, fresh, least) if ask else empty(self.spark, "id bigint")
+
+    def _accept(self, marked: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+        """Appends the records and gives the rows of classes that the history lacked."""
+        own = self._bucketed(texts, "h").groupBy("h").agg(F.min_by(F.struct("words", "chunks", "bytes"), "batch").alias("_r"), F.min("batch").alias("batch")).select("h", "_r.*", "batch")
+        named = self._bucketed(self._names(marked).groupBy("k").agg(F.min("batch").alias("batch")), "k")
         if self.built >= 0:
             own = own.join(self._table("classes").select("h").hint("merge"), "h", "left_anti")
             named = named.join(self._table("names").select("k").hint("merge"), "k", "left_anti")
-        # The new classes are bucketed as the table they go to, so that neither this nor later joins exchange their words again.
-        self.fresh_tables += 1
-        fresh = self._append(own, f"fresh{self.fresh_tables}", "overwrite", scratch(self.spark, "fresh"), "h")
+        self._append(own.select("h", "words", "chunks", "bytes", "batch"), "classes")
         self._append(named.select("k", "batch"), "names")
+        # A class is new if its first batch is.
+        fresh = self._table("classes").where(F.col("batch") >= least)
         owned = self._bucketed(fresh.select("h", "batch", F.explode("chunks").alias("chunk")), "chunk").groupBy("chunk").agg(F.min(F.struct("batch", "h")).alias("_o")).select("chunk", "_o.h", "_o.batch")
         if self.built >= 0:
             owned = owned.join(self._table("chunks").select("chunk").hint("merge"), "chunk", "left_anti")
         self._append(owned.select("chunk", "h", "batch"), "chunks")
-        self._append(fresh.select("h", "words", "batch"), "classes")
-        self.count += fresh.count()
+        self.count = self._table("classes").count()
         if self.count >= 2 * max(0, self.built):
             self._build()
         else:
-            self._append(self._bucketed(wordsets.cheap_entries(fresh, self.costs, ["batch"]), "key"), "entries")
+            self._append(self._indexed(fresh), "entries")
             self.poor = np.minimum(self.poor, wordsets.poorest(fresh, self.costs))
         text = json.dumps({"buckets": self.buckets, "count": self.count, "built": self.built, "poor": self.poor.tolist()})
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/about")
-        return fresh
+        return self._table("classes").where(F.col("batch") >= least)
+
+    def _indexed(self, classes: DataFrame) -> DataFrame:
+        """The entries of classes; no bitmaps, as no list is long."""
+        return self._bucketed(wordsets.cheap_entries(classes, self.costs, ["batch"]).select("key", "h", "size", "batch"), "key")
 
     def _build(self) -> None:
         """The index of all accepted classes anew, in the order of their words' costs."""
@@ -236,22 +261,25 @@ class History:
         parts = [(i, self.costs.levels[i * size : (i + 1) * size].tobytes()) for i in range(-(-len(self.costs.levels) // size))]
         self.spark.createDataFrame(parts, "part int, levels binary").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/costs")
         self.poor = wordsets.poorest(classes, self.costs)
-        self._append(self._bucketed(wordsets.cheap_entries(classes, self.costs, ["batch"]), "key"), "entries", "overwrite")
+        self._append(self._indexed(classes), "entries", "overwrite")
 
-    def _seen(self, records: DataFrame, fresh: DataFrame) -> DataFrame:
+    def _seen(self, marked: DataFrame, fresh: DataFrame, least: int) -> DataFrame:
         """Column id: the records that a smaller batch has, once all of them are accepted."""
         near = written(self.by_chunks(fresh), "settled")
-        near = near.union(self.by_index(fresh, near))
+        release(self.spark)
+        near = near.union(self.by_index(fresh, near, least))
         # A record whose class is open is the first of its text: classes that are not fresh, and later batches of fresh ones, are copies.
         open_ = fresh.select("h", "batch").join(near, "h", "left_anti")
-        found = records.where("h IS NOT NULL").select("id", "h", "batch").join(open_, ["h", "batch"], "left_anti").select("id")
-        named = self._names(records)
+        found = marked.where("h IS NOT NULL").select("id", "h", "batch").join(open_, ["h", "batch"], "left_anti").select("id")
+        named = self._names(marked)
         hits = self._held("names", "k", named.select("k").distinct()).select("k", F.col("batch").alias("_first"))
-        return written(found.union(named.join(hits, "k").where("_first < batch").select("id")).distinct(), "seen")
+        out = written(found.union(named.join(hits, "k").where("_first < batch").select("id")).distinct(), "seen")
+        release(self.spark)
+        return out
 
     @staticmethod
-    def _names(records: DataFrame) -> DataFrame:
-        return records.select("id", "batch", F.explode("names").alias("k"))
+    def _names(marked: DataFrame) -> DataFrame:
+        return marked.select("id", "batch", F.explode("names").alias("k"))
 
     def by_chunks(self, fresh: DataFrame, coverage: float = COVERAGE) -> DataFrame:
         """Column h: the classes of fresh that one class of a smaller batch covers by its chunks, confirmed on the word sets."""
@@ -261,15 +289,13 @@ class History:
         covered = shared.groupBy("h_a", F.col("h").alias("h_b")).agg(F.sum("_n").alias("_s"), F.first("_all").alias("_all")).where(F.col("_s") >= coverage * F.col("_all"))
         return self._confirmed(covered.select("h_a", "h_b"), fresh)
 
-    def by_index(self, fresh: DataFrame, settled: DataFrame) -> DataFrame:
+    def by_index(self, fresh: DataFrame, settled: DataFrame, least: int) -> DataFrame:
         """Column h: the classes of fresh, but for the settled ones, that the exact index finds similar to a class of a smaller batch."""
-        first = fresh.agg(F.min("batch")).first()[0]
-        if first is None:
-            return empty(self.spark, "h bigint")
         # Both sides are the bucketed table: nothing is exchanged.
         entries = self._table("entries")
-        a, b = entries.alias("a"), entries.where(F.col("batch") >= first).hint("shuffle_hash").alias("b")
-        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.batch") < F.col("b.batch")) & wordsets.fits(F.col("a.size"), F.col("b.size"), F.col("a.bits"), F.col("b.bits")))
+        a, b = entries.alias("a"), entries.where(F.col("batch") >= least).hint("shuffle_hash").alias("b")
+        fits = wordsets.DENOMINATOR * F.least("a.size", "b.size") >= wordsets.NUMERATOR * F.greatest("a.size", "b.size")
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.batch") < F.col("b.batch")) & fits)
         candidates = met.select(F.col("b.h").alias("h_a"), F.col("a.h").alias("h_b"))
         poor = wordsets.poorest(fresh, self.costs)
         if wordsets.can_be_dear(poor, self.poor):
@@ -290,7 +316,7 @@ class History:
 
     def close(self) -> None:
         """Takes the tables' names out of the session's catalogue; the files stay."""
-        for name in [*self._TABLES, *[f"fresh{i + 1}" for i in range(self.fresh_tables)]]:
+        for name in self._TABLES:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._name(name)}")
 
 
@@ -305,10 +331,10 @@ def seen_before(df: DataFrame, key: str, texts: list[str], url: str, simhash: st
     words match nothing in that respect. No rows give no rows.
     """
     spark = df.sparkSession
-    where = scratch(spark, "records")
-    prepared(df, key, texts, url, simhash, batch).write.partitionBy("batch").parquet(where)
-    records = spark.read.schema(_RECORD).parquet(where)
-    counts = records.groupBy("batch").count().orderBy("batch").collect()
+    where = scratch(spark, "marks")
+    marks(df, key, texts, url, simhash, batch).write.partitionBy("batch").parquet(where)
+    marked = spark.read.schema(_MARKS).parquet(where)
+    counts = marked.groupBy("batch").count().orderBy("batch").collect()
     store = History(spark, scratch(spark, "history"), buckets or spread(spark, sum(r["count"] for r in counts), RECORD_BYTES), longest)
     found, accepted, early = empty(spark, "id bigint"), 0, sum(r["batch"] < 1 for r in counts) > 1
     while counts:
@@ -316,12 +342,13 @@ def seen_before(df: DataFrame, key: str, texts: list[str], url: str, simhash: st
         while accepted and take < len(counts) and sum(r["count"] for r in counts[: take + 1]) <= accepted:
             take += 1
         group, counts = counts[:take], counts[take:]
-        rows = records.where(F.col("batch").between(group[0]["batch"], group[-1]["batch"]))
         if accepted or counts:
-            found = found.union(store.take(rows, ask=accepted > 0))
+            within = (group[0]["batch"], group[-1]["batch"])
+            own = contents(df.where(F.col(batch).between(*within)), key, texts, batch)
+            found = found.union(store.take(marked.where(F.col("batch").between(*within)), own, ask=accepted > 0))
         accepted += sum(r["count"] for r in group)
     if early:
-        found = found.join(records.where("batch >= 1").select("id"), "id", "left_semi")
+        found = found.join(marked.where("batch >= 1").select("id"), "id", "left_semi")
     found = written(found.distinct(), "found")
     store.close()
     for path in (store.path, where):

@@ -153,8 +153,8 @@ def test_persistent_history_takes_batches_one_by_one(spark) -> None:
         # Opened again for each batch.
         store = history.History(spark, path, 3)
         df = spark.createDataFrame([(*r, n) for r in rows if batch[r[0]] == n], "id bigint, title string, lede string, url string, simhash string, batch int")
-        records = history.prepared(df, "id", ["title", "lede"], "url", "simhash", "batch")
-        found |= {r.id for r in store.take(records).collect()}
+        marked = history.marks(df, "id", ["title", "lede"], "url", "simhash", "batch")
+        found |= {r.id for r in store.take(marked, history.contents(df, "id", ["title", "lede"], "batch")).collect()}
         store.close()
     assert found == expected
     again = history.History(spark, path)
