@@ -178,7 +178,7 @@ class History:
     than those of all batches accepted before.
     """
 
-    _TABLES = {"classes": (_CONTENTS, "h"), "chunks": ("chunk bigint, h bigint, batch bigint", "chunk"), "entries": ("key bigint, h bigint, size int, batch bigint", "key"), "names": ("k binary, batch bigint", "k")}
+    _TABLES = {"classes": (_CONTENTS, "h"), "chunks": ("chunk bigint, h bigint, batch bigint", "chunk"), "entries": ("key bigint, h bigint, bits bigint, size int, place int, batch bigint", "key"), "names": ("k binary, batch bigint", "k")}
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, longest: int = wordsets.LONGEST):
         self.spark, self.path, self.longest = spark, path.rstrip("/"), longest
@@ -250,8 +250,8 @@ class History:
         return self._table("classes").where(F.col("batch") >= least)
 
     def _indexed(self, classes: DataFrame) -> DataFrame:
-        """The entries of classes; no bitmaps, as no list is long."""
-        return self._bucketed(wordsets.cheap_entries(classes, self.costs, ["batch"]).select("key", "h", "size", "batch"), "key")
+        """The entries of classes, in the index's buckets."""
+        return self._bucketed(wordsets.cheap_entries(classes, self.costs, ["batch"]), "key")
 
     def _build(self) -> None:
         """The index of all accepted classes anew, in the order of their words' costs."""
@@ -294,8 +294,7 @@ class History:
         # Both sides are the bucketed table: nothing is exchanged.
         entries = self._table("entries")
         a, b = entries.alias("a"), entries.where(F.col("batch") >= least).hint("shuffle_hash").alias("b")
-        fits = wordsets.DENOMINATOR * F.least("a.size", "b.size") >= wordsets.NUMERATOR * F.greatest("a.size", "b.size")
-        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.batch") < F.col("b.batch")) & fits)
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.batch") < F.col("b.batch")) & wordsets.fits("a", "b") & wordsets.first_shared("a", "b"))
         candidates = met.select(F.col("b.h").alias("h_a"), F.col("a.h").alias("h_b"))
         poor = wordsets.poorest(fresh, self.costs)
         if wordsets.can_be_dear(poor, self.poor):

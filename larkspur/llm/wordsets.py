@@ -6,7 +6,8 @@ ordered by it. Words up to LONGEST form the cheap part of the universe: each is
 a segment of its own. Sets of sizes a and b with a similarity of 13/20 or more
 share at least 13(a+b)/33 words; if they share a cheap word, their first shared
 word in the order of cost is cheap and stands among the first a - 13a/20 + 1 of
-either, which are indexed. No list of the cheap part is longer than LONGEST, at
+either, which are indexed with their places: a pair counts where enough words
+come behind the meeting point in both. No list of the cheap part is longer than LONGEST, at
 any number of records.
 
 If they share no cheap word, all of them differ, which leaves the dear part
@@ -55,7 +56,7 @@ BLOCK = 4096
 SLOTS_PER_RECORD, LEAST_SLOTS, MOST_SLOTS = 8, 1 << 16, 1 << 26
 _SLICE = 1 << 12
 #: Bytes of a class with its words, of an entry of the index and of a candidate, about.
-CLASS_BYTES, ENTRY_BYTES = 480, 28
+CLASS_BYTES, ENTRY_BYTES = 480, 30
 _WORD = re.compile(r"[^\W_]+")
 _CACHE_LIMIT = 300_000
 BANDS = 160
@@ -254,7 +255,7 @@ def _segments(band: np.ndarray) -> np.ndarray:
 
 # ---- The cheap part -------------------------------------------------------------------------------------------------
 
-ENTRY = T.StructType([T.StructField("key", T.LongType()), T.StructField("h", T.LongType()), T.StructField("bits", T.LongType()), T.StructField("size", T.IntegerType())])
+ENTRY = T.StructType([T.StructField("key", T.LongType()), T.StructField("h", T.LongType()), T.StructField("bits", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("place", T.IntegerType())])
 
 
 def _ordered(flat: np.ndarray, sizes: np.ndarray, costs: Costs) -> tuple[np.ndarray, ...]:
@@ -267,15 +268,15 @@ def _ordered(flat: np.ndarray, sizes: np.ndarray, costs: Costs) -> tuple[np.ndar
 
 
 def _cheap(flat: np.ndarray, sizes: np.ndarray, costs: Costs) -> tuple[np.ndarray, ...]:
-    """Keys, rows and sizes of the entries of the cheap part."""
+    """Keys, rows, sizes and places in the order of the entries of the cheap part."""
     row, word, level, place = _ordered(flat, sizes, costs)
     size = sizes[row]
     used = ~costs.is_dear(level) & (place <= size - _ceil(NUMERATOR * size, DENOMINATOR))
-    return word[used], row[used], size[used]
+    return word[used], row[used], size[used], place[used]
 
 
 def _entries(classes: DataFrame, costs: Costs, emit: Callable[..., tuple[np.ndarray, ...]], more: list[str] | None = None) -> DataFrame:
-    """Rows of ENTRY from keys, rows and sizes that emit makes of the classes (h, words), with more columns (bigint) of the classes."""
+    """Rows of ENTRY from keys, rows, sizes and places that emit makes of the classes (h, words), with more columns (bigint) of the classes."""
     more = more or []
     sent = classes.sparkSession.sparkContext.broadcast(costs)
 
@@ -287,8 +288,8 @@ def _entries(classes: DataFrame, costs: Costs, emit: Callable[..., tuple[np.ndar
             h = batch.column(0).to_numpy(zero_copy_only=False)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
             bits = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(63)), starts).view(np.int64)
-            keys, rows, size = emit(flat, sizes, sent.value)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h[rows]), pa.array(bits[rows]), pa.array(size.astype(np.int32)), *[batch.column(2 + i).take(pa.array(rows)) for i in range(len(more))]], [*ENTRY.names, *more])
+            keys, rows, size, place = emit(flat, sizes, sent.value)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h[rows]), pa.array(bits[rows]), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32)), *[batch.column(2 + i).take(pa.array(rows)) for i in range(len(more))]], [*ENTRY.names, *more])
 
     schema = T.StructType([*ENTRY.fields, *[T.StructField(c, T.LongType()) for c in more]])
     return classes.select("h", "words", *more).where(F.size("words") > 0).mapInArrow(work, schema)
@@ -299,11 +300,21 @@ def cheap_entries(classes: DataFrame, costs: Costs, more: list[str] | None = Non
     return _entries(classes, costs, _cheap, more)
 
 
-def fits(a: Column, b: Column, bits_a: Column, bits_b: Column) -> Column:
-    """Whether sizes and bitmaps leave the similarity possible."""
-    both = a + b
-    shared = F.floor((NUMERATOR * both + NUMERATOR + DENOMINATOR - 1) / (NUMERATOR + DENOMINATOR)).cast("int")
-    return (DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)) & (F.bit_count(bits_a.bitwiseXOR(bits_b)) <= both - 2 * shared)
+def _shared(a: Column, b: Column) -> Column:
+    """The fewest words that sets of these sizes must share."""
+    return F.floor((NUMERATOR * (a + b) + NUMERATOR + DENOMINATOR - 1) / (NUMERATOR + DENOMINATOR)).cast("int")
+
+
+def fits(a: str, b: str) -> Column:
+    """Whether sizes and bitmaps of two entries leave the similarity possible."""
+    n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
+    return (DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)) & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= n + m - 2 * _shared(n, m))
+
+
+def first_shared(a: str, b: str) -> Column:
+    """Whether two entries that meet in the cheap part could be similar if this were their first shared word: as many words must come behind it in both."""
+    n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
+    return F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) >= _shared(n, m)
 
 
 # ---- The dear part --------------------------------------------------------------------------------------------------
@@ -383,7 +394,7 @@ def _small(flat: np.ndarray, sizes: np.ndarray, costs: Costs, partners: np.ndarr
     _, slot, mixed, sums, owner, salt = _subsets(flat, row, dear, rows, band[rows])
     keys = np.concatenate([_mix(sums ^ salt ^ _AS_IS), _mix((sums[slot] - mixed) ^ salt[slot] ^ _DELETED)])
     of = rows[np.concatenate([owner, owner[slot]])]
-    return keys, of, sizes[of]
+    return keys, of, sizes[of], np.zeros(len(of), np.int64)
 
 
 def _large(flat: np.ndarray, sizes: np.ndarray, costs: Costs, partners: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -417,7 +428,7 @@ def _large(flat: np.ndarray, sizes: np.ndarray, costs: Costs, partners: np.ndarr
         out.append((_mix((sums[slot] - mixed)[deleted] ^ salt[slot][deleted] ^ _AS_IS), rows[owner[slot[deleted]]]))
     keys = np.concatenate([o[0] for o in out]) if out else np.zeros(0, np.uint64)
     of = np.concatenate([o[1] for o in out]) if out else np.zeros(0, np.int64)
-    return keys, of, sizes[of]
+    return keys, of, sizes[of], np.zeros(len(of), np.int64)
 
 
 def _split(small: DataFrame, large: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -442,7 +453,7 @@ def dear_candidates(small: DataFrame, large: DataFrame, costs: Costs, poor_small
     a, b = _split(indexed, looked, block)
     a, b = a.alias("a"), b.alias("b")
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a._x") == F.col("b._x")) & (F.col("a._y") == F.col("b._y"))
-    near = (F.col("a.h") != F.col("b.h")) & (F.col("a.size") <= F.col("b.size")) & fits(F.col("a.size"), F.col("b.size"), F.col("a.bits"), F.col("b.bits"))
+    near = (F.col("a.h") != F.col("b.h")) & (F.col("a.size") <= F.col("b.size")) & fits("a", "b")
     return a.join(b, same & near).select(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b")).distinct()
 
 
@@ -456,7 +467,7 @@ def pairs_of_classes(classes: DataFrame, longest: int = LONGEST, block: int = BL
     # The exchange serves both sides: tests of one side alone would be pushed below it.
     entries = cheap_entries(classes, cost).repartition(spread(classes.sparkSession, cost.records, 16 * ENTRY_BYTES), "key")
     a, b = entries.alias("a"), entries.alias("b")
-    met = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h")) & fits(F.col("a.size"), F.col("b.size"), F.col("a.bits"), F.col("b.bits")))
+    met = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h")) & fits("a", "b") & first_shared("a", "b"))
     candidates = met.select(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b"))
     if can_be_dear(poor, poor):
         dear = dear_candidates(classes, classes, cost, poor, poor, block)
