@@ -16,6 +16,7 @@ from larkspur.sources.sinks import read_shard, write_sharded
 # Minutes of each window.
 SINCE = {"24h": 1440, "7d": 10080, "30d": 43200}
 K1, B = 1.2, 0.75
+SHARDS = 32
 
 
 @dataclass
@@ -27,11 +28,21 @@ class Index:
     stats: DataFrame
 
     def save(self, path: str) -> None:
-        """Writes the tables; postings by shard of their term, so that a search reads only its terms' shards."""
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        """Writes the tables; postings by shard of their term and articles by shard of their id, so that a look-up reads only its shards."""
+        self.docs.withColumn("shard", F.pmod("id", F.lit(SHARDS)).cast("int")).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/docs")
         write_sharded(self.postings, f"{path}/postings", "term", ["term", "id"])
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
+    def meta(self) -> DataFrame:
+        """Columns id, length_norm (.25 + .75 length / mean length) and source_rank (trust) of each article."""
+        norm = (1 - B) + B * F.greatest(F.lit(1), F.col("length")) / F.col("avg_length")
+        # One row of statistics.
+        return self.docs.crossJoin(F.broadcast(self.stats)).select("id", norm.alias("length_norm"), F.col("trust").alias("source_rank"))
+
+    def recency(self, as_of: str) -> DataFrame:
+        """Columns id and minutes since the article; null without a time."""
+        return self.docs.select("id", minutes(F.col("at"), as_of).alias("minutes"))
+
     def facets(self, as_of: str) -> DataFrame:
         """Columns facet, value, n: articles by source, by language and in the last day, week and month."""
         age = minutes(F.col("at"), as_of)
@@ -68,7 +79,13 @@ def build_index(articles: DataFrame, trust: DataFrame | None = None, default_tru
 def open_index(spark: SparkSession, path: str, query: str | None = None) -> Index:
     """A saved index; with a query only the shards of its terms."""
     postings = spark.read.parquet(f"{path}/postings").drop("shard") if query is None else read_shard(spark, f"{path}/postings", query_terms(query), "term")
-    return Index(spark.read.parquet(f"{path}/docs"), postings, spark.read.parquet(f"{path}/stats"))
+    return Index(spark.read.parquet(f"{path}/docs").drop("shard"), postings, spark.read.parquet(f"{path}/stats"))
+
+
+def hydrated(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """The articles of a saved index with these ids; only their shards are read."""
+    wanted = sorted({i % SHARDS for i in ids})
+    return spark.read.parquet(f"{path}/docs").where(F.col("shard").isin(wanted) & F.col("id").isin(ids)).drop("shard")
 
 
 def query_terms(query: str) -> list[str]:

@@ -21,7 +21,8 @@ def pattern_triples(sentences: DataFrame, sentence: str, patterns: list[tuple[st
     for relation, regex, confidence in patterns:
         hit = F.struct(tx.entity_key(F.regexp_extract(text, regex, 1)).alias("subject"), F.lit(relation).alias("relation"), tx.entity_key(F.regexp_extract(text, regex, 2)).alias("object"), F.lit(confidence).alias("confidence"))
         found = F.when(text.rlike(regex), hit) if found is None else found.when(text.rlike(regex), hit)
-    return sentences.withColumn("_t", found).where("_t IS NOT NULL AND _t.subject <> '' AND _t.object <> ''").select("*", "_t.*").drop("_t")
+    # The generator keeps the expression in one place: it is evaluated once a sentence, whatever reads its fields.
+    return sentences.withColumn("_t", F.explode(F.array_compact(F.array(found)))).where("_t.subject <> '' AND _t.object <> ''").select("*", "_t.*").drop("_t")
 
 
 def merged(triples: DataFrame) -> DataFrame:

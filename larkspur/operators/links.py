@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,6 +48,20 @@ def reachable(edges: DataFrame, src: str, dst: str, seeds: DataFrame, depth: int
     return found
 
 
+def crawled(edges: DataFrame, src: str, dst: str, seeds: list[str], depth: int, host: Callable[[Column], Column], limit: int, across: bool = False) -> DataFrame:
+    """Columns node, depth, place: the pages a crawl takes in order of depth and address, at most so many.
+
+    Links to another host than that of a seed are followed only if across;
+    the limit is the crawl's own bound.
+    """
+    spark = edges.sparkSession
+    roots = spark.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "node string")
+    # A crawl has few seeds.
+    kept = edges if across else edges.join(F.broadcast(roots.select(host(F.col("node")).alias("_h")).distinct()), host(F.col(dst)) == F.col("_h"), "left_semi")
+    found = reachable(kept, src, dst, roots, depth).orderBy("depth", "node").limit(limit)
+    return found.withColumn("place", F.row_number().over(Window.orderBy("depth", "node")))
+
+
 def revisions(pages: DataFrame, page: str, moment: str, tie: str, digest: Column, items: Column) -> DataFrame:
     """Each version whose content differs from the one before: page, revision (from 1), tie, added, removed.
 

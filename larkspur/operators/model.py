@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,3 +43,27 @@ def train(samples: DataFrame, features: list[str], label: str, iterations: int =
         return weights, bias
     finally:
         rows.unpersist()
+
+
+def version(weights: dict[str, float], bias: float) -> str:
+    """A digest of the model's numbers."""
+    return hashlib.sha256(json.dumps({"bias": bias, "weights": weights}, sort_keys=True).encode()).hexdigest()
+
+
+def save(spark: SparkSession, path: str, weights: dict[str, float], bias: float) -> str:
+    """Writes the model as JSON with its version, which is returned."""
+    name = version(weights, bias)
+    text = json.dumps({"bias": bias, "weights": weights, "version": name}, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return name
+
+
+def load(spark: SparkSession, path: str, default: tuple[dict[str, float], float] | None = None) -> tuple[dict[str, float], float]:
+    """The model of a folder; the default, if there is one, where the folder holds none."""
+    try:
+        held = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    except Exception as e:
+        if default is None or "PATH_NOT_FOUND" not in str(e):
+            raise
+        return default
+    return {f: float(w) for f, w in held["weights"].items()}, float(held["bias"])

@@ -9,10 +9,12 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.functions.text import squeezed
+
 ARTICLE = "id bigint, ts bigint, title string, lede string, url string, source string, lang string, entities array<string>, simhash string"
 REQUIRED = ["id", "ts", "title", "lede", "url", "source", "lang"]
 
@@ -166,3 +168,58 @@ def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
         return pd.Series([pdf_text(None if c is None else bytes(c)) for c in content])
 
     return spark.read.format("binaryFile").load(path).select("path", text("content").alias("text"))
+
+
+def fallback_paragraphs(page: Column) -> Column:
+    """The texts between <p> and </p> of a page, without marks and squeezed, the empty ones left out; for pages of which the parser finds no paragraphs."""
+    inner = F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), 1)
+    plain = F.transform(inner, lambda x: squeezed(F.regexp_replace(x, r"(?s)<[^>]*>", " ")))
+    for mark, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&amp;", "&")):
+        plain = _replaced(plain, mark, sign)
+    return F.filter(F.transform(plain, squeezed), lambda x: x != "")
+
+
+def _replaced(texts: Column, mark: str, sign: str) -> Column:
+    return F.transform(texts, lambda x: F.replace(x, F.lit(mark), F.lit(sign)))
+
+
+def read_news(spark: SparkSession, path: str) -> DataFrame:
+    """News items of a JSON list: title, url, source, summary, published_at; items without title, address or date are left out."""
+    items = read_json(spark, path, "title string, url string, source string, summary string, published_at string")
+    return items.where("trim(title) <> '' AND trim(url) <> '' AND trim(published_at) <> ''")
+
+
+_COMPANY = "symbol string, name string, sector string, price double, `change` double, change_percent double, market_cap string, summary string, news array<struct<title: string, url: string, source: string, summary: string, published_at: string>>"
+
+
+def read_market(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Companies by upper-cased symbol, the last of one symbol counting, and their news, one row an item with the symbol."""
+    held = read_json(spark, path, f"companies array<struct<{', '.join(c.strip().replace(' ', ': ', 1) for c in _COMPANY.split(', news ')[0].split(', '))}, news: {_COMPANY.split(', news ')[1]}>>")
+    each = held.select(F.posexplode("companies").alias("_at", "_c")).select("_at", "_c.*").where("trim(symbol) <> ''").withColumn("symbol", F.upper(F.trim("symbol")))
+    last = each.groupBy("symbol").agg(F.max(F.struct("_at", *[c for c in each.columns if c not in ("_at", "symbol")])).alias("_r")).select("symbol", "_r.*").drop("_at")
+    return last.drop("news"), last.select("symbol", F.explode("news").alias("_n")).select("symbol", "_n.*")
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """Column word: the distinct words of a file with one a line, lower-cased; blank lines are left out."""
+    return spark.read.text(path).select(F.lower(F.trim("value")).alias("word")).where("word <> ''").distinct()
+
+
+_GRAPH = "triples array<struct<subject: string, relation: string, object: string>>, synonyms array<struct<entity: string, synonyms: array<string>>>, sources array<struct<url: string, title: string, characters: bigint, paragraphs: bigint, preview: string, content: string, links: array<string>, fetched_at: string, verified_at: string, status: string>>"
+
+
+def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a graph's snapshot: triples, synonyms and sources, of which only the listed fields are kept."""
+    held = read_json(spark, path, _GRAPH)
+    return {name: held.select(F.explode(name).alias("_x")).select("_x.*") for name in ("triples", "synonyms", "sources")}
+
+
+_ENTRY = "url string, normalized_url string, canonical_url string, title string, summary string, preview string, language string, published_at string, fetched_at string, character_count bigint, paragraph_count bigint, revision bigint, topics array<string>, quality_score double, ingest boolean, content_type string, category string, content_digest string, links array<string>"
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a crawler's history, those of an older form with the fields of the present one; entries without an address are left out."""
+    entries = read_json(spark, path, _ENTRY).where("trim(url) <> ''")
+    none = F.array().cast("array<string>")
+    defaults = {"normalized_url": F.col("url"), "canonical_url": F.lit(""), "revision": F.lit(1).cast("bigint"), "topics": none, "links": none, "ingest": F.lit(True), "content_type": F.lit("article"), "category": F.lit("global"), "character_count": F.length(F.coalesce("preview", F.lit(""))).cast("bigint"), "paragraph_count": F.lit(0).cast("bigint")}
+    return entries.withColumns({c: F.coalesce(F.col(c), value) for c, value in defaults.items()})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.sketch import shard
@@ -60,6 +60,17 @@ def export_csv(df: DataFrame, path: str, separator: str = ";") -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
+def export_text(df: DataFrame, path: str, line: Column) -> None:
+    """One line of text a row."""
+    df.select(line.cast("string").alias("value")).where("value IS NOT NULL").write.mode("overwrite").text(path)
+
+
+def chosen(df: DataFrame, include: list[str]) -> DataFrame:
+    """The columns asked for that there are; all columns if none of them is."""
+    known = [c for c in dict.fromkeys(include) if c in df.columns]
+    return df.select(*known) if known else df
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Appends rows as JSON lines."""
     df.write.mode("append").json(path)

@@ -47,3 +47,12 @@ def test_search(spark, tmp_path) -> None:
 def test_empty_index(spark) -> None:
     empty = api.build_index(frame(spark).limit(0))
     assert api.search(empty, "merger", NOW).count() == 0 and empty.facets(NOW).count() == 0
+
+
+def test_saved_documents_are_found_by_their_shard(spark, tmp_path) -> None:
+    built = api.build_index(frame(spark))
+    built.save(str(tmp_path / "i"))
+    assert sorted(r.id for r in api.hydrated(spark, str(tmp_path / "i"), [1, 3, 99]).collect()) == [1, 3] and api.hydrated(spark, str(tmp_path / "i"), []).count() == 0
+    norms = {r.id: r.length_norm for r in built.meta().collect()}
+    assert len(norms) == 5 and norms[5] < norms[1]
+    assert {r.id: r.minutes for r in built.recency(NOW).collect()}[1] == 1440
