@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
 from larkspur.functions import urls
-from larkspur.operators import crawl, graph, reports
+from larkspur.operators import crawl, graph, news, reports
 from larkspur.plans.graph_queries import DOM, ROLES, TRIPLES, _triples
 from larkspur.plans.market_queries import returns_volatility
 from larkspur.plans.registry import Registry
@@ -158,3 +158,34 @@ def digest_registry(spark: SparkSession, folder: str) -> DataFrame:
     """The document that first had each content."""
     docs = table(spark, folder, "documents").select("doc_id", F.when(F.trim(tx.text_of(F.col("text"))) != "", F.md5("text")).alias("digest"), F.coalesce("published_at", F.lit("1900-01-01 00:00:00").cast("timestamp_ntz")).alias("at"))
     return crawl.registered_digests(docs, "doc_id", "digest", "at")
+
+
+NEWS = f"""WITH a AS (SELECT id, coalesce(title, '') || ' ' || coalesce(lede, '') AS text, source, entities, received_at, {DOM} AS domain, lede, trust FROM raw_articles r LEFT JOIN (SELECT lower(name) AS s, max(trust_score) AS trust FROM news_sources GROUP BY 1) t ON t.s = lower(trim(r.source))),
+w AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM a),
+q AS (SELECT * FROM (VALUES ('supply', 1.0), ('supplies', 0.88), ('supplys', 0.8), ('merger', 1.0), ('merg', 0.75), ('mergers', 0.8)) v(t, wt)),
+st AS (SELECT count(*)::DOUBLE AS nd, avg(len(ws)) AS av FROM w WHERE len(ws) > 0), tf AS (SELECT id, len(ws) AS n, t, wt, len(list_filter(ws, lambda x: x = t))::DOUBLE AS f FROM w, q),
+df AS (SELECT t, count(*)::DOUBLE AS d FROM tf WHERE f > 0 GROUP BY t),
+bm AS (SELECT id, round(sum(wt * ln(1 + greatest((nd - d + 0.5) / (d + 0.5), 1e-6)) * f * 2.5 / greatest(f + 1.5 * (0.25 + 0.75 * n / av), 1e-6)), 6) AS b FROM tf JOIN df USING (t), st WHERE f > 0 GROUP BY id),
+e AS (SELECT id, sum(CASE WHEN list_has_any(x, ['supply', 'supplies', 'supplys', 'merger', 'merg', 'mergers']) THEN 2.8 WHEN len(list_filter(x, lambda y: levenshtein(y, 'supply') IN (1, 2) OR levenshtein(y, 'merger') IN (1, 2))) > 0 THEN 1.5 ELSE 0 END) AS e
+  FROM (SELECT id, list_filter(regexp_split_to_array(lower(coalesce(x, '')), '[^\p{{L}}\p{{N}}]+'), lambda y: y <> '') AS x FROM (SELECT id, unnest(entities) AS x FROM a)) GROUP BY id),
+m AS (SELECT w.*, 14 * coalesce(b, 0) + CASE WHEN contains(lower(text), 'supply deal') THEN 6.0 ELSE 0 END + CASE WHEN contains(' ' || array_to_string(ws, ' ') || ' ', ' supply merger ') THEN 4.4 * 0.72 ELSE 0 END + coalesce(e, 0)
+  + CASE WHEN list_has_any(list_filter(regexp_split_to_array(lower(coalesce(source, '')), '[^\p{{L}}\p{{N}}]+'), lambda y: y <> ''), ['supply', 'supplies', 'supplys', 'merger', 'merg', 'mergers']) THEN 3.4 ELSE 0 END
+  + CASE WHEN len(list_filter(ws, lambda x: NOT list_contains(['supply', 'supplies', 'supplys', 'merger', 'merg', 'mergers'], x) AND levenshtein(x, 'supply') IN (1, 2))) > 0 THEN 1.2 ELSE 0 END
+  + CASE WHEN len(list_filter(ws, lambda x: NOT list_contains(['supply', 'supplies', 'supplys', 'merger', 'merg', 'mergers'], x) AND levenshtein(x, 'merger') IN (1, 2))) > 0 THEN 1.2 ELSE 0 END AS m, greatest(0, date_diff('second', date_trunc('second', received_at), TIMESTAMP '2025-04-09 00:00:00')) / 3600.0 AS h FROM w LEFT JOIN bm USING (id) LEFT JOIN e USING (id) WHERE len(ws) > 0)
+SELECT id, round(m, 6)::DOUBLE AS match, round(coalesce(trust * 100, 50) + m + CASE WHEN received_at IS NULL THEN 0 WHEN h <= 4 THEN 12 WHEN h <= 12 THEN 8 WHEN h <= 24 THEN 5 WHEN h <= 72 THEN 3 WHEN h <= 168 THEN 1.5 ELSE 0 END + CASE WHEN trim(coalesce(lede, ''), ' ') <> '' THEN 12 ELSE 4 END, 6)::DOUBLE AS weight
+FROM m WHERE m > 0 ORDER BY weight DESC, id LIMIT 40"""
+
+
+@R.add(NEWS)
+def news_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The forty best articles for a query with a phrase, by BM25, all signals of a match, quality, recency and kind."""
+    trust = table(spark, folder, "news_sources").groupBy(F.lower("name").alias("_s")).agg(F.max("trust_score").alias("_t"))
+    # The table of sources is fixed by the data model.
+    articles = table(spark, folder, "raw_articles").join(F.broadcast(trust), F.lower(F.trim("source")) == F.col("_s"), "left")
+    docs = articles.select(
+        "id", F.concat(tx.text_of(F.col("title")), F.lit(" "), tx.text_of(F.col("lede"))).alias("text"), F.array(tx.text_of(F.col("source"))).alias("topics"), "entities", F.coalesce(F.col("_t") * 100, F.lit(50.0)).alias("quality"),
+        F.col("received_at").alias("fetched_at"), F.when(F.trim(tx.text_of(F.col("lede"))) != "", "article").otherwise("page").alias("content_type"), F.lit(True).alias("ingest"), urls.domain(F.col("url")).alias("domain"),
+    )
+    asked = news.profile("supply merger")
+    asked.phrases["supply deal"] = 1.0
+    return news.search(docs, "id", asked, AS_OF, 40)

@@ -147,3 +147,26 @@ def test_sinks(spark) -> None:
     sinks.export_text(df, path, F.concat(F.lit("line "), "t"))
     assert [r.value for r in spark.read.text(path).collect()] == ["line a"]
     assert sinks.chosen(df, ["t", "x", "t"]).columns == ["t"] and sinks.chosen(df, ["x"]).columns == ["n", "t"]
+
+
+def test_news_search(spark) -> None:
+    from larkspur.operators import news
+
+    asked = news.profile('"rate cut" banks', {"banks": ["credit houses", "lenders"]})
+    assert asked.terms == ["rate", "cut", "banks"] and asked.phrases == {"rate cut": 1.0, "credit houses": 0.85}
+    assert asked.weights["lenders"] == 0.85 and asked.weights["credit"] == 0.7 and asked.weights["bank"] == 0.82 and asked.bigrams == ["rate cut", "cut banks"]
+    rows = [
+        (1, "The rate cut helps banks", ["Banks"], ["Central Bank"], 80.0, "2025-01-01 00:00:00", "article", True, "a.example"), (2, "Nothing of it", None, None, 95.0, None, "page", False, "b.example"),
+        (3, None, None, None, None, None, None, None, None), (4, "A bankz paragraph", [], [None, "Banka"], 40.0, "2024-01-01 00:00:00", "error", True, "a.example"),
+    ]
+    docs = spark.createDataFrame(rows, "id bigint, text string, topics array<string>, entities array<string>, quality double, fetched_at string, content_type string, ingest boolean, domain string").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    now = "2025-01-01 02:00:00"
+    found = {r.id: r for r in news.search(docs, "id", asked, now).collect()}
+    assert set(found) == {1, 4} and found[1].weight > found[4].weight and abs(found[1].weight - found[1].match - 80 - 12 - 12) < 1e-5 and abs(found[4].match - 1.5 - 1.2) < 1e-5
+    # Without a query: 80 + 12 + 12, 95 + 4, 0, and 40 - 12.
+    assert [(r.id, r.weight) for r in news.search(docs, "id", news.profile(""), now).collect()] == [(1, 104.0), (2, 99.0), (4, 28.0), (3, 0.0)]
+    for name, wanted, ids in (("content_type", "error", {4}), ("source", "a.example", {1, 4}), ("ingestion", "ingested", {1, 4}), ("quality", "70_89", {1}), ("recency", "past_day", {1})):
+        assert {r.id for r in news.search(docs, "id", asked, now, filters={name: wanted}).collect()} == ids
+    with pytest.raises(ValueError):
+        news.search(docs, "id", asked, now, filters={"colour": "red"})
+    assert news.search(docs.limit(0), "id", asked, now).count() == 0
