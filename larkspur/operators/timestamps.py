@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions.instants import parse
-from larkspur.sources.tables import scratch, table
+from larkspur.sources.tables import shared_folder, table
 
 KEY = ["_raw", "_home", "_order"]
+#: Name of the dictionary in the shared folder; another one when the rules of parsing change.
+DICTIONARY = "instants-1"
 _DICTIONARY = T.StructType([T.StructField(k, T.StringType()) for k in KEY] + [T.StructField("_epoch_us", T.LongType())])
 
 
@@ -39,9 +41,9 @@ class InstantDictionary:
         self.spark, self.path, self.parts = spark, path, 0
 
     def entries(self) -> DataFrame:
-        """All entries so far; empty before the first update."""
+        """All entries so far, each once, whoever wrote it twice; empty before the first update."""
         try:
-            return self.spark.read.schema(_DICTIONARY).parquet(self.path)
+            return self.spark.read.schema(_DICTIONARY).parquet(self.path).groupBy(*KEY).agg(F.first("_epoch_us").alias("_epoch_us"))
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -105,12 +107,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each record of the three tables whose text denotes exactly one instant.
 
     Records delivered twice give one row; a record whose deliveries differ
-    gives a row for each instant.
+    gives a row for each instant. The dictionary stays in the shared folder:
+    a later run parses only texts that are new to it.
     """
     records = None
     for name, key, text in RECORDS:
         part = table(spark, folder, name).select(F.lit(name).alias("src"), F.col(key).alias("rec_id"), F.col(text).alias("text"), "source")
         records = part if records is None else records.unionByName(part)
-    dictionary = InstantDictionary(spark, scratch(spark, "instants"))
+    dictionary = InstantDictionary(spark, f"{shared_folder(spark)}/{DICTIONARY}")
     found = normalise_timestamps(records, "text", "source", table(spark, folder, "news_sources"), dictionary)
     return found.where(F.col("epoch_us").isNotNull()).select("src", "rec_id", "epoch_us").distinct()
