@@ -193,3 +193,17 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     specs = [(r.spec_id, r.capacity_tokens, r.tokenizer) for r in table(spark, folder, "container_specs").collect()]
     counts = token_counts(table(spark, folder, "documents"), "doc_id", "text", sorted({s[2] for s in specs}))
     return pack(counts, specs)
+
+
+def fill(packed: DataFrame, specs: DataFrame) -> DataFrame:
+    """How well each specification's containers are filled: spec_name, containers (of those with tokens), tokens, overfull (containers above their capacity), fill (tokens over the containers' capacity).
+
+    packed: pack()'s rows; specs: spec_id, spec_name, capacity_tokens, a few rows. Without tokens the fill is null.
+    """
+    each = packed.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("_n")).join(F.broadcast(specs.select("spec_id", "spec_name", "capacity_tokens")), "spec_id")
+    used = each.groupBy("spec_name").agg(F.count_if(F.col("_n") > 0).alias("containers"), F.sum("_n").alias("tokens"), F.count_if(F.col("_n") > F.col("capacity_tokens")).alias("overfull"), F.max("capacity_tokens").alias("_c"))
+    return used.select("spec_name", "containers", "tokens", "overfull", F.when(F.col("containers") > 0, F.round(F.col("tokens") / (F.col("containers") * F.col("_c")), 6)).alias("fill"))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return fill(p7_packed(spark, folder), table(spark, folder, "container_specs"))

@@ -46,6 +46,8 @@ def test_rows_of_nulls(spark, folders, name: str) -> None:
         assert len(rows) == 33 and all(not r[1] for r in rows)
     elif name == "p7_packed":
         assert {r.n_tokens for r in rows} == {0}
+    elif name == "p7_fill":
+        assert {(r.containers, r.tokens, r.overfull, r.fill) for r in rows} == {(0, 0, 0, None)}
     else:
         assert rows == []
 

@@ -65,3 +65,9 @@ def test_no_documents(spark) -> None:
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, tokenizer string, tokens bigint"), [(1, 10, "t")]).count() == 0
     only = packing.pack(spark.createDataFrame([(1, "t", 0), (2, "t", 0)], "doc_id bigint, tokenizer string, tokens bigint"), [(1, 10, "t")]).collect()
     assert {(r.doc_id, r.n_tokens) for r in only} == {(1, 0), (2, 0)}
+
+
+def test_fill(spark) -> None:
+    packed = spark.createDataFrame([(1, 10, 60), (1, 10, 40), (1, 11, 50), (1, 12, 0), (2, 9, 1001)], "spec_id int, container_id bigint, n_tokens bigint")
+    specs = spark.createDataFrame([(1, "small", 100), (2, "large", 1000)], "spec_id int, spec_name string, capacity_tokens int")
+    assert {tuple(r) for r in packing.fill(packed, specs).collect()} == {("small", 2, 150, 0, 0.75), ("large", 1, 1001, 1, 1.001)}
