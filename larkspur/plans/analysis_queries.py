@@ -17,7 +17,20 @@ from larkspur.plans.search_queries import AS_OF, minutes_since
 from larkspur.sources.tables import table
 
 R = Registry()
-TOPICS = [("Energy", ["energy", "energía", "energie", "énergie"]), ("Finance", ["dividend", "bonds", "merger", "fusion", "shares"]), ("Labour", ["union", "workers", "beschäftigte", "trabajadores"]), ("Courts", ["dispute", "appealed", "inquiry"])]
+# Topics with the words of which one is enough.
+TOPICS = [
+    ("Technology", ["technology", "tech", "software", "ai", "artificial intelligence", "robot", "cloud", "startup", "computing", "internet", "app", "cybersecurity", "semiconductor", "chip", "quantum"]),
+    ("Finance", ["bank", "banking", "interest rate", "inflation", "loan", "credit", "debt", "mortgage", "treasury", "dollar", "currency", "exchange"]),
+    ("Energy", ["energy", "oil", "gas", "renewable", "solar", "wind", "power", "battery", "nuclear"]),
+    ("Healthcare", ["health", "medical", "pharma", "drug", "vaccine", "hospital", "biotech", "clinical"]),
+    ("Geopolitics", ["election", "government", "policy", "war", "conflict", "diplomatic", "sanction", "president", "parliament"]),
+    ("Climate", ["climate", "weather", "warming", "emission", "carbon", "wildfire", "flood", "storm"]),
+    ("Consumer", ["retail", "consumer", "shopping", "e-commerce", "sales", "fashion", "brand"]),
+    ("Transportation", ["transport", "airline", "flight", "rail", "automotive", "car", "vehicle", "shipping", "logistics"]),
+    ("Science", ["research", "science", "space", "nasa", "study", "scientist", "laboratory", "experiment"]),
+    ("Sports", ["sport", "sports", "tournament", "league", "match", "olympic"]),
+    ("Culture", ["culture", "movie", "film", "music", "art", "festival", "entertainment"]),
+]
 # Intents with the points and the phrases that show them.
 INTENTS = [
     ("informative", 0.6, ["according to", "analysis", "data shows", "evidence", "findings", "reported", "research", "study"]), ("persuasive", 0.8, ["should ", "must ", "we urge", "we recommend", "need to", "call to action", "imperative", "critical that"]),

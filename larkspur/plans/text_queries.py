@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,11 +16,13 @@ from larkspur.plans.registry import Registry
 from larkspur.sources.tables import table
 
 R = Registry()
-# Small vocabularies of words that occur in the tables; callers pass their own.
-POSITIVE = "approved doubled raised signed settled improve hired".split()
-NEGATIVE = "cut loss dispute delayed suspended closed failure withdrew postponed weak".split()
-HEDGES = "may could should uncertain though expected".split()
-ASSERTIVE = "will said told leads approved".split()
+# Vocabularies of tone, hedging and certainty, and phrases of evidence.
+POSITIVE = "advance amazing benefit confident effective efficient excellent favorable good great growth improved innovative leading positive promising successful supportive thriving transformative valuable".split()
+NEGATIVE = "alarming bad concern critical crisis decline difficult failure frustrated issue loss negative problem risk setback shortfall struggle trouble uncertain weak worry".split()
+HEDGES = "alleged apparently appears assume believe could estimates expected forecast likely maybe might perhaps potentially possibly presumably probable rumor rumour seems suggests uncertain unconfirmed would".split()
+ASSERTIVE = "always certainly clearly definitely ensured ensures guaranteed must proves confirmed delivered demonstrates secured undeniably will".split()
+EVIDENCE = ["according to", "data from", "evidence from", "research from", "study by", "reported by", "analysis by"]
+FIGURE = r"[0-9]+(?:\.[0-9]+)?(?:\s?(?:%|percent|million|billion|thousand|k))?"
 ASCII = "regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')"
 TOK = f"WITH tok AS (SELECT * FROM (SELECT doc_id, unnest({ASCII}) AS term FROM documents) WHERE term <> '')"
 
@@ -68,7 +72,7 @@ def certainty_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @R.add(f"""
-WITH v AS (SELECT doc_id, (SELECT count(DISTINCT x) FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:\\.[0-9]+)?\\s?(?:%|percent|million|billion|thousand)')) AS x)) + contains(lower(coalesce(text, '')), 'according to')::INT
+WITH v AS (SELECT doc_id, (SELECT count(DISTINCT x) FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '{FIGURE}')) AS x)) + {" + ".join(f"contains(lower(coalesce(text, '')), '{e}')::INT" for e in EVIDENCE)}
   + (SELECT count(DISTINCT y) FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), 'https?://[^\\s)]+')) AS y)) AS e,
   len(list_filter({_in(HEDGES).replace('(', '[').replace(')', ']')}, lambda h: list_contains({ASCII}, h))) AS s FROM documents),
 f AS (SELECT doc_id, e AS evidence, s AS speculative, CASE WHEN e + s > 0 THEN 0.5 + (e - s) / (e + s)::DOUBLE * 0.5 ELSE 0.5 END AS score FROM v)
@@ -80,7 +84,8 @@ def factuality(spark: SparkSession, folder: str) -> DataFrame:
     def kinds(pattern: str) -> Column:
         return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0)))
 
-    e = kinds(r"[0-9]+(?:\.[0-9]+)?\s?(?:%|percent|million|billion|thousand)") + F.lower(text).contains("according to").cast("int") + kinds(r"https?://[^\s)]+")
+    said = reduce(lambda a, b: a + b, [F.lower(text).contains(e).cast("int") for e in EVIDENCE])
+    e = kinds(FIGURE) + said + kinds(r"https?://[^\s)]+")
     s = _kinds(tokens, HEDGES)
     score = F.when(e + s > 0, 0.5 + (e - s) / (e + s) * 0.5).otherwise(0.5)
     return table(spark, folder, "documents").select("doc_id", e.cast("bigint").alias("evidence"), s.cast("bigint").alias("speculative"), F.round(score, 4).alias("score"), tone(score, "factual", "speculative", "opinion", 0.65, 0.35).alias("classification"))
