@@ -153,10 +153,15 @@ def related_documents(weights: DataFrame, key: str, term: str, weight: str, quer
     return ranked.where(F.col("rank") <= limit).select("query", "rank", F.col("_k").alias(key), "score")
 
 
-def near_duplicate(a: Column, b: Column, limit: int = 4000) -> Column:
-    """Whether two texts are near-duplicates: equal, one in the other (from 24 characters, then by their lengths' ratio of .65 alone), 92 % similar, or .82 of the smaller set of longer words shared."""
-    x, y = (F.substring(F.lower(tx.squeezed(t)), 1, limit) for t in (a, b))
+def near_duplicate(a: Column, b: Column, limit: int | None = None) -> Column:
+    """Whether two texts are near-duplicates: equal, one in the other (from 24 characters, then by their lengths' ratio of .65 alone), 92 % similar, or .82 of the smaller set of longer words shared.
+
+    Whole texts are compared unless a limit of characters is given. Texts
+    whose lengths rule a likeness of 92 % out are not measured for it.
+    """
+    x, y = (F.lower(tx.squeezed(t)) if limit is None else F.substring(F.lower(tx.squeezed(t)), 1, limit) for t in (a, b))
     short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+    alike = 200 * short >= 92 * (short + long)
 
     def tokens(t: Column) -> Column:
         return F.array_distinct(F.filter(tx.ascii_words(t), lambda w: F.length(w) >= 4))
@@ -165,4 +170,4 @@ def near_duplicate(a: Column, b: Column, limit: int = 4000) -> Column:
     smaller = F.least(F.size(tx_), F.size(ty))
     overlap = F.when(smaller > 0, F.size(F.array_intersect(tx_, ty)) / smaller).otherwise(0.0)
     inside = (short >= 24) & (x.contains(y) | y.contains(x))
-    return F.when((x == "") | (y == ""), False).when(x == y, True).when(inside, short / long >= 0.65).otherwise((overlap >= 0.82) | (similar_text(x, y) >= 92))
+    return F.when((x == "") | (y == ""), False).when(x == y, True).when(inside, short / long >= 0.65).otherwise((overlap >= 0.82) | (similar_text(F.when(alike, x), F.when(alike, y)) >= 92))

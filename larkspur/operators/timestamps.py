@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions.instants import parse
-from larkspur.sources.tables import shared_folder, table
+from larkspur.sources.tables import scratch, table
 
 KEY = ["_raw", "_home", "_order"]
-#: Name of the dictionary in the shared folder; another one when the rules of parsing change.
-DICTIONARY = "instants-1"
+#: Setting of the session that names a lasting folder for the dictionary of p3_found(); without it a run has its own.
+DICTIONARY = "spark.larkspur.instants"
 _DICTIONARY = T.StructType([T.StructField(k, T.StringType()) for k in KEY] + [T.StructField("_epoch_us", T.LongType())])
 
 
@@ -107,13 +107,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each record of the three tables whose text denotes exactly one instant.
 
     Records delivered twice give one row; a record whose deliveries differ
-    gives a row for each instant. The dictionary stays in the shared folder:
-    a later run parses only texts that are new to it.
+    gives a row for each instant. Where the session's setting DICTIONARY names
+    a folder, the dictionary stays there, and a later run parses only texts
+    that are new to it.
     """
     records = None
     for name, key, text in RECORDS:
         part = table(spark, folder, name).select(F.lit(name).alias("src"), F.col(key).alias("rec_id"), F.col(text).alias("text"), "source")
         records = part if records is None else records.unionByName(part)
-    dictionary = InstantDictionary(spark, f"{shared_folder(spark)}/{DICTIONARY}")
+    dictionary = InstantDictionary(spark, spark.conf.get(DICTIONARY, None) or scratch(spark, "instants"))
     found = normalise_timestamps(records, "text", "source", table(spark, folder, "news_sources"), dictionary)
     return found.where(F.col("epoch_us").isNotNull()).select("src", "rec_id", "epoch_us").distinct()

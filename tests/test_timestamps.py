@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from conftest import SMALL
+from larkspur.operators import timestamps
 from larkspur.operators.timestamps import InstantDictionary, normalise_timestamps
 from larkspur.sources.tables import scratch
 
@@ -26,3 +28,16 @@ def test_dictionary_parses_only_what_is_new(spark) -> None:
     dictionary.update(keys.unionByName(spark.createDataFrame([("TBD", "", "")], keys.schema)))
     assert sorted(r._raw for r in dictionary.entries().collect()) == ["1704164645", "TBD"]
     assert dictionary.entries().where(F.col("_epoch_us").isNull()).count() == 1
+
+
+def test_a_lasting_dictionary_is_used_by_later_runs(spark) -> None:
+    path = scratch(spark, "lasting")
+    spark.conf.set(timestamps.DICTIONARY, path)
+    try:
+        first = sorted(map(tuple, timestamps.p3_found(spark, SMALL).collect()))
+        held = spark.read.parquet(path).count()
+        assert sorted(map(tuple, timestamps.p3_found(spark, SMALL).collect())) == first and first
+        # The second run added nothing.
+        assert spark.read.parquet(path).count() == held == InstantDictionary(spark, path).entries().count()
+    finally:
+        spark.conf.unset(timestamps.DICTIONARY)
