@@ -82,9 +82,9 @@ def test_text_expressions_read_the_whole_text(spark) -> None:
 
 
 def test_fuzzy_pairs_wherever_the_edits_are(spark, tmp_path) -> None:
-    from larkspur.plans.text_queries import levenshtein_fuzzy_pairs
+    from larkspur.plans.text_queries import levenshtein_fuzzy_join
 
     spark.createDataFrame([("Alpine Gold",)], "name string").write.parquet(f"{tmp_path}/companies.parquet")
     spark.createDataFrame([("elpine olpine lpine apline alpine fold bold silver gol",)], "title string").write.parquet(f"{tmp_path}/market_news.parquet")
-    rows = {(r.term, r.known, r.distance) for r in levenshtein_fuzzy_pairs(spark, str(tmp_path)).collect()}
+    rows = {(r.term, r.known, r.distance) for r in levenshtein_fuzzy_join(spark, str(tmp_path)).collect()}
     assert rows == {("elpine", "alpine", 1), ("olpine", "alpine", 1), ("lpine", "alpine", 1), ("apline", "alpine", 2), ("fold", "gold", 1), ("bold", "gold", 1)}
