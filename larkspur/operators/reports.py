@@ -20,18 +20,18 @@ def clamp(score: Column) -> Column:
 
 def first_sentence(text: Column, limit: int = 240) -> Column:
     """The trimmed text; if it is longer than the limit, its first sentence within it, and an ellipsis."""
-    plain = F.regexp_replace(tx.text_of(text), "^" + tx.SPACE + "|" + tx.SPACE + "$", "")
+    plain = F.regexp_replace(tx.text_of(text), "^" + tx.SPACE + "|" + tx.SPACE + r"\z", "")
     cut = F.substring(plain, 1, limit)
-    one = F.regexp_replace(F.get(F.split(F.regexp_replace(cut, r"([.!?])[ \t\n\x0B\f\r]+", "$1\u0001"), "\u0001"), 0), tx.SPACE + "$", "")
+    one = F.regexp_replace(F.get(F.split(F.regexp_replace(cut, r"([.!?])[ \t\n\x0B\f\r]+", "$1\u0001"), "\u0001"), 0), tx.SPACE + r"\z", "")
     return F.when(F.length(plain) > limit, F.concat(one, F.lit("…"))).otherwise(plain)
 
 
 def truncated(text: Column, limit: int = 200) -> Column:
     """The trimmed text; if it is longer than the limit, its whole words within it without closing marks, and an ellipsis."""
-    plain = F.regexp_replace(tx.text_of(text), "^" + tx.SPACE + "|" + tx.SPACE + "$", "")
+    plain = F.regexp_replace(tx.text_of(text), "^" + tx.SPACE + "|" + tx.SPACE + r"\z", "")
     cut = F.substring(plain, 1, limit)
-    whole = F.regexp_replace(cut, r"[ \t\n\x0B\f\r]+[^ \t\n\x0B\f\r]*$", "")
-    return F.when(F.length(plain) > limit, F.concat(F.regexp_replace(F.when(whole == "", cut).otherwise(whole), r"[ \t\n\x0B\r.,;:]+$", ""), F.lit("…"))).otherwise(plain)
+    whole = F.regexp_replace(cut, r"[ \t\n\x0B\f\r]+[^ \t\n\x0B\f\r]*\z", "")
+    return F.when(F.length(plain) > limit, F.concat(F.regexp_replace(F.when(whole == "", cut).otherwise(whole), r"[ \t\n\x0B\r.,;:]+\z", ""), F.lit("…"))).otherwise(plain)
 
 
 def case_like(suggestion: Column, word: Column) -> Column:

@@ -51,6 +51,13 @@ def test_short_forms(spark) -> None:
     assert values(spark, ["A a  bb BB c", "", None], reports.asked_words) == [["bb"], [], []]
 
 
+def test_short_forms_that_end_at_the_end_of_a_line(spark) -> None:
+    # The cut falls behind a line's end, so the word before it is whole; a line's end is no end of the text.
+    texts = [f"ab cd ef.{end}more" for end in ("\n", "\r", "\u2028")] + ["ab cd ef\r\nmore", "ab cd \u2028"]
+    assert values(spark, texts, lambda t: reports.truncated(t, 10)) == ["ab cd ef…", "ab cd ef…", "ab cd…", "ab cd ef…", "ab cd \u2028"]
+    assert values(spark, ["ab \u2028" + "c" * 10, "ab cd \u2028"], lambda t: reports.first_sentence(t, 4)) == ["ab \u2028…", "ab c…"]
+
+
 def test_scores(spark) -> None:
     df = spark.createDataFrame([("active", 4000, 12, "p", "t"), (None, None, None, None, " "), ("closed", 900, 6, "", "t")], "s string, n int, p int, a string, b string")
     assert [r.q for r in df.select(reports.source_quality(*[F.col(c) for c in "snpab"]).alias("q")).collect()] == [87.0, 63.0, 65.0]
