@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from larkspur.sources.tables import written
+from larkspur.sources.tables import release, written
 
 
 def cooccurrence(tokens: DataFrame, doc: str, words: str, radius: int, decay: str = "inverse", strength: float | None = None) -> DataFrame:
     """Columns target, context, weight: summed weights of neighbours at most radius places apart, both ways.
 
-    words is a column of arrays. The weight at a distance is 1 / distance^s
+    words is a column of arrays, of texts or of numbers. The weight at a distance is 1 / distance^s
     (inverse, s = 1 by default) or 1 - s (distance - 1), at least 0 (linear,
     s = 1 / radius by default). Null and empty tokens take their place but
     count with nothing. Pairs are made inside a row and summed before the
@@ -34,7 +38,8 @@ def cooccurrence(tokens: DataFrame, doc: str, words: str, radius: int, decay: st
     every = parts[0]
     for part in parts[1:]:
         every = every.unionAll(part)
-    every = every.where("a <> '' AND b <> ''").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    texts = isinstance(some.schema["_w"].dataType.elementType, T.StringType)
+    every = every.where("a <> '' AND b <> ''" if texts else "a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.sum("w").alias("w"))
     return every.select(F.explode(F.array(F.struct(F.col("a").alias("target"), F.col("b").alias("context")), F.struct(F.col("b").alias("target"), F.col("a").alias("context")))).alias("_p"), "w").groupBy("_p.target", "_p.context").agg(F.sum("w").alias("weight"))
 
 
@@ -48,27 +53,87 @@ def ppmi(counts: DataFrame) -> DataFrame:
 
 
 def cosine_pairs(vectors: DataFrame, row: str, column: str, value: str, least: float = 0.0) -> DataFrame:
-    """Columns left < right, score: cosine of sparse rows with values of at least 0 that share a column, of at least the score.
+    """Columns left < right, score: cosine of sparse rows with values of at least 0 that share a column, of at least the score."""
+    rows = _rows(vectors, row, column, value)
+    members = rows.select("_c", F.col("_r").alias("_name"))
+    first = rows.groupBy("_c").agg(F.min_by(F.struct("_r", "_norm", "_n"), "_r").alias("_p")).select("_c", "_p.*")
+    entries = _entries(vectors, row, column, value, first)
+    return _listed(_close(entries, least), members).where(F.col("score") >= least)
+
+
+def most_similar(vectors: DataFrame, row: str, column: str, value: str, names: DataFrame, k: int, least: float = 0.0, digits: int = 9) -> DataFrame:
+    """Columns left < right, score: the k pairs of cosine_pairs() that come first by score, rounded to so many digits, and by names.
+
+    names has the rows and their names, each once. Of rows with equal vectors
+    only the first k + 1 by name can be in such a pair: for any further one k
+    others make a pair of the same score that comes before. Pairs are sought
+    with a score of 1 first, and with lower ones only where those are fewer
+    than k; what is found at a level is whole, with all ties.
+    """
+    rows = _rows(vectors, row, column, value)
+    named = rows.join(names.toDF("_r", "_name"), "_r")
+    members = written(named.withColumn("_at", F.row_number().over(Window.partitionBy("_c").orderBy("_name"))).where(F.col("_at") <= k + 1), "members")
+    entries = _entries(vectors, row, column, value, members.where("_at = 1"))
+    release(vectors.sparkSession)
+    equal = members.groupBy("_c").count().agg(F.sum(F.expr("count * (count - 1) / 2")).alias("n")).first()["n"] or 0
+    members = members.select("_c", "_name")
+    for level in [x for x in (1.0, 0.99, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.3) if x > least] + [least]:
+        close = _close(entries, max(least, level - 10.0**-digits))
+        if level > least and equal < k:
+            close = written(close, "close")
+            if equal + _listed(close, members, equal=False).where(F.round("score", digits) >= level).count() < k:
+                continue
+        break
+    found = _listed(close, members).where(F.col("score") >= least)
+    return found.orderBy(F.desc(F.round("score", digits)), "left", "right").limit(k)
+
+
+def _rows(vectors: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """Columns _r, _norm, _n, _c: each row with its length and number of entries; rows with equal entries have one _c, a 64-bit hash."""
+    same = F.xxhash64(F.bit_xor(F.xxhash64(column, value)), F.bit_xor(F.xxhash64(value, column)), F.count("*"))
+    rows = vectors.groupBy(F.col(row).alias("_r")).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm"), F.count("*").alias("_n"), same.alias("_c"))
+    return written(rows.where("_norm > 0"), "rows")
 
-    Columns are ordered by the number of rows that have them, and a row is
+
+def _entries(vectors: DataFrame, row: str, column: str, value: str, first: DataFrame) -> DataFrame:
+    """Columns _c, _n, _k, _v: the entries, as parts of the length, of one row a class."""
+    unit = vectors.select(F.col(row).alias("_r"), F.xxhash64(column).alias("_k"), F.col(value).alias("_v")).join(first.select("_r", "_c", "_n", "_norm"), "_r")
+    return written(unit.select("_c", "_n", "_k", (F.col("_v") / F.col("_norm")).alias("_v")), "units")
+
+
+def _close(entries: DataFrame, least: float) -> DataFrame:
+    """Columns _x < _y, score: pairs of classes that share a column, with a cosine of at least the score.
+
+    Columns are ordered by the number of classes that have them, and a class is
     indexed under its rarest ones, until what is left of it is shorter than
-    the least score: rows that share nothing but what is left cannot reach it.
-    Pairs that meet in the index are verified on their whole vectors. With a
-    least score of 0 every column is indexed. Rows and columns are joined by
-    64-bit hashes, so that names are not shuffled before the pairs are few.
+    the least score: classes that share nothing but what is left cannot reach it.
+    A pair meets in the first column it shares if its values there, which differ
+    by at most sqrt(2 - 2 least), and what is left of both behind it can reach
+    the score; then the shorter one's entries are looked up in the longer.
     """
-    norms = vectors.groupBy(F.col(row).alias("_n")).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm")).where("_norm > 0")
-    counts = vectors.groupBy(F.col(column).alias("_column")).agg(F.count("*").alias("_f"))
-    unit = vectors.join(norms, F.col(row) == F.col("_n")).join(counts, F.col(column) == F.col("_column"))
-    entry = F.struct(F.col("_f"), F.xxhash64(column).alias("_k"), (F.col(value) / F.col("_norm")).alias("_v"))
-    whole = written(unit.groupBy(F.xxhash64(row).alias("_r"), F.col(row).alias("_name")).agg(F.array_sort(F.collect_list(entry)).alias("_e")), "vectors")
-    # What is left from each place on: squares summed from the end.
-    left = F.aggregate(F.reverse("_e"), F.array(F.lit(0.0)), lambda acc, e: F.concat(acc, F.array(F.element_at(acc, -1) + e["_v"] * e["_v"])))
-    kept = F.filter("_e", lambda e, i: F.get("_left", F.size("_e") - i) >= (least - 1e-9) * F.abs(F.lit(least - 1e-9)))
-    index = whole.withColumn("_left", left).select("_r", F.explode(kept).alias("_p")).select("_r", "_p._k")
-    met = index.toDF("_x", "_k").join(index.toDF("_y", "_k"), "_k").where("_x < _y").select("_x", "_y").distinct()
-    a = whole.select(F.col("_r").alias("_x"), F.col("_name").alias("_p"), F.map_from_entries(F.transform("_e", lambda e: F.struct(e["_k"], e["_v"]))).alias("_a"))
-    b = whole.select(F.col("_r").alias("_y"), F.col("_name").alias("_q"), F.col("_e").alias("_b"))
-    dot = F.aggregate("_b", F.lit(0.0), lambda acc, e: acc + F.coalesce(F.col("_a")[e["_k"]], F.lit(0.0)) * e["_v"])
-    scored = met.join(a, "_x").join(b, "_y").select("_p", "_q", dot.alias("score")).where(F.col("score") >= least)
-    return scored.select(F.least("_p", "_q").alias("left"), F.greatest("_p", "_q").alias("right"), "score")
+    order = Window.partitionBy("_c").orderBy("_f", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = entries.join(entries.groupBy("_k").agg(F.count("*").alias("_f")), "_k")
+    summed = counted.withColumn("_s", F.sum(F.col("_v") * F.col("_v")).over(order))
+    kept = summed.where(1 - F.col("_s") + F.col("_v") * F.col("_v") >= (least - 1e-9) * abs(least - 1e-9))
+    apart = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
+    place = F.floor(F.col("_v") / apart).cast("bigint") if apart < 0.5 else F.lit(0).cast("bigint")
+    index = written(kept.select("_k", place.alias("_b"), "_c", "_n", "_v", F.greatest(F.lit(0.0), 1 - F.col("_s")).alias("_l")), "index")
+    near = index.withColumn("_b", F.explode(F.sequence(F.col("_b") - 1, F.col("_b") + 1))) if apart < 0.5 else index
+    a, b = near.toDF("_k", "_b", "_x", "_m", "_v", "_l"), index.toDF("_k", "_b", "_y", "_n", "_w", "_r")
+    # Less than the least score by what rounding may take from the root.
+    met = a.join(b, ["_k", "_b"]).where(F.col("_x") < F.col("_y")).where(F.col("_v") * F.col("_w") + F.sqrt(F.col("_l") * F.col("_r")) >= least - 1e-6)
+    short = F.col("_m") <= F.col("_n")
+    pairs = met.select(F.when(short, F.col("_x")).otherwise(F.col("_y")).alias("_p"), F.when(short, F.col("_y")).otherwise(F.col("_x")).alias("_q")).distinct()
+    whole = entries.select("_c", "_k", "_v")
+    each = pairs.join(whole.toDF("_p", "_k", "_v"), "_p").join(whole.toDF("_q", "_k", "_w"), ["_q", "_k"])
+    scored = each.groupBy("_p", "_q").agg(F.sum(F.col("_v") * F.col("_w")).alias("score")).where(F.col("score") >= least)
+    return scored.select(F.least("_p", "_q").alias("_x"), F.greatest("_p", "_q").alias("_y"), "score")
+
+
+def _listed(close: DataFrame, members: DataFrame, equal: bool = True) -> DataFrame:
+    """Columns left < right, score: the pairs of members of close classes and, if equal, of one class."""
+    a, b = members.toDF("_x", "_p"), members.toDF("_y", "_q")
+    pairs = close.join(a, "_x").join(b, "_y").select(F.least("_p", "_q").alias("left"), F.greatest("_p", "_q").alias("right"), "score")
+    if not equal:
+        return pairs
+    return pairs.unionAll(a.join(b, F.col("_x") == F.col("_y")).where("_p < _q").select("_p", "_q", F.lit(1.0)))

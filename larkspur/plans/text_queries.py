@@ -13,7 +13,7 @@ from larkspur.operators import cooccurrence as co
 from larkspur.operators import vectors
 from larkspur.operators.analysis import remainders
 from larkspur.plans.registry import Registry
-from larkspur.sources.tables import table
+from larkspur.sources.tables import Rounds, release, table
 
 R = Registry()
 # Vocabularies of tone, hedging and certainty, and phrases of evidence.
@@ -208,8 +208,17 @@ s AS (SELECT a.target AS l, b.target AS r, sum(a.ppmi * b.ppmi) AS dot FROM m a
 SELECT l AS left, r AS right, round(dot / (x.norm * y.norm), 5) AS score FROM s JOIN v x ON x.target = l JOIN v y ON y.target = r WHERE dot / (x.norm * y.norm) >= 0.5 ORDER BY round(dot / (x.norm * y.norm), 9) DESC, l, r LIMIT 100""".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))
 def ppmi_cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """The hundred most similar pairs of words."""
-    pairs = co.cosine_pairs(co.ppmi(_cooc(spark, folder)), "target", "context", "ppmi", 0.5)
-    return pairs.orderBy(F.desc(F.round("score", 9)), "left", "right").limit(100).select("left", "right", F.round("score", 5).alias("score"))
+    words = table(spark, folder, "market_news").select("news_id", "title").distinct().select("news_id", tx.words(F.col("title")).alias("w"))
+    # Words are 64-bit hashes until the pairs are few.
+    hashed = words.select("news_id", F.transform("w", lambda w: F.xxhash64(w)).alias("w"))
+    names = words.select(F.explode("w").alias("name")).distinct().select(F.xxhash64("name").alias("target"), "name")
+    rounds = Rounds(spark, "ppmi")
+    counts = rounds.next(co.cooccurrence(hashed, "news_id", "w", 2))
+    release(spark)
+    weighed = rounds.next(co.ppmi(counts))
+    release(spark)
+    pairs = co.most_similar(weighed, "target", "context", "ppmi", names, 100, 0.5)
+    return pairs.select("left", "right", F.round("score", 5).alias("score"))
 
 
 @R.add("""WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),

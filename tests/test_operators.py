@@ -78,6 +78,29 @@ def test_cosine_pairs_golden(spark) -> None:
     assert got == [("alpha", "beta", 1.0), ("alpha", "gamma", 0.5), ("beta", "gamma", 0.5)]
 
 
+def test_most_similar_is_the_head_of_all_pairs(spark) -> None:
+    rng = random.Random(5)
+    for words, kinds, k, least in ((60, 3, 7, 0.501), (25, 40, 12, 0.501), (25, 40, 300, 0.0), (12, 2, 500, 0.901)):
+        # Few kinds of vectors: many words have equal ones, more of a kind than k; many kinds: hardly any.
+        made = [{c: float(rng.randint(1, 3)) for c in rng.sample("abcdef", rng.randint(1, 4))} for _ in range(kinds)]
+        held = {f"w{i:02d}": rng.choice(made) for i in range(words)}
+        norm = {w: math.sqrt(sum(x * x for x in v.values())) for w, v in held.items()}
+        every = [(w, x, sum(held[w][c] * held[x].get(c, 0.0) for c in held[w]) / norm[w] / norm[x]) for w in held for x in held if w < x]
+        expected = sorted([p for p in every if p[2] >= max(least, 1e-9)], key=lambda p: (-round(p[2], 9), *p[:2]))[:k]
+        df = spark.createDataFrame([(int(w[1:]), c, x) for w, v in held.items() for c, x in v.items()], "r bigint, c string, v double")
+        names = spark.createDataFrame([(int(w[1:]), w) for w in held], "r bigint, n string")
+        got = [(r.left, r.right, round(r.score, 9)) for r in co.most_similar(df, "r", "c", "v", names, k, least).collect()]
+        assert got == [(a, b, round(s, 9)) for a, b, s in expected]
+    assert co.most_similar(df.limit(0), "r", "c", "v", names, 5).count() == 0
+
+
+def test_many_equal_vectors_are_compared_once(spark) -> None:
+    # 20,000 words with one vector are 200 million pairs with a score of 1.
+    names = spark.range(20_000).select("id", F.format_string("w%05d", "id").alias("n"))
+    df = names.select("id", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("c"), F.lit(2.0).alias("v"))
+    assert [(r.left, r.right) for r in co.most_similar(df, "id", "c", "v", names, 3, 0.5).collect()] == [("w00000", f"w0000{i}") for i in (1, 2, 3)]
+
+
 def test_graph(spark) -> None:
     said = spark.createDataFrame([("Ann Bee, who leads The Lab",), (None,), ("",), ("Lab (LB)",)], "s string")
     rules = [("leads", r"([A-Z]\w+ [A-Z]\w+), who leads (.+)", 0.9), ("alias", r"(\w+) \((\w+)\)", 0.7)]
