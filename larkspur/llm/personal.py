@@ -2,8 +2,8 @@
 
 Method: skip-chain conditional random field. The nodes of a document are the
 stretches that could be personal data; each has a distribution over none and
-the kinds it may be. A node's own potentials come from weights trained on a
-bounded sample of the documents. Neighbouring nodes share a chain table, and
+the kinds it may be. A node's own potentials come from weights trained on
+counts over all documents. Neighbouring nodes share a chain table, and
 nodes with repeated or similar tokens (a surname said again, an e-mail address
 made of it, a number or a street given twice) a skip table of their sort, each
 with a potential for every pair of labels. Labels that no messages of the
@@ -20,10 +20,12 @@ tables of potentials, with the own evidence of the weak labels taken out.
 
 from __future__ import annotations
 
+import ast
+import marshal
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -31,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.sources.tables import table
+from larkspur.sources.tables import Rounds, table, written
 
-#: Documents that the weights are trained on, at most.
-SAMPLE = 2000
+#: Rounds of expectation maximisation, and the counts from which a feature of names has a weight.
+_STEPS, _SUPPORT = 6, {"ending": 1.5, "left": 1.5, "right": 1.5, "second": 3.0}
+#: Counts that a task holds before it hands them on.
+_HELD = 200_000
 #: Surnames whose scores a task keeps, at most.
 _SURNAMES = 200_000
 KINDS = ("email", "phone", "id_number", "address", "name")
+#: What nodes may be, as candidates are kept; the last are names whose first word is not a given name that was learnt.
+_SETS = (("email",), ("address",), ("phone", "id_number"), ("name",), ("name",))
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 LABELS = (None, *KINDS)
 _LABEL_OF = {k: i for i, k in enumerate(LABELS)}
@@ -102,10 +108,10 @@ _HOUSE = re.compile(r"(?<![\d.,])\d{1,4}(?![\d%])")
 class Node:
     """A stretch that could be personal data: its place, the kinds it may be and their potentials against none."""
 
-    __slots__ = ("start", "end", "kinds", "scores", "keys", "labels")
+    __slots__ = ("start", "end", "kinds", "scores", "keys", "labels", "unlearnt")
 
-    def __init__(self, start: int, end: int, kinds: tuple[str, ...], scores: list[float], keys: tuple[str, ...]):
-        self.start, self.end, self.kinds, self.scores, self.keys = start, end, kinds, scores, keys
+    def __init__(self, start: int, end: int, kinds: tuple[str, ...], scores: list[float], keys: tuple[str, ...], unlearnt: bool = False):
+        self.start, self.end, self.kinds, self.scores, self.keys, self.unlearnt = start, end, kinds, scores, keys, unlearnt
         self.labels = (0, *[_LABEL_OF[k] for k in kinds])
 
 
@@ -214,114 +220,130 @@ class Weights:
         self.lift = self.swing["name"]
 
     def train(self, texts: list[str]) -> Weights:
-        self._names(texts)
-        self._shapes(texts)
-        finder = Finder(self)
-        finder.rejected = []
-        found = [(text, finder.nodes(text)) for text in texts]
-        self._forms(found, finder.rejected)
-        self._edges(found)
+        """Weights from a list of texts, by the counts that train() takes over a table."""
+        uses: Counter = Counter()
+        for text in texts:
+            _count_uses(text, uses)
+        first: dict[str | None, list] = defaultdict(list)
+        for (a, f, v), n in uses.items():
+            first[a].append((f, v, n))
+        self.shapes(first.pop(None, []))
+        rows = list(first.items())
+        for step in range(_STEPS):
+            counts: dict = {}
+            for a, features in rows:
+                self.tally(features, step == 0, counts)
+            self.weigh([(f, v, y, n) for (f, v), (y, n) in counts.items()])
+        self.believe([(a, *self.about(features)) for a, features in rows])
+        finder = Finder(self, training=True)
+        found = [(text, *finder.candidates(text)) for text in texts]
+        forms, edges = Counter(), Counter()
+        for text, nodes, rejected in found:
+            _count_forms(text, nodes, rejected, self.lift, forms)
+        self.forms(forms)
+        for text, nodes, _ in found:
+            _count_edges(text, finder.scored(text, nodes, self.lift), edges)
+        self.edges(edges)
         return self
 
-    def _forms(self, found: list[tuple[str, list[Node]]], rejected: list[tuple[str, int, int]]) -> None:
-        """Log odds of the features of addresses and e-mail addresses.
+    def forms(self, counts: Counter) -> None:
+        """Log odds of the features of addresses and e-mail addresses, from counts of kind, whether it is one, and feature; None counts the matches.
 
         Against addresses stand the matches of their patterns without a capital
         letter ("3 plants on the way"), against e-mail addresses the names.
         """
-        for kind, features, against in (("address", _address_features, rejected), ("email", _email_features, [(text, n.start, n.end) for text, held in found for n in held if n.kinds == ("name",)])):
-            nodes = [(n, features(text, n.start, n.end)) for text, held in found for n in held if n.kinds == (kind,)]
-            yes, no = Counter(x for _, f in nodes for x in f), Counter(x for r in against for x in features(*r))
-            if len(nodes) >= 20 and len(against) >= 20:
-                self.form[kind] = {x: round(max(-1.5, min(1.5, math.log((yes[x] + 1) / (len(nodes) + 2)) - math.log((no[x] + 1) / (len(against) + 2)))), 3) for x in yes if yes[x] + no[x] >= 5}
-            for n, f in nodes:
-                n.scores[0] = _BASE[kind] + sum([self.form[kind].get(x, 0.0) for x in f])
-
-    def _edges(self, found: list[tuple[str, list[Node]]]) -> None:
+        for kind in self.form:
+            n_yes, n_no = counts[kind, True, None], counts[kind, False, None]
+            if n_yes >= 20 and n_no >= 20:
+                yes, no = ({x: n for (k, is_one, x), n in counts.items() if k == kind and is_one == one and x is not None} for one in (True, False))
+                self.form[kind] = {x: round(max(-1.5, min(1.5, math.log((n + 1) / (n_yes + 2)) - math.log((no.get(x, 0) + 1) / (n_no + 2)))), 3) for x, n in yes.items() if n + no.get(x, 0) >= 5}
+
+    def edges(self, counts: Counter) -> None:
         """The tables of potentials, by pseudo-likelihood on the weak labels.
 
-        A node counts as a target if it has a weak label, and then without the
-        evidence of that label, or if its own potentials leave little doubt.
-        Deviations from the prior tables are penalised, so tables of which the
-        sample says little stay what they were.
+        counts has the nodes to be predicted, by their own potentials, label and
+        neighbours' labels. Deviations from the prior tables are penalised, so
+        tables of which the documents say little stay what they were.
         """
-        own: list[list[float]] = []
-        label: list[int] = []
-        target: list[bool] = []
-        edges: dict[str, list[tuple[int, int]]] = {sort: [] for sort in SORTS}
-        for text, nodes in found:
-            begin = len(own)
-            for n in nodes:
-                bare, weak = _without_evidence(text, n)
-                row = [-1e9] * len(LABELS)
-                row[0] = 0.0
-                for k, x in zip(n.labels[1:], bare):
-                    row[k] = x
-                own.append(row)
-                top = max(n.scores)
-                label.append(weak if weak is not None else n.labels[1 + n.scores.index(top)] if top > 0 else 0)
-                target.append(weak is not None or abs(top) > 2.0)
-            for i, j, sort in _linked(nodes):
-                edges[sort].append((begin + i, begin + j))
-        if not own:
+        if not counts:
             return
-        u, y, on = np.array(own), np.array(label), np.array(target)
-        ends = {sort: np.array(e, np.int64).reshape(-1, 2) for sort, e in edges.items()}
+        nodes = sorted(counts, key=repr)
+        own, sure, n = np.full((len(nodes), len(LABELS)), -1e9), np.zeros((len(nodes), len(LABELS))), np.array([counts[x] for x in nodes], float)
+        near = {sort: np.zeros((len(nodes), len(LABELS))) for sort in SORTS}
+        for i, (potentials, y, beside, on) in enumerate(nodes):
+            own[i, 0], sure[i, y] = 0.0, float(on)
+            for k, x in potentials:
+                own[i, k] = x
+            for sort, k, times in beside:
+                near[SORTS[sort]][i, k] += times
+        on = sure.sum(axis=1, keepdims=True) * n[:, None]
+        # Each edge is met from both its ends.
+        lengths = {sort: float((near[sort].sum(axis=1) * n).sum() / 2) for sort in SORTS}
         prior = {sort: np.array(t) for sort, t in self.tables.items()}
         tables = {sort: t.copy() for sort, t in prior.items()}
-        sure = np.eye(len(LABELS))[y]
         for _ in range(40):
-            field = u.copy()
-            for sort, e in ends.items():
-                np.add.at(field, e[:, 0], tables[sort][:, y[e[:, 1]]].T)
-                np.add.at(field, e[:, 1], tables[sort][:, y[e[:, 0]]].T)
+            field = own + sum(near[sort] @ tables[sort] for sort in SORTS)
             p = np.exp(field - field.max(axis=1, keepdims=True))
-            rest = (sure - p / p.sum(axis=1, keepdims=True)) * on[:, None]
-            for sort, e in ends.items():
-                if len(e):
-                    step = rest[e[:, 0]].T @ sure[e[:, 1]] + rest[e[:, 1]].T @ sure[e[:, 0]]
-                    tables[sort] += 0.5 * ((step + step.T) / (len(e) + 20) - 0.05 * (tables[sort] - prior[sort]))
+            rest = (sure - p / p.sum(axis=1, keepdims=True)) * on
+            for sort in SORTS:
+                if lengths[sort]:
+                    step = rest.T @ near[sort]
+                    tables[sort] += 0.5 * ((step + step.T) / (lengths[sort] + 20) - 0.05 * (tables[sort] - prior[sort]))
         self.tables = {sort: np.clip(t, prior[sort] - 2, prior[sort] + 2).round(3).tolist() for sort, t in tables.items()}
         self._measure()
 
-    def _names(self, texts: list[str]) -> None:
-        seen: dict[str, list] = defaultdict(list)
-        seeds: Counter[str] = Counter()
-        for text in texts:
-            for m in _CAPITAL.finditer(text):
-                first, second = m[1], m[2]
-                # Words in capitals throughout tell nothing about names.
-                if not (first[0].isupper() and second[0].isupper()) or first.isupper() or len(second) < 3:
-                    continue
-                key = first.lower()
-                left, right = _beside(text, m.start(), m.end(2))
-                if len(seen[key]) < 60:
-                    seen[key].append((second.lower(), left, right))
-                if _INTRO.search(text[max(0, m.start() - 24) : m.start()]):
-                    seeds[key] += 1
-        belief = {a: 3.0 if seeds[a] else -2.0 for a in seen}
-        for _ in range(6):
-            counts = {f: (Counter(), Counter()) for f in ("ending", "left", "right", "second")}
-            for a, uses in seen.items():
-                p = 1 / (1 + math.exp(-belief[a]))
-                for second in {u[0] for u in uses}:
-                    for f, v in (("ending", second[-4:]), ("ending", second[-3:]), ("ending", second[-2:]), ("second", second)):
-                        counts[f][0][v] += p
-                        counts[f][1][v] += 1 - p
-                for _, left, right in uses:
-                    for f, v in (("left", left), ("right", right)):
-                        counts[f][0][v] += p
-                        counts[f][1][v] += 1 - p
-            for f, (yes, no) in counts.items():
-                n_yes, n_no = sum(yes.values()) + 1, sum(no.values()) + 1
-                setattr(self, f, {v: max(-3.0, min(3.0, math.log((yes[v] + 0.5) / n_yes) - math.log((no[v] + 0.5) / n_no))) for v in set(yes) | set(no) if yes[v] + no[v] >= (3 if f == "second" else 1.5)})
-            for a, uses in seen.items():
-                seconds = {u[0] for u in uses}
-                about = sum(self._surname(s) for s in seconds) / len(seconds) + sum(self.left.get(u[1], 0) + self.right.get(u[2], 0) for u in uses) / len(uses)
-                # A given name goes before many different surnames.
-                belief[a] = max(-6.0, min(6.0, -2.0 + 1.3 * min(4.0, math.log2(1 + len(seconds))) * about + min(3.0, 1.5 * seeds[a])))
-        self.belief = {a: round(b, 2) for a, b in belief.items()}
-        self.given = {a: round(b, 2) for a, b in belief.items() if b > 1 and (len(seen[a]) >= 2 or seeds[a])}
+    def tally(self, features: list[tuple[str, str, int]], begin: bool, counts: dict) -> None:
+        """Adds the features of a first word to the counts for and against names, in parts by the belief in it."""
+        b = (3.0 if any([f == "seed" for f, _, _ in features]) else -2.0) if begin else self.about(features)[0]
+        p = 1 / (1 + math.exp(-b))
+        for f, v, n in features:
+            if f == "seed":
+                continue
+            for g, x in (("ending", v[-4:]), ("ending", v[-3:]), ("ending", v[-2:]), ("second", v)) if f == "second" else ((f, v),):
+                m = 1 if f == "second" else n
+                for key in ((g, x), (g, None)):
+                    c = counts.get(key)
+                    if c is None:
+                        c = counts[key] = [0.0, 0.0]
+                    c[0] += p * m
+                    c[1] += (1 - p) * m
+
+    def weigh(self, counts: list[tuple[str, str | None, float, float]]) -> None:
+        """Log odds of the features of names; the counts of None are those of all."""
+        total = {f: (yes + 1, no + 1) for f, v, yes, no in counts if v is None}
+        for f in ("ending", "left", "right", "second"):
+            setattr(self, f, {})
+        for f, v, yes, no in counts:
+            if v is not None and yes + no >= _SUPPORT[f]:
+                # A prior in proportion to the totals, so that few counts say little.
+                part = total[f][0] / (total[f][0] + total[f][1])
+                w = max(-3.0, min(3.0, math.log((yes + part) / total[f][0]) - math.log((no + 1 - part) / total[f][1])))
+                # Surnames only count against.
+                if f != "second" or w < 0:
+                    getattr(self, f)[v] = w
+
+    def about(self, features: list[tuple[str, str, int]]) -> tuple[float, int, int, int]:
+        """The belief in a first word, and its numbers of second words, of uses and of introductions."""
+        seconds, ends, uses, beside, seeds = 0, 0.0, 0, 0.0, 0
+        for f, v, n in features:
+            if f == "second":
+                seconds += 1
+                ends += self._surname(v)
+            elif f == "left":
+                uses += n
+                beside += n * self.left.get(v, 0.0)
+            elif f == "right":
+                beside += n * self.right.get(v, 0.0)
+            else:
+                seeds += n
+        # A given name goes before many different surnames.
+        about = ends / max(1, seconds) + beside / max(1, uses)
+        return max(-6.0, min(6.0, -2.0 + 1.3 * min(4.0, math.log2(1 + seconds)) * about + min(3.0, 1.5 * seeds))), seconds, uses, seeds
+
+    def believe(self, rows: list[tuple[str, float, int, int, int]]) -> None:
+        """Takes over the beliefs in first words. One use says no more than unseen() does."""
+        self.belief = {a: round(b, 2) for a, b, _, uses, seeds in rows if uses > 1 or seeds}
+        self.given = {a: round(b, 2) for a, b, seconds, _, seeds in rows if b > 1 and (seconds >= 2 or seeds)}
 
     def unseen(self, about: float) -> float:
         """The belief in a given name that the sample does not hold, from one use: what it says of the surname and the words beside."""
@@ -331,14 +353,11 @@ class Weights:
         found = [self.ending[e] for e in (word[-4:], word[-3:], word[-2:]) if e in self.ending]
         return (sum(found) / len(found) if found else 0.0) + min(0.0, self.second.get(word, 0.0))
 
-    def _shapes(self, texts: list[str]) -> None:
+    def shapes(self, rows: list[tuple[str, str, int]]) -> None:
+        """Log odds of the kinds that words before numbers name, by the shape of the numbers."""
         counts: dict[str, Counter[str]] = defaultdict(Counter)
-        total: Counter[str] = Counter()
-        for text in texts:
-            for start, _, shape in _numbers(text):
-                if cue := _cue(text, start):
-                    counts[shape][cue] += 1
-                    total[cue] += 1
+        for shape, cue, n in rows:
+            counts[shape][cue] += n
         for shape, c in counts.items():
             n = sum(c.values())
             self.shape[shape] = {k: math.log((c[k] + 0.2) / (n - c[k] + 0.2)) for k in ("phone", "id_number", "other")}
@@ -369,15 +388,72 @@ def _beside(text: str, start: int, end: int) -> tuple[str, str]:
     return before, (m[1].lower() or "|") if m else "|"
 
 
+def _count_uses(text: str, uses: Counter) -> None:
+    """Adds what a text says of first words of pairs and, under None, of the shapes of numbers."""
+    for m in _CAPITAL.finditer(text):
+        first, second = m[1], m[2]
+        # Words in capitals throughout tell nothing about names.
+        if not (first[0].isupper() and second[0].isupper()) or first.isupper() or len(second) < 3:
+            continue
+        key = first.lower()
+        left, right = _beside(text, m.start(), m.end(2))
+        uses[key, "second", second.lower()] += 1
+        uses[key, "left", left] += 1
+        uses[key, "right", right] += 1
+        if _INTRO.search(text[max(0, m.start() - 24) : m.start()]):
+            uses[key, "seed", ""] += 1
+    for start, _, shape in _numbers(text):
+        if cue := _cue(text, start):
+            uses[None, shape, cue] += 1
+
+
+def _count_forms(text: str, nodes: list[tuple], rejected: list[tuple[int, int]], lift: float, counts: Counter) -> None:
+    """Adds the features of addresses and e-mail addresses, and of what stands against them."""
+    for kind, features, against in (("address", _address_features, rejected), ("email", _email_features, [n[:2] for n in nodes if n[2] >= 3 and n[3][0] > -lift])):
+        for one, spans in ((True, [n[:2] for n in nodes if _SETS[n[2]] == (kind,)]), (False, against)):
+            for start, end in spans:
+                counts[kind, one, None] += 1
+                for x in features(text, start, end):
+                    counts[kind, one, x] += 1
+
+
+def _count_edges(text: str, nodes: list[Node], counts: Counter) -> None:
+    """Adds the nodes of a text that have neighbours, as Weights.edges() takes them.
+
+    A node is to be predicted if it has a weak label, and then without the
+    evidence of that label, or if its own potentials leave little doubt.
+    Potentials are counted to a tenth.
+    """
+    edges = _linked(nodes)
+    if not edges:
+        return
+    beside: list[Counter] = [Counter() for _ in nodes]
+    label, seen = [], []
+    for n in nodes:
+        bare, weak = _without_evidence(text, n)
+        top = max(n.scores)
+        label.append(weak if weak is not None else n.labels[1 + n.scores.index(top)] if top > 0 else 0)
+        seen.append((tuple([(k, round(max(-12.0, min(12.0, x)), 1)) for k, x in zip(n.labels[1:], bare)]), weak is not None or abs(top) > 2.0))
+    for i, j, sort in edges:
+        beside[i][SORTS.index(sort), label[j]] += 1
+        beside[j][SORTS.index(sort), label[i]] += 1
+    for y, (potentials, on), c in zip(label, seen, beside):
+        if c:
+            # Of the others only their edges count.
+            counts[potentials if on else (), y, tuple(sorted([(*k, n) for k, n in c.items()])), on] += 1
+
+
 class Finder:
     """Finds the personal data of a text by the skip-chain field over its candidate stretches."""
 
-    def __init__(self, weights: Weights):
+    def __init__(self, weights: Weights, training: bool = False):
         self.w, self.automaton = weights, weights.automaton()
+        #: An edge cannot lift a name of a lower score; training can still raise this.
+        self.lift = weights.lift + 4.0 * training
         #: Scores of surnames met before.
         self.surnames: dict[str, float] = {}
         #: In training, the places where a street's pattern matched without a capital letter.
-        self.rejected: list[tuple[str, int, int]] | None = None
+        self.rejected: list[tuple[int, int]] | None = [] if training else None
 
     def nodes(self, text: str) -> list[Node]:
         out: list[Node] = []
@@ -409,6 +485,24 @@ class Finder:
         out.sort(key=lambda n: (n.start, -n.end))
         return out
 
+    def candidates(self, text: str) -> tuple[list[tuple], list[tuple[int, int]]]:
+        """In training: the text's nodes as plain tuples, and the matches of streets' patterns without a capital letter."""
+        self.rejected = []
+        return [(n.start, n.end, 4 if n.unlearnt else _SETS.index(n.kinds), n.scores, n.keys) for n in self.nodes(text)], self.rejected
+
+    def scored(self, text: str, nodes: list[tuple], lift: float) -> list[Node]:
+        """The nodes again, with the scores of trained forms, without names that no edge can lift."""
+        out = []
+        for start, end, kind, scores, keys in nodes:
+            if kind == 0:
+                scores = [self._form("email", _email_features(text, start, end))]
+            elif kind == 1:
+                scores = [self._form("address", _address_features(text, start, end))]
+            elif kind == 4 and scores[0] <= -lift:
+                continue
+            out.append(Node(start, end, _SETS[kind], scores, keys))
+        return out
+
     def _form(self, kind: str, features: list[str]) -> float:
         weights = self.w.form[kind]
         return _BASE[kind] + sum([weights.get(f, 0.0) for f in features])
@@ -420,7 +514,7 @@ class Finder:
                     continue
                 if not any(map(str.isupper, m[1])):
                     if self.rejected is not None:
-                        self.rejected.append((text, m.start(1), m.end(1)))
+                        self.rejected.append((m.start(1), m.end(1)))
                 else:
                     if m.span(1) not in out:
                         street = "street " + re.sub(r"[\W\d]+", " ", m[1]).strip().lower()
@@ -503,14 +597,21 @@ class Finder:
         if "." in text[pair.end(1) : pair.start(2)]:
             score += 2.0  # an initial
         # An edge cannot lift what is lower.
-        if score > -w.lift:
-            out.append(Node(start, end, ("name",), [score], (surname, key)))
+        if score > -self.lift:
+            out.append(Node(start, end, ("name",), [score], (surname, key), True))
 
     def find(self, text: str | None) -> list[tuple[int, int, str]]:
         """Start, end and kind of each piece of personal data, in order and apart from each other."""
         if not text:
             return []
-        nodes = self.nodes(text)
+        return self.decided(text, self.nodes(text))
+
+    def found(self, text: str | None, held: bytes | None) -> list[tuple[int, int, str]]:
+        """What find() gives, from the candidates if they are held."""
+        return self.find(text) if held is None else self.decided(text, self.scored(text, marshal.loads(held)[0], self.lift))
+
+    def decided(self, text: str, nodes: list[Node]) -> list[tuple[int, int, str]]:
+        """What find() gives, from the text's nodes."""
         if not nodes:
             return []
         labels = self._infer(nodes)
@@ -630,61 +731,155 @@ def _best(node: Node, u: list[float]) -> tuple[str | None, float]:
     return (node.kinds[max(range(len(u) - 1), key=lambda k: u[1 + k])] if belief > 0 else None), belief
 
 
-def train(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Weights:
-    """Weights from at most sample documents, those with the smallest hashes of their keys."""
-    texts = df.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(key)).alias("_h"), F.col(text).alias("_t"))
-    n = max(1, texts.count())
-    few = texts.where((F.col("_h").bitwiseAND(0xFFFFFF) / float(0x1000000)) < min(1.0, 1.2 * sample / n)).orderBy("_h", "_t").limit(sample)
-    return Weights().train([r["_t"] for r in few.collect()])
+def _counted(df: DataFrame, columns: list[str], begin: Callable, schema: str, flat: Callable = tuple) -> DataFrame:
+    """The counts of a table, by task: begin() gives a function that adds a row of the columns to a Counter, flat makes its keys columns."""
+    names, kinds = zip(*[part.split() for part in schema.split(", ")])
+    types = [{"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[k] for k in kinds]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, counts = begin(), Counter()
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                step(row, counts)
+            if len(counts) > _HELD:
+                yield _arrow(counts, flat, types, names)
+                counts.clear()
+        if counts:
+            yield _arrow(counts, flat, types, names)
+
+    return df.select(*columns).mapInArrow(work, schema)
+
+
+def _arrow(counts: Counter, flat: Callable, types: list, names: tuple[str, ...]) -> pa.RecordBatch:
+    rows = [(*flat(k), *(v if isinstance(v, list) else [v])) for k, v in counts.items()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+
+def _names(uses: DataFrame, weights: Weights) -> None:
+    """Expectation maximisation over all first words: each is one row, what it adds to the counts is summed by feature."""
+    spark = uses.sparkSession
+    features = written(uses.groupBy("a").agg(F.collect_list("f").alias("f"), F.collect_list("v").alias("v"), F.collect_list("n").alias("n")), "first")
+    rounds = Rounds(spark, "features")
+    for step in range(_STEPS):
+        sent = spark.sparkContext.broadcast(weights)
+
+        def add(sent=sent, begin: bool = step == 0) -> Callable:  # noqa: ANN001
+            return lambda row, counts: sent.value.tally(list(zip(*row)), begin, counts)
+
+        parts = _counted(features, ["f", "v", "n"], add, "f string, v string, y double, n double")
+        counts = rounds.next(parts.groupBy("f", "v").agg(F.sum("y").alias("y"), F.sum("n").alias("n")))
+        total = {r.f: (r.y + 1, r.n + 1) for r in counts.where("v IS NULL").collect()}
+        support = F.create_map(*[F.lit(x) for kv in _SUPPORT.items() for x in kv])[F.col("f")]
+        kept = counts.where(F.col("v").isNull() | (F.col("y") + F.col("n") >= support))
+        if "second" in total:
+            yes, no = total["second"]
+            kept = kept.where((F.col("f") != "second") | F.col("v").isNull() | ((F.col("y") + 0.5) / yes <= (F.col("n") + 0.5) / no))
+        weights.weigh([tuple(r) for r in kept.collect()])
+    sent = spark.sparkContext.broadcast(weights)
+
+    def believed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(a, *sent.value.about(list(zip(*x)))) for a, *x in zip(*[c.to_pylist() for c in batch.columns])]
+            rows = [r for r in rows if r[3] > 1 or r[4]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))], ["a", "b", "s", "u", "i"])
+
+    weights.believe([tuple(r) for r in features.select("a", "f", "v", "n").mapInArrow(believed, "a string, b double, s bigint, u bigint, i bigint").collect()])
+
+
+def train(df: DataFrame, key: str, text: str) -> tuple[Weights, DataFrame]:
+    """Weights from all documents, and the documents with the candidates found in them, in the column _n.
+
+    Every count is over the whole table. The candidates are kept, so that texts
+    are searched for them once; blank texts have none.
+    """
+    spark = df.sparkSession
+    weights = Weights()
+
+    def uses() -> Callable:
+        return lambda row, counts: _count_uses(row[0], counts) if row[0] else None
+
+    counted = written(_counted(df, [text], uses, "a string, f string, v string, n bigint").groupBy("a", "f", "v").agg(F.sum("n").alias("n")), "uses")
+    weights.shapes([(r.f, r.v, r.n) for r in counted.where("a IS NULL").collect()])
+    _names(counted.where("a IS NOT NULL"), weights)
+    named = spark.sparkContext.broadcast(weights)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(named.value, training=True)
+        for batch in batches:
+            held = [marshal.dumps(finder.candidates(t)) if t else None for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held, pa.binary())], [key, text, "_n"])
+
+    kind = df.schema[key].dataType.simpleString()
+    found = written(df.select(key, text).mapInArrow(search, f"`{key}` {kind}, `{text}` string, _n binary"), "candidates")
+
+    def forms() -> Callable:
+        return lambda row, counts: _count_forms(row[0], *marshal.loads(row[1]), named.value.lift, counts) if row[1] else None
+
+    parts = _counted(found, [text, "_n"], forms, "k string, one string, x string, n bigint", lambda k: (k[0], str(k[1]), k[2]))
+    whole = parts.groupBy("k", "one", "x").agg(F.sum("n").alias("n"))
+    common = whole.groupBy("k", "x").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("one") == "True", F.col("n")).otherwise(0)).alias("yes")).where("x IS NULL OR n >= 5")
+    weights.forms(Counter({(r.k, one, r.x): n for r in common.collect() for one, n in ((True, r.yes), (False, r.n - r.yes)) if n}))
+    formed = spark.sparkContext.broadcast(weights)
+
+    def edges() -> Callable:
+        finder = Finder(formed.value)
+        return lambda row, counts: _count_edges(row[0], finder.scored(row[0], marshal.loads(row[1])[0], finder.lift), counts) if row[1] else None
+
+    parts = _counted(found, [text, "_n"], edges, "k string, n bigint", lambda k: (repr(k),))
+    weights.edges(Counter({ast.literal_eval(r.k): r.n for r in parts.groupBy("k").agg(F.sum("n").alias("n")).collect()}))
+    return weights, found
+
+
+def _held(batch: pa.RecordBatch) -> Iterator[tuple[str | None, bytes | None]]:
+    """Texts and, if there is a third column, their candidates."""
+    texts = batch.column(1).to_pylist()
+    return zip(texts, batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(texts))
 
 
 def personal_data(df: DataFrame, key: str, text: str, weights: Weights) -> DataFrame:
     """Columns key, start, end (code points), kind and val of every piece of personal data.
 
     Null, empty and blank texts have none; rows that repeat stay repeated;
-    whole texts are read.
+    whole texts are read. Candidates of train() are taken from the column _n.
     """
-    sent = df.sparkSession.sparkContext.broadcast(weights)
+    sent, kept = df.sparkSession.sparkContext.broadcast(weights), "_n" in df.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(sent.value)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for i, value in enumerate(batch.column(1)):
-                t = value.as_py()
-                for start, end, kind in finder.find(t):
+            for i, (t, nodes) in enumerate(_held(batch)):
+                for start, end, kind in finder.found(t, nodes):
                     for column, x in zip(rows, (i, start, end, kind, t[start:end])):
                         column.append(x)
             keys = batch.column(0).take(pa.array(rows[0], pa.int32()))
             yield pa.RecordBatch.from_arrays([keys, pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.string()), pa.array(rows[4], pa.string())], [key, "start", "end", "kind", "val"])
 
-    return df.select(key, text).mapInArrow(work, f"`{key}` {df.schema[key].dataType.simpleString()}, start int, end int, kind string, val string")
+    return df.select(key, text, *["_n"] * kept).mapInArrow(work, f"`{key}` {df.schema[key].dataType.simpleString()}, start int, end int, kind string, val string")
 
 
 def redacted(df: DataFrame, key: str, text: str, weights: Weights) -> DataFrame:
     """Columns key and text with each piece of personal data replaced by its placeholder; null texts stay null."""
-    sent = df.sparkSession.sparkContext.broadcast(weights)
+    sent, kept = df.sparkSession.sparkContext.broadcast(weights), "_n" in df.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(sent.value)
         for batch in batches:
             out = []
-            for value in batch.column(1):
-                t = value.as_py()
-                for start, end, kind in reversed(finder.find(t)):
+            for t, nodes in _held(batch):
+                for start, end, kind in reversed(finder.found(t, nodes)):
                     t = t[:start] + PLACEHOLDER[kind] + t[end:]
                 out.append(t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [key, text])
 
-    return df.select(key, text).mapInArrow(work, f"`{key}` {df.schema[key].dataType.simpleString()}, `{text}` string")
+    return df.select(key, text, *["_n"] * kept).mapInArrow(work, f"`{key}` {df.schema[key].dataType.simpleString()}, `{text}` string")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    found = personal_data(documents, "doc_id", "text", train(documents, "doc_id", "text"))
-    return found.select("doc_id", "kind", "val").distinct()
+    weights, documents = train(table(spark, folder, "documents"), "doc_id", "text")
+    return personal_data(documents, "doc_id", "text", weights).select("doc_id", "kind", "val").distinct()
 
 
 def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    return redacted(documents, "doc_id", "text", train(documents, "doc_id", "text"))
+    weights, documents = train(table(spark, folder, "documents"), "doc_id", "text")
+    return redacted(documents, "doc_id", "text", weights)

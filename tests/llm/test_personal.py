@@ -127,3 +127,17 @@ def test_elimination_agrees_with_propagation_everywhere(finder) -> None:
         fixed = finder._eliminate(nodes, [[0.0, *n.scores] for n in nodes], at)
         # What elimination settles on a kind is so in the best labelling of all.
         assert all(f < 1 or f == x for f, x in zip(fixed, best[1]))
+
+
+def test_all_documents_are_trained_on(spark) -> None:
+    rng = random.Random(6)
+    rare = [f"Q{a}{b}lin" for a in "aeiou" for b in "bdfgklmn"]
+    texts = [document(rng) for _ in range(2500)] + [f"My name is {name} Korfield. Mail q{i}@b.test." for i, name in enumerate(rare)]
+    df = spark.createDataFrame(list(enumerate([*texts, None, ""])), "id bigint, text string").repartition(4)
+    weights, found = personal.train(df, "id", "text")
+    assert {name.lower() for name in rare} <= set(weights.belief)
+    whole = personal.Weights().train(texts)
+    assert (weights.given, weights.belief, weights.shape, weights.form) == (whole.given, whole.belief, whole.shape, whole.form)
+    finder = personal.Finder(weights)
+    rows = sorted(tuple(r) for r in personal.personal_data(found, "id", "text", weights).select("id", "start", "end", "kind").collect())
+    assert rows == sorted((i, *x) for i, t in enumerate(texts) for x in finder.find(t))
