@@ -206,6 +206,8 @@ class Weights:
         self.right: dict[str, float] = {}
         self.second: dict[str, float] = {}
         self.shape: dict[str, dict[str, float]] = {}
+        #: Introductions a use, over all first words.
+        self.rate = 0.0
         #: Belief of every first word of a pair in the sample, given name or not.
         self.belief: dict[str, float] = {}
         #: Forms of addresses and of e-mail addresses, feature by feature.
@@ -229,6 +231,7 @@ class Weights:
             first[a].append((f, v, n))
         self.shapes(first.pop(None, []))
         rows = list(first.items())
+        self.rate = sum(n for (_, f, _), n in uses.items() if f == "seed") / max(1, sum(n for (_, f, _), n in uses.items() if f == "left"))
         for step in range(_STEPS):
             counts: dict = {}
             for a, features in rows:
@@ -294,7 +297,10 @@ class Weights:
 
     def tally(self, features: list[tuple[str, str, int]], begin: bool, counts: dict) -> None:
         """Adds the features of a first word to the counts for and against names, in parts by the belief in it."""
-        b = (3.0 if any([f == "seed" for f, _, _ in features]) else -2.0) if begin else self.about(features)[0]
+        if begin:
+            b = 3.0 if self.introduced(sum([n for f, _, n in features if f == "seed"]), sum([n for f, _, n in features if f == "left"])) > 0 else -2.0
+        else:
+            b = self.about(features)[0]
         p = 1 / (1 + math.exp(-b))
         for f, v, n in features:
             if f == "seed":
@@ -322,6 +328,10 @@ class Weights:
                 if f != "second" or w < 0:
                     getattr(self, f)[v] = w
 
+    def introduced(self, seeds: int, uses: int) -> float:
+        """What introductions say for a first word: nothing where a word so common would be introduced more often were it a name."""
+        return max(0.0, min(3.0, 1.5 * seeds, 3.0 * seeds - self.rate * uses))
+
     def about(self, features: list[tuple[str, str, int]]) -> tuple[float, int, int, int]:
         """The belief in a first word, and its numbers of second words, of uses and of introductions."""
         seconds, ends, uses, beside, seeds = 0, 0.0, 0, 0.0, 0
@@ -338,7 +348,7 @@ class Weights:
                 seeds += n
         # A given name goes before many different surnames.
         about = ends / max(1, seconds) + beside / max(1, uses)
-        return max(-6.0, min(6.0, -2.0 + 1.3 * min(4.0, math.log2(1 + seconds)) * about + min(3.0, 1.5 * seeds))), seconds, uses, seeds
+        return max(-6.0, min(6.0, -2.0 + 1.3 * min(4.0, math.log2(1 + seconds)) * about + self.introduced(seeds, uses))), seconds, uses, seeds
 
     def believe(self, rows: list[tuple[str, float, int, int, int]]) -> None:
         """Takes over the beliefs in first words. One use says no more than unseen() does."""
@@ -800,6 +810,8 @@ def train(df: DataFrame, key: str, text: str) -> tuple[Weights, DataFrame]:
 
     counted = written(_counted(df, [text], uses, "a string, f string, v string, n bigint").groupBy("a", "f", "v").agg(F.sum("n").alias("n")), "uses")
     weights.shapes([(r.f, r.v, r.n) for r in counted.where("a IS NULL").collect()])
+    total = {r.f: r.n for r in counted.where("a IS NOT NULL AND f IN ('seed', 'left')").groupBy("f").agg(F.sum("n").alias("n")).collect()}
+    weights.rate = total.get("seed", 0) / max(1, total.get("left", 0))
     _names(counted.where("a IS NOT NULL"), weights)
     named = spark.sparkContext.broadcast(weights)
 

@@ -141,3 +141,12 @@ def test_all_documents_are_trained_on(spark) -> None:
     finder = personal.Finder(weights)
     rows = sorted(tuple(r) for r in personal.personal_data(found, "id", "text", weights).select("id", "start", "end", "kind").collect())
     assert rows == sorted((i, *x) for i, t in enumerate(texts) for x in finder.find(t))
+
+
+def test_a_common_word_introduced_by_chance_is_no_given_name() -> None:
+    rng = random.Random(7)
+    texts = [document(rng) for _ in range(600)] + [f"The {word(rng)}{rng.choice(SUFFIX)} project moved, said the {word(rng)} office." for _ in range(1500)]
+    texts += ["This is\nThe Korfield plan.", "I am\nThe Belstock plan."]
+    weights = personal.Weights().train(texts)
+    assert "the" not in weights.given and set(weights.given) >= {g.lower() for g in GIVEN}
+    assert found(personal.Finder(weights), "The Lumonworth project moved, said Orla Korfield.") == {("name", "Orla Korfield")}
