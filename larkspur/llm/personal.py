@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,10 @@ from larkspur.sources.tables import Rounds, table, written
 
 #: Rounds of expectation maximisation, and the counts from which a feature of names has a weight.
 _STEPS, _SUPPORT = 6, {"ending": 1.5, "left": 1.5, "right": 1.5, "second": 3.0}
+#: What sums of parts may be less than their whole number.
+_ROUNDING = 1e-6
+_USE = ["a", "second", "left", "right", "seed"]
+_WORD_COLUMNS = ["a", "second_h", "second_e4", "second_e3", "second_e2", "left_h", "left_n", "right_h", "right_n", "uses", "seeds", "f", "h", "v"]
 #: Counts that a task holds before it hands them on.
 _HELD = 200_000
 #: Surnames whose scores a task keeps, at most.
@@ -68,7 +73,10 @@ PARTICLES = "de la las los del dos das da do di du des le van von der den zu zum
 _LETTER = r"[^\W\d_]"
 _WORD = rf"{_LETTER}+(?:[’'ʼ\-‑]{_LETTER}+)*"
 _PART = r"(?:" + "|".join(PARTICLES.split()) + r")"
-_CAPITAL = re.compile(rf"(?<![\w’'\-])({_LETTER}{_LETTER}+(?:-{_LETTER}+)?)(?=(?:[ \u00a0\u2009\u202f]{_LETTER}\.)*(?:[ \u00a0\u2009\u202f]{_PART}){{0,3}}[ \u00a0\u2009\u202f]({_WORD}))")
+# Every capital letter of the first plane, and all of the others, of which isupper() is asked.
+_ANY_UPPER = "[" + "".join(c for c in map(chr, range(0x10000)) if c.isupper() and c.isalpha()) + "\U00010000-\U0010ffff]"
+# A pattern that begins with a set of characters is searched for faster than one that begins with a look back.
+_CAPITAL = re.compile(rf"({_ANY_UPPER}(?<![\w’'\-].){_LETTER}+(?:-{_LETTER}+)?)(?=(?:[ \u00a0\u2009\u202f]{_LETTER}\.)*(?:[ \u00a0\u2009\u202f]{_PART}){{0,3}}[ \u00a0\u2009\u202f]((?={_ANY_UPPER}){_WORD}))")
 _UPPER = "[" + "".join(c for c in map(chr, range(0x250)) if c.isupper()) + "\u0386-\u03ab\u0400-\u042f]"
 # Two capitalised words as a name has them, whatever the words.
 _PAIR = re.compile(rf"({_UPPER}(?<![\w’'\-@.].){_LETTER}+(?:-{_LETTER}+)?)(?=(?:[ \u00a0\u2009\u202f]{_LETTER}\.)*(?:[ \u00a0\u2009\u202f]{_PART}){{0,3}}[ \u00a0\u2009\u202f]+({_UPPER}(?:{_LETTER}|[’'ʼ\-‑](?={_LETTER}))+))")
@@ -76,8 +84,8 @@ _SURNAME = re.compile(rf"((?:[ \u00a0\u2009\u202f]+{_LETTER}\.)*(?:[ \u00a0\u200
 _BEFORE_COMMA = re.compile(rf"((?:{_LETTER}\.[ \u00a0]){{0,3}}(?:{_PART}[ \u00a0\u2009\u202f]){{0,3}}{_WORD}),[ \u00a0\u2009\u202f]+$", re.I)
 _BEFORE_BLANK = re.compile(rf"({_WORD})[ \u00a0\u2009\u202f]$")
 # The last words of what _INTRO matches, for a look before it is tried.
-_INTRO_ENDS = {x.split()[-1] for x in INTRODUCTIONS.split("|")} | {t.replace("\\.?", end).replace("\\.", ".") for t in TITLES.split("|") for end in ("", ".")}
-_LEFT = re.compile(r"(\w+)\W{1,3}$")
+_INTRO_ENDS = tuple({x.split()[-1] for x in INTRODUCTIONS.split("|")} | {t.replace("\\.?", end).replace("\\.", ".") for t in TITLES.split("|") for end in ("", ".")})
+_LEFT = re.compile(r".*(?<!\w)(\w+)[^\w\n|]{1,3}\Z", re.S)
 _RIGHT = re.compile(r"\W{0,2}(\w*)")
 _INTRO = re.compile(rf"(?:\b(?:{INTRODUCTIONS})|(?:^|[\s|])(?:{TITLES}))\s+$", re.I)
 
@@ -85,11 +93,12 @@ _AT = r"(?:@|[ \u00a0\u2009\u202f]@[ \u00a0\u2009\u202f]|[ \u00a0\u2009\u202f]?[
 _DOT = r"(?:\.|[ \u00a0\u2009\u202f]?[\[(]\s?(?:dot|\.)\s?[\])][ \u00a0\u2009\u202f]?)"
 _LOCAL, _LABEL = r"[A-Za-z0-9_%+](?:[A-Za-z0-9_%+.\-]*[A-Za-z0-9_%+])?", r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 _EMAIL = re.compile(rf"(?<![\w.+%-])(?:{_LOCAL}{_AT}{_LABEL}(?:(?:{_DOT}|[ \u00a0\u2009\u202f]dot[ \u00a0\u2009\u202f]){_LABEL})+|{_LOCAL}[ \u00a0\u2009\u202f]at[ \u00a0\u2009\u202f]{_LABEL}(?:[ \u00a0\u2009\u202f]dot[ \u00a0\u2009\u202f]{_LABEL})+)(?![\w@])", re.I)
+_EMAIL_LOOK = re.compile(r"at\s?[\])]")
 _EMAIL_SIGNS = re.compile(r"@|[\[(]\s?at\s?[\])]|\sat\s\S+\sdot\s", re.I)
 
-_NUMBER = re.compile(r"(?<![\w#/.,\-−+])(?:\+|\(\+?)?\d(?:[ \u00a0\u2009\u202f]?[()/.\-–]?[ \u00a0\u2009\u202f]?[()]?\d)+")
+_NUMBER = re.compile(r"[+(\d](?<![\w#/.,\-−+].)(?:(?<=\+)\d|(?<=\()\+?\d|(?<=\d))(?:[ \u00a0\u2009\u202f]?[()/.\-–]?[ \u00a0\u2009\u202f]?[()]?\d)+")
 # Forms of documents' numbers that hold letters.
-_LETTERED = re.compile(r"(?<![\w#\-])(?:[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]|[A-Z]{1,2} ?\d{7,8}|[A-Z]{6}\d\d[A-Z]\d\d[A-Z]\d{3}[A-Z]|\d{2}\.?\d{3}\.?\d{3}[ \-]?[A-Z]|[XYZ][ \-]?\d{7}[ \-]?[A-Z]|(?=[A-Z0-9]*\d[A-Z0-9]*\d)(?=[A-Z0-9]*[A-Z])[A-Z0-9]{9,10})(?![\w\-])")
+_LETTERED = re.compile(r"[A-Z\d](?<![\w#\-].)(?<=(?=((?:[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]|[A-Z]{1,2} ?\d{7,8}|[A-Z]{6}\d\d[A-Z]\d\d[A-Z]\d{3}[A-Z]|\d{2}\.?\d{3}\.?\d{3}[ \-]?[A-Z]|[XYZ][ \-]?\d{7}[ \-]?[A-Z]|(?=[A-Z0-9]*\d[A-Z0-9]*\d)(?=[A-Z0-9]*[A-Z])[A-Z0-9]{9,10})(?![\w\-]))).)")
 _DATE = re.compile(r"(?:19|20)\d\d[-./](?:\d\d?)[-./]\d\d?|\d\d?[-./]\d\d?[-./](?:19|20)\d\d|(?:19|20)\d\d\s?[-–]\s?(?:19|20)\d\d")
 _ADDITION = r"\d{1,4}(?:[ \u00a0\u2009\u202f]?(?:bis|ter|[a-dа-г]))?(?![\w])"
 _NAME_OF_STREET = rf"{_WORD}(?:[ \u00a0\u2009\u202f]{_WORD}){{0,2}}?"
@@ -142,13 +151,16 @@ def _cue(text: str, start: int) -> str | None:
 def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _NUMBER.finditer(text):
         v = m.group()
-        if v.count(")") > v.count("("):
+        if len(v) < 7 or v.count(")") > v.count("("):
             continue
         digits = sum(map(str.isdigit, v))
         if 7 <= digits <= 15 and not _DATE.fullmatch(v):
             yield m.start(), m.end(), _shape(v)
+    last = 0
     for m in _LETTERED.finditer(text):
-        yield m.start(), m.end(), _shape(m.group())
+        if m.start() >= last:
+            last = m.end(1)
+            yield m.start(), last, _shape(m[1])
 
 
 #: Belief in a match of the patterns of streets and of e-mail addresses before its features are looked at.
@@ -176,7 +188,7 @@ def _email_features(text: str, start: int, end: int) -> list[str]:
 def _without_evidence(text: str, node: Node) -> tuple[list[float], int | None]:
     """The node's potentials without the evidence that labels it, and that label; None if it has none."""
     if node.kinds == ("name",):
-        return ([node.scores[0] - 3.0], _LABEL_OF["name"]) if _INTRO.search(text[max(0, node.start - 24) : node.start]) else (node.scores, None)
+        return ([node.scores[0] - 3.0], _LABEL_OF["name"]) if _introduced(text, node.start) else (node.scores, None)
     if len(node.kinds) == 2 and (cue := _cue(text, node.start)):
         return [x - (3.5 if cue == k else -3.0) for k, x in zip(node.kinds, node.scores)], _LABEL_OF.get(cue, 0)
     return node.scores, None
@@ -223,13 +235,17 @@ class Weights:
 
     def train(self, texts: list[str]) -> Weights:
         """Weights from a list of texts, by the counts that train() takes over a table."""
-        uses: Counter = Counter()
+        uses, shapes = Counter(), Counter()
         for text in texts:
-            _count_uses(text, uses)
-        first: dict[str | None, list] = defaultdict(list)
+            for a, second, left, right, seed in _uses(text):
+                for f, v, n in (("second", second, 1), ("left", left, 1), ("right", right, 1), ("seed", "", seed)):
+                    if n:
+                        uses[a, f, v] += n
+            _count_shapes(text, shapes)
+        first: dict[str, list] = defaultdict(list)
         for (a, f, v), n in uses.items():
             first[a].append((f, v, n))
-        self.shapes(first.pop(None, []))
+        self.shapes([(*k, n) for k, n in shapes.items()])
         rows = list(first.items())
         self.rate = sum(n for (_, f, _), n in uses.items() if f == "seed") / max(1, sum(n for (_, f, _), n in uses.items() if f == "left"))
         for step in range(_STEPS):
@@ -320,7 +336,7 @@ class Weights:
         for f in ("ending", "left", "right", "second"):
             setattr(self, f, {})
         for f, v, yes, no in counts:
-            if v is not None and yes + no >= _SUPPORT[f]:
+            if v is not None and yes + no >= _SUPPORT[f] - _ROUNDING:
                 # A prior in proportion to the totals, so that few counts say little.
                 part = total[f][0] / (total[f][0] + total[f][1])
                 w = max(-3.0, min(3.0, math.log((yes + part) / total[f][0]) - math.log((no + 1 - part) / total[f][1])))
@@ -388,33 +404,36 @@ class Weights:
         return a
 
 
+def _introduced(text: str, start: int) -> bool:
+    """Whether an introduction or a title stands before a name."""
+    before = text[max(0, start - 24) : start]
+    return before[-1:].isspace() and before.rstrip().lower().endswith(_INTRO_ENDS) and _INTRO.search(before) is not None
+
+
 def _beside(text: str, start: int, end: int) -> tuple[str, str]:
     """The words before and behind a name; | where its line begins or ends."""
-    left = text[max(0, start - 24) : start]
-    m = _LEFT.search(left)
-    cut = max(left.rfind("\n"), left.rfind("|"))
-    before = m[1].lower() if m and m.start(1) > cut else "|"
+    m = _LEFT.match(text[max(0, start - 24) : start])
+    before = m[1].lower() if m else "|"
     m = _RIGHT.match(text, end)
     return before, (m[1].lower() or "|") if m else "|"
 
 
-def _count_uses(text: str, uses: Counter) -> None:
-    """Adds what a text says of first words of pairs and, under None, of the shapes of numbers."""
+def _uses(text: str) -> Iterator[tuple[str, str, str, str, int]]:
+    """First words of pairs, with the second words, the words before and behind, and whether introduced."""
     for m in _CAPITAL.finditer(text):
         first, second = m[1], m[2]
         # Words in capitals throughout tell nothing about names.
-        if not (first[0].isupper() and second[0].isupper()) or first.isupper() or len(second) < 3:
+        if len(second) < 3 or first.isupper() or not (first[0].isupper() and second[0].isupper()):
             continue
-        key = first.lower()
-        left, right = _beside(text, m.start(), m.end(2))
-        uses[key, "second", second.lower()] += 1
-        uses[key, "left", left] += 1
-        uses[key, "right", right] += 1
-        if _INTRO.search(text[max(0, m.start() - 24) : m.start()]):
-            uses[key, "seed", ""] += 1
+        start = m.start()
+        yield first.lower(), second.lower(), *_beside(text, start, m.end(2)), int(_introduced(text, start))
+
+
+def _count_shapes(text: str, shapes: Counter) -> None:
+    """Adds the shapes of a text's numbers, with what they are said to be."""
     for start, _, shape in _numbers(text):
         if cue := _cue(text, start):
-            uses[None, shape, cue] += 1
+            shapes[shape, cue] += 1
 
 
 def _count_forms(text: str, nodes: list[tuple], rejected: list[tuple[int, int]], lift: float, counts: Counter) -> None:
@@ -467,30 +486,36 @@ class Finder:
 
     def nodes(self, text: str) -> list[Node]:
         out: list[Node] = []
-        if "@" in text or _EMAIL_SIGNS.search(text):
+        lower = text.lower()
+        if len(lower) != len(text):
+            lower = "".join([c.lower() if len(c.lower()) == 1 else c for c in text])
+        if "@" in text or ("dot" in lower or _EMAIL_LOOK.search(lower)) and _EMAIL_SIGNS.search(text):
             for m in _EMAIL.finditer(text):
                 # Similar words: parts of the address, also without an initial before a surname.
                 parts = [p for p in re.split(r"[^a-z]+", re.split(r"@|\s|[\[(]", m.group().lower())[0]) if len(p) > 3]
                 out.append(Node(m.start(), m.end(), ("email",), [self._form("email", _email_features(text, m.start(), m.end()))], (*parts, *[p[1:] for p in parts if len(p) > 5])))
         for start, end, shape in _numbers(text):
             out.append(self._number(text, start, end, shape))
-        lower = text.lower()
-        if len(lower) != len(text):
-            lower = "".join([c.lower() if len(c.lower()) == 1 else c for c in text])
         streets: dict[tuple[int, int], Node] = {}
         for last, (size, found) in self.automaton.iter(lower):
             start = last - size + 1
             if type(found) is list:
-                # A house number stands near the word for a kind of street.
-                if _HOUSE.search(lower, max(0, start - 40), last + 50):
+                # It is a word, or an end before a number; a house number stands near.
+                apart = not (start and lower[start - 1].isalnum() or last + 1 < len(lower) and lower[last + 1].isalnum())
+                if (apart or _ENDS in found and lower[last + 1 : last + 2].isspace() and lower[last + 2 : last + 3].isdecimal()) and _HOUSE.search(lower, max(0, start - 40), last + 50):
                     self._address(text, start, last + 1, found, streets)
             else:
                 self._name(text, lower, start, last + 1, found, out)
-        given, learnt = self.w.given, [(n.start, n.end) for n in out if n.kinds == ("name",) and n.scores[0] > 0]
+        given, learnt = self.w.given, sorted([(n.start, n.end) for n in out if n.kinds == ("name",) and n.scores[0] > 0], reverse=True)
+        # Where the names that begin no later than here end, at most.
+        reach = 0
         for m in _PAIR.finditer(text):
             key = m[1].lower()
             if key not in given:
-                self._unlearnt(text, m, key, learnt, out)
+                while learnt and learnt[-1][0] <= m.start():
+                    reach = max(reach, learnt.pop()[1])
+                if m.start() >= reach:
+                    self._unlearnt(text, m, key, out)
         out.extend(streets.values())
         out.sort(key=lambda n: (n.start, -n.end))
         return out
@@ -555,7 +580,7 @@ class Finder:
             key = surname.lower()
             left, right = _beside(text, start, m.end())
             score = 0.6 * belief + w._surname(key) + w.left.get(left, 0.0) + w.right.get(right, 0.0) - 1.0
-            if _INTRO.search(text[max(0, start - 24) : start]):
+            if _introduced(text, start):
                 score += 3.0
             if small:
                 score -= 1.5
@@ -576,23 +601,20 @@ class Finder:
         begin = start - len(back) + m.start(1)
         left, right = _beside(text, begin, end)
         score = 0.4 * belief + w._surname(key) + w.left.get(left, 0.0) + w.right.get(right, 0.0) - (1.5 if "," in m.group() else 3.0)
-        if _INTRO.search(text[max(0, begin - 24) : begin]):
+        if _introduced(text, begin):
             score += 3.0
         if "," in m.group() and left == right == "|":
             score += 2.0  # a line of its own
         out.append(Node(begin, end, ("name",), [score - 1.5 * small], (key, lower[start:end])))
 
-    def _unlearnt(self, text: str, pair: re.Match, key: str, learnt: list[tuple[int, int]], out: list[Node]) -> None:
-        """A node for two capitalised words of which the first is not among the given names learnt from the sample, outside the names found by those."""
+    def _unlearnt(self, text: str, pair: re.Match, key: str, out: list[Node]) -> None:
+        """A node for two capitalised words of which the first is not among the given names that were learnt, outside the names found by those."""
         start, w = pair.start(), self.w
         known = w.belief.get(key)
-        before = text[max(0, start - 24) : start]
-        introduced = (word := before.rsplit(None, 1)[-1:]) and word[0].lstrip("([|\"'«“„¡¿-–—,;:").lower() in _INTRO_ENDS and before[-1].isspace() and bool(_INTRO.search(before))
+        introduced = _introduced(text, start)
         # Words that the sample holds as no names, words in capitals throughout, and given names one word on are none unless introduced.
         if not introduced and (known is not None and known <= 1 or pair[1].isupper() or pair[2].isupper() or pair[2].lower() in w.given):
             return
-        if any(a <= start < b for a, b in learnt):
-            return
         surname, end = pair[2].lower(), pair.end(2)
         ending = self.surnames.get(surname)
         if ending is None:
@@ -765,35 +787,217 @@ def _arrow(counts: Counter, flat: Callable, types: list, names: tuple[str, ...])
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
-def _names(uses: DataFrame, weights: Weights) -> None:
-    """Expectation maximisation over all first words: each is one row, what it adds to the counts is summed by feature."""
-    spark = uses.sparkSession
-    features = written(uses.groupBy("a").agg(F.collect_list("f").alias("f"), F.collect_list("v").alias("v"), F.collect_list("n").alias("n")), "first")
-    rounds = Rounds(spark, "features")
-    for step in range(_STEPS):
-        sent = spark.sparkContext.broadcast(weights)
+def _words(df: DataFrame, text: str) -> DataFrame:
+    """A row a first word: hashes of its second words and of their endings, of the words before and behind with counts; how often used and introduced.
 
-        def add(sent=sent, begin: bool = step == 0) -> Callable:  # noqa: ANN001
-            return lambda row, counts: sent.value.tally(list(zip(*row)), begin, counts)
+    The features of some words together are listed, with their hashes and texts,
+    in the first of these. Rows of null have the shapes of numbers, what they
+    are said to be and how often.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes, kinds = Counter(), (*[pa.string()] * 4, pa.int64())
+        for batch in batches:
+            rows = []
+            for t in batch.column(0).to_pylist():
+                if t:
+                    rows.extend(_uses(t))
+                    _count_shapes(t, shapes)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _USE)
+        if shapes:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*[(None, *k, None, n) for k, n in shapes.items()]), kinds)], _USE)
+
+    used = df.select(text).mapInArrow(read, "a string, second string, left string, right string, seed bigint").repartition("a").withColumn("h", F.xxhash64("a")).sortWithinPartitions("h")
+    hashes = {f"{f}_h": F.xxhash64(F.lit(f), f) for f in ("second", "left", "right")} | {f"e{k}": F.xxhash64(F.lit("ending"), F.substring("second", -k, k)) for k in (4, 3, 2)}
+    kind = "a string, second_h array<bigint>, second_e4 array<bigint>, second_e3 array<bigint>, second_e2 array<bigint>, left_h array<bigint>, left_n array<bigint>, right_h array<bigint>, right_n array<bigint>, uses bigint, seeds bigint, f array<string>, h array<bigint>, v array<string>"
+    return used.withColumns(hashes).mapInArrow(_gathered, kind)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _words() from uses in the order of the hashes of their first words."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last, h = held[-1].column("h")[-1].as_py() if held else None, _column(batch, "h")
+        # Whole words only; those of the last hash may go on.
+        if last is not None and h[-1] != last and sum(b.num_rows for b in held) > _HELD:
+            cut = int(np.searchsorted(h, last, "right"))
+            yield _gather([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield _gather(held)
+
+
+def _listed(rows: int, of: np.ndarray, *values: np.ndarray) -> list[pa.ListArray]:
+    """Columns of lists from the rows of the entries, in order, and their values."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows))]).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, v if isinstance(v, pa.Array) else pa.array(v)) for v in values]
+
+
+def _gather(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches)
+    # Numbers' shapes, then the words.
+    null = table.column("a").is_null()
+    numbers, table = table.filter(null).combine_chunks(), table.filter(pa.compute.invert(null)).combine_chunks()
+    get = {c: table.column(c).to_numpy() for c in ("h", "seed", "second_h", "left_h", "right_h", "e4", "e3", "e2")}
+    _, at, of = np.unique(get["h"], return_index=True, return_inverse=True)
+    rows = len(at)
+    # Each second word of a first word once, the words beside with their counts.
+    columns: list = []
+    words: list[tuple[str, np.ndarray, np.ndarray, int | None]] = []
+    for f in ("second", "left", "right"):
+        h = get[f"{f}_h"]
+        order = np.lexsort((h, of))
+        new = np.flatnonzero(np.r_[True, (of[order][1:] != of[order][:-1]) | (h[order][1:] != h[order][:-1])][: len(order)])
+        first = order[new]
+        columns += _listed(rows, of[first], h[first], *([get[e][first] for e in ("e4", "e3", "e2")] if f == "second" else [np.diff(np.r_[new, len(order)]).astype(np.int64)]))
+        for g, hashes, cut in ((f, h, None),) if f != "second" else ((f, h, None), ("ending", get["e4"], 4), ("ending", get["e3"], 3), ("ending", get["e2"], 2)):
+            keys, places = np.unique(hashes, return_index=True)
+            texts = table.column(f).take(pa.array(places)).combine_chunks()
+            words.append((g, keys, texts if cut is None else pa.compute.utf8_slice_codeunits(texts, -cut), len(keys)))
+    sorts = pa.array(np.repeat([w[0] for w in words], [w[3] for w in words]).tolist(), pa.string())
+    begin = np.zeros(len(sorts), np.int64)
+    whole = [table.column("a").take(pa.array(at)), *columns, pa.array(np.bincount(of, minlength=rows).astype(np.int64)), pa.array(np.bincount(of, get["seed"], rows).astype(np.int64))]
+    whole += _listed(rows, begin, sorts, np.concatenate([w[1] for w in words]), pa.concat_arrays([w[2].combine_chunks() if isinstance(w[2], pa.ChunkedArray) else w[2] for w in words])) if rows else [pa.array([], pa.list_(t)) for t in (pa.string(), pa.int64(), pa.string())]
+    out = pa.Table.from_arrays(whole, _WORD_COLUMNS)
+    if len(numbers):
+        none = [pa.nulls(1, t.type) for t in out.columns[:-3]]
+        out = pa.concat_tables([out, pa.Table.from_arrays([*none, *_listed(1, np.zeros(len(numbers), np.int64), *[numbers.column(c).combine_chunks() for c in ("second", "seed", "left")])], _WORD_COLUMNS)])
+    return out.combine_chunks().to_batches()[0]
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False)
+
+
+def _parents(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """For each entry of a column of lists its row."""
+    return np.repeat(np.arange(batch.num_rows), batch.column(name).value_lengths().to_numpy(zero_copy_only=False))
+
+
+class _Hashed:
+    """The weights of Weights by hashes of the features; about() for many first words at once."""
+
+    def __init__(self, weights: Weights, weigh: dict[str, dict[int, float]]):
+        self.rate, self.begin = weights.rate, not weigh
+        self.of = {}
+        for f in _SUPPORT:
+            keys = np.array(sorted(weigh.get(f, {})), np.int64)
+            self.of[f] = keys, np.array([weigh[f][k] for k in keys.tolist()], float)
+
+    def _look(self, f: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of features, 0 if they have none, and whether they have one."""
+        keys, values = self.of[f]
+        if not len(keys):
+            return np.zeros(len(hashes)), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        there = keys[at] == hashes
+        return np.where(there, values[at], 0.0), there
+
+    def about(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The beliefs in the first words of a batch, and their numbers of second words."""
+        rows, uses, seeds = batch.num_rows, _column(batch, "uses"), _column(batch, "seeds")
+        ends, seconds = np.zeros(rows), batch.column("second_h").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        introduced = np.maximum(0.0, np.minimum(np.minimum(3.0, 1.5 * seeds), 3.0 * seeds - self.rate * uses))
+        if self.begin:
+            return np.where(introduced > 0, 3.0, -2.0), seconds
+        total, number = 0.0, 0
+        for k in (4, 3, 2):
+            w, there = self._look("ending", _flat(batch, f"second_e{k}"))
+            total, number = total + w, number + there
+        surname = total / np.maximum(number, 1) + np.minimum(0.0, self._look("second", _flat(batch, "second_h"))[0])
+        ends = np.bincount(_parents(batch, "second_h"), surname, rows)
+        beside = sum(np.bincount(_parents(batch, f"{f}_h"), self._look(f, _flat(batch, f"{f}_h"))[0] * _flat(batch, f"{f}_n"), rows) for f in ("left", "right"))
+        about = ends / np.maximum(1, seconds) + beside / np.maximum(1, uses)
+        return np.clip(-2.0 + 1.3 * np.minimum(4.0, np.log2(1.0 + seconds)) * about + introduced, -6.0, 6.0), seconds
+
+    def tally(self, batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+        """As Weights.tally(): sorts of features, their hashes and what is to be added for and against."""
+        p = 1 / (1 + np.exp(-self.about(batch)[0]))
+        of = _parents(batch, "second_h")
+        yield "ending", np.concatenate([_flat(batch, f"second_e{k}") for k in (4, 3, 2)]), np.tile(p[of], 3), np.tile(1 - p[of], 3)
+        yield "second", _flat(batch, "second_h"), p[of], 1 - p[of]
+        for f in ("left", "right"):
+            of, n = _parents(batch, f"{f}_h"), _flat(batch, f"{f}_n")
+            yield f, _flat(batch, f"{f}_h"), p[of] * n, (1 - p[of]) * n
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def _tallied(words: DataFrame, hashed: _Hashed, live: np.ndarray | None) -> DataFrame:
+    """Counts for and against of the features, by sort and hash; hash null has those of all of a sort. live: the hashes of all that can have a weight."""
+    sent = words.sparkSession.sparkContext.broadcast((hashed, live))
+
+    def summed(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for f, parts in held.items():
+            h, y, n = (np.concatenate(x) for x in zip(*parts))
+            total, there, live = (y.sum(), n.sum()), slice(None), sent.value[1]
+            if live is not None:
+                there = live[np.minimum(np.searchsorted(live, h), len(live) - 1)] == h if len(live) else np.zeros(len(h), bool)
+            keys, at = np.unique(h[there], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array([f] * (len(keys) + 1)), pa.array([None, *keys.tolist()], pa.int64()), *[pa.array(np.concatenate([[t], np.bincount(at, x[there], len(keys))])) for t, x in zip(total, (y, n))]], ["f", "h", "y", "n"])
 
-        parts = _counted(features, ["f", "v", "n"], add, "f string, v string, y double, n double")
-        counts = rounds.next(parts.groupBy("f", "v").agg(F.sum("y").alias("y"), F.sum("n").alias("n")))
-        total = {r.f: (r.y + 1, r.n + 1) for r in counts.where("v IS NULL").collect()}
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = defaultdict(list), 0
+        for batch in batches:
+            for f, h, y, n in sent.value[0].tally(batch):
+                if len(h):
+                    held[f].append((h, y, n))
+                    size += len(h)
+            if size > 10 * _HELD:
+                yield from summed(held)
+                held, size = defaultdict(list), 0
+        yield from summed(held)
+
+    columns = [c for f in _SUPPORT if f != "ending" for c in (f"{f}_h", *([f"{f}_n"] if f != "second" else [f"second_e{k}" for k in (4, 3, 2)]))]
+    return words.select("uses", "seeds", *columns).mapInArrow(work, "f string, h bigint, y double, n double").groupBy("f", "h").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
+
+
+def _names(words: DataFrame, weights: Weights) -> None:
+    """Expectation maximisation over all first words: what each adds to the counts is summed by feature."""
+    spark, weigh, live = words.sparkSession, {}, None
+    rounds = Rounds(spark, "features")
+    for _ in range(_STEPS):
+        counts = rounds.next(_tallied(words, _Hashed(weights, weigh), live))
+        total = {r.f: (r.y + 1, r.n + 1) for r in counts.where("h IS NULL").collect()}
         support = F.create_map(*[F.lit(x) for kv in _SUPPORT.items() for x in kv])[F.col("f")]
-        kept = counts.where(F.col("v").isNull() | (F.col("y") + F.col("n") >= support))
+        kept = counts.where(F.col("h").isNull() | (F.col("y") + F.col("n") >= support - _ROUNDING))
+        if live is None:
+            # The counts for and against are together the same in each round.
+            live = np.sort(kept.where("h IS NOT NULL").select("h").toArrow().column(0).to_numpy())
         if "second" in total:
             yes, no = total["second"]
-            kept = kept.where((F.col("f") != "second") | F.col("v").isNull() | ((F.col("y") + 0.5) / yes <= (F.col("n") + 0.5) / no))
+            kept = kept.where((F.col("f") != "second") | F.col("h").isNull() | ((F.col("y") + 0.5) / yes <= (F.col("n") + 0.5) / no))
         weights.weigh([tuple(r) for r in kept.collect()])
-    sent = spark.sparkContext.broadcast(weights)
+        weigh = {f: getattr(weights, f) for f in _SUPPORT}
+    sent = spark.sparkContext.broadcast(_Hashed(weights, weigh))
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, h, v = (batch.column(c).flatten() for c in ("f", "h", "v"))
+            there = np.zeros(len(h), bool)
+            for g in _SUPPORT:
+                there |= (f.to_numpy(zero_copy_only=False) == g) & sent.value._look(g, h.to_numpy(zero_copy_only=False))[1]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(there)) for c in (f, h, v)], ["f", "h", "v"])
 
     def believed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(a, *sent.value.about(list(zip(*x)))) for a, *x in zip(*[c.to_pylist() for c in batch.columns])]
-            rows = [r for r in rows if r[3] > 1 or r[4]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))], ["a", "b", "s", "u", "i"])
+            b, seconds = sent.value.about(batch)
+            uses, seeds = _column(batch, "uses"), _column(batch, "seeds")
+            some = np.flatnonzero((uses > 1) | (seeds > 0))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(some)), *[pa.array(x[some]) for x in (b, seconds, uses, seeds)]], ["a", "b", "s", "u", "i"])
 
-    weights.believe([tuple(r) for r in features.select("a", "f", "v", "n").mapInArrow(believed, "a string, b double, s bigint, u bigint, i bigint").collect()])
+    named = [tuple(r) for r in words.where("size(h) > 0").select("f", "h", "v").mapInArrow(texts, "f string, h bigint, v string").distinct().collect()]
+    rows = [tuple(r) for r in words.drop("f", "h", "v").mapInArrow(believed, "a string, b double, s bigint, u bigint, i bigint").collect()]
+    for f in _SUPPORT:
+        setattr(weights, f, {v: weigh[f][h] for g, h, v in named if g == f})
+    weights.believe(rows)
 
 
 def train(df: DataFrame, key: str, text: str) -> tuple[Weights, DataFrame]:
@@ -805,14 +1009,16 @@ def train(df: DataFrame, key: str, text: str) -> tuple[Weights, DataFrame]:
     spark = df.sparkSession
     weights = Weights()
 
-    def uses() -> Callable:
-        return lambda row, counts: _count_uses(row[0], counts) if row[0] else None
-
-    counted = written(_counted(df, [text], uses, "a string, f string, v string, n bigint").groupBy("a", "f", "v").agg(F.sum("n").alias("n")), "uses")
-    weights.shapes([(r.f, r.v, r.n) for r in counted.where("a IS NULL").collect()])
-    total = {r.f: r.n for r in counted.where("a IS NOT NULL AND f IN ('seed', 'left')").groupBy("f").agg(F.sum("n").alias("n")).collect()}
-    weights.rate = total.get("seed", 0) / max(1, total.get("left", 0))
-    _names(counted.where("a IS NOT NULL"), weights)
+    words = written(_words(df, text), "words")
+    shapes: Counter = Counter()
+    for r in words.where("a IS NULL").select("f", "v", "h").collect():
+        for shape, cue, n in zip(*r):
+            shapes[shape, cue] += n
+    weights.shapes([(*k, n) for k, n in shapes.items()])
+    words = words.where("a IS NOT NULL")
+    seeds, uses_of_all = words.agg(F.sum("seeds"), F.sum("uses")).first()
+    weights.rate = (seeds or 0) / max(1, uses_of_all or 0)
+    _names(words, weights)
     named = spark.sparkContext.broadcast(weights)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
