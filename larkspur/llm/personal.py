@@ -21,11 +21,13 @@ tables of potentials, with the own evidence of the weak labels taken out.
 from __future__ import annotations
 
 import ast
+import gc
 import marshal
 import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import ahocorasick
 import numpy as np
@@ -34,7 +36,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.sources.tables import Rounds, table, written
+from larkspur.sources.tables import table, written
 
 #: Rounds of expectation maximisation, and the counts from which a feature of names has a weight.
 _STEPS, _SUPPORT = 6, {"ending": 1.5, "left": 1.5, "right": 1.5, "second": 3.0}
@@ -73,18 +75,21 @@ PARTICLES = "de la las los del dos das da do di du des le van von der den zu zum
 _LETTER = r"[^\W\d_]"
 _WORD = rf"{_LETTER}+(?:[’'ʼ\-‑]{_LETTER}+)*"
 _PART = r"(?:" + "|".join(PARTICLES.split()) + r")"
+# Initials and particles; first without, as most have none and a capital and a further letter are neither.
+_BETWEEN = rf"(?:(?:[ \u00a0\u2009\u202f]{_LETTER}\.)*(?:[ \u00a0\u2009\u202f]{_PART}){{0,3}})??"
 # Every capital letter of the first plane, and all of the others, of which isupper() is asked.
 _ANY_UPPER = "[" + "".join(c for c in map(chr, range(0x10000)) if c.isupper() and c.isalpha()) + "\U00010000-\U0010ffff]"
 # A pattern that begins with a set of characters is searched for faster than one that begins with a look back.
-_CAPITAL = re.compile(rf"({_ANY_UPPER}(?<![\w’'\-].){_LETTER}+(?:-{_LETTER}+)?)(?=(?:[ \u00a0\u2009\u202f]{_LETTER}\.)*(?:[ \u00a0\u2009\u202f]{_PART}){{0,3}}[ \u00a0\u2009\u202f]((?={_ANY_UPPER}){_WORD}))")
+_CAPITAL = re.compile(rf"({_ANY_UPPER}(?<![\w’'\-].){_LETTER}++(?:-{_LETTER}++)?+)(?={_BETWEEN}[ \u00a0\u2009\u202f]({_ANY_UPPER}(?:{_LETTER}++(?:[’'ʼ\-‑]{_LETTER}++)*+|(?:[’'ʼ\-‑]{_LETTER}++)++)))")
 _UPPER = "[" + "".join(c for c in map(chr, range(0x250)) if c.isupper()) + "\u0386-\u03ab\u0400-\u042f]"
 # Two capitalised words as a name has them, whatever the words.
-_PAIR = re.compile(rf"({_UPPER}(?<![\w’'\-@.].){_LETTER}+(?:-{_LETTER}+)?)(?=(?:[ \u00a0\u2009\u202f]{_LETTER}\.)*(?:[ \u00a0\u2009\u202f]{_PART}){{0,3}}[ \u00a0\u2009\u202f]+({_UPPER}(?:{_LETTER}|[’'ʼ\-‑](?={_LETTER}))+))")
+_PAIR = re.compile(rf"({_UPPER}(?<![\w’'\-@.].){_LETTER}++(?:-{_LETTER}++)?+)(?={_BETWEEN}[ \u00a0\u2009\u202f]+({_UPPER}(?:{_LETTER}|[’'ʼ\-‑](?={_LETTER}))+))")
 _SURNAME = re.compile(rf"((?:[ \u00a0\u2009\u202f]+{_LETTER}\.)*(?:[ \u00a0\u2009\u202f]+{_PART}){{0,3}})[ \u00a0\u2009\u202f]+({_WORD})", re.I)
 _BEFORE_COMMA = re.compile(rf"((?:{_LETTER}\.[ \u00a0]){{0,3}}(?:{_PART}[ \u00a0\u2009\u202f]){{0,3}}{_WORD}),[ \u00a0\u2009\u202f]+$", re.I)
 _BEFORE_BLANK = re.compile(rf"({_WORD})[ \u00a0\u2009\u202f]$")
 # The last words of what _INTRO matches, for a look before it is tried.
 _INTRO_ENDS = tuple({x.split()[-1] for x in INTRODUCTIONS.split("|")} | {t.replace("\\.?", end).replace("\\.", ".") for t in TITLES.split("|") for end in ("", ".")})
+_ENDS_BY_LAST = {c: tuple(x for x in _INTRO_ENDS if x[-1] == c) for c in {x[-1] for x in _INTRO_ENDS}}
 _LEFT = re.compile(r".*(?<!\w)(\w+)[^\w\n|]{1,3}\Z", re.S)
 _RIGHT = re.compile(r"\W{0,2}(\w*)")
 _INTRO = re.compile(rf"(?:\b(?:{INTRODUCTIONS})|(?:^|[\s|])(?:{TITLES}))\s+$", re.I)
@@ -404,10 +409,29 @@ class Weights:
         return a
 
 
+def _uncollected(work: Callable) -> Callable:
+    """The task without searches for cycles of objects, as it makes none."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from work(batches)
+        finally:
+            gc.enable()
+
+    return run
+
+
 def _introduced(text: str, start: int) -> bool:
     """Whether an introduction or a title stands before a name."""
-    before = text[max(0, start - 24) : start]
-    return before[-1:].isspace() and before.rstrip().lower().endswith(_INTRO_ENDS) and _INTRO.search(before) is not None
+    last, least = start - 1, max(0, start - 24)
+    if last < least or not text[last].isspace():
+        return False
+    while last > least and text[last].isspace():
+        last -= 1
+    ends = _ENDS_BY_LAST.get(text[last].lower())
+    return ends is not None and text[least : last + 1].lower().endswith(ends) and _INTRO.search(text[least:start]) is not None
 
 
 def _beside(text: str, start: int, end: int) -> tuple[str, str]:
@@ -768,6 +792,7 @@ def _counted(df: DataFrame, columns: list[str], begin: Callable, schema: str, fl
     names, kinds = zip(*[part.split() for part in schema.split(", ")])
     types = [{"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[k] for k in kinds]
 
+    @_uncollected
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, counts = begin(), Counter()
         for batch in batches:
@@ -795,6 +820,7 @@ def _words(df: DataFrame, text: str) -> DataFrame:
     are said to be and how often.
     """
 
+    @_uncollected
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes, kinds = Counter(), (*[pa.string()] * 4, pa.int64())
         for batch in batches:
@@ -943,6 +969,7 @@ def _tallied(words: DataFrame, hashed: _Hashed, live: np.ndarray | None) -> Data
             keys, at = np.unique(h[there], return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array([f] * (len(keys) + 1)), pa.array([None, *keys.tolist()], pa.int64()), *[pa.array(np.concatenate([[t], np.bincount(at, x[there], len(keys))])) for t, x in zip(total, (y, n))]], ["f", "h", "y", "n"])
 
+    @_uncollected
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = defaultdict(list), 0
         for batch in batches:
@@ -962,19 +989,22 @@ def _tallied(words: DataFrame, hashed: _Hashed, live: np.ndarray | None) -> Data
 def _names(words: DataFrame, weights: Weights) -> None:
     """Expectation maximisation over all first words: what each adds to the counts is summed by feature."""
     spark, weigh, live = words.sparkSession, {}, None
-    rounds = Rounds(spark, "features")
     for _ in range(_STEPS):
-        counts = rounds.next(_tallied(words, _Hashed(weights, weigh), live))
-        total = {r.f: (r.y + 1, r.n + 1) for r in counts.where("h IS NULL").collect()}
-        support = F.create_map(*[F.lit(x) for kv in _SUPPORT.items() for x in kv])[F.col("f")]
-        kept = counts.where(F.col("h").isNull() | (F.col("y") + F.col("n") >= support - _ROUNDING))
+        counts = _tallied(words, _Hashed(weights, weigh), live)
+        if live is None:
+            support = F.create_map(*[F.lit(x) for kv in _SUPPORT.items() for x in kv])[F.col("f")]
+            counts = counts.where(F.col("h").isNull() | (F.col("y") + F.col("n") >= support - _ROUNDING))
+        got = counts.toArrow().combine_chunks()
+        f, h, y, n = (got.column(c).to_numpy() for c in ("f", "h", "y", "n"))
+        every = got.column("h").is_null().to_numpy()
         if live is None:
             # The counts for and against are together the same in each round.
-            live = np.sort(kept.where("h IS NOT NULL").select("h").toArrow().column(0).to_numpy())
-        if "second" in total:
-            yes, no = total["second"]
-            kept = kept.where((F.col("f") != "second") | F.col("h").isNull() | ((F.col("y") + 0.5) / yes <= (F.col("n") + 0.5) / no))
-        weights.weigh([tuple(r) for r in kept.collect()])
+            live = np.sort(got.column("h").drop_null().to_numpy()).astype(np.int64)
+        kept, second = np.ones(len(f), bool), (f == "second") & ~every
+        if second.any():
+            yes, no = y[every & (f == "second")].sum() + 1, n[every & (f == "second")].sum() + 1
+            kept = ~second | ((y + 0.5) / yes <= (n + 0.5) / no)
+        weights.weigh([tuple(r.values()) for r in got.filter(pa.array(kept)).to_pylist()])
         weigh = {f: getattr(weights, f) for f in _SUPPORT}
     sent = spark.sparkContext.broadcast(_Hashed(weights, weigh))
 
@@ -1021,6 +1051,7 @@ def train(df: DataFrame, key: str, text: str) -> tuple[Weights, DataFrame]:
     _names(words, weights)
     named = spark.sparkContext.broadcast(weights)
 
+    @_uncollected
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(named.value, training=True)
         for batch in batches:
@@ -1062,6 +1093,7 @@ def personal_data(df: DataFrame, key: str, text: str, weights: Weights) -> DataF
     """
     sent, kept = df.sparkSession.sparkContext.broadcast(weights), "_n" in df.columns
 
+    @_uncollected
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(sent.value)
         for batch in batches:
@@ -1080,6 +1112,7 @@ def redacted(df: DataFrame, key: str, text: str, weights: Weights) -> DataFrame:
     """Columns key and text with each piece of personal data replaced by its placeholder; null texts stay null."""
     sent, kept = df.sparkSession.sparkContext.broadcast(weights), "_n" in df.columns
 
+    @_uncollected
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(sent.value)
         for batch in batches:
